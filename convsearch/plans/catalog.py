@@ -58,4 +58,48 @@ def q_bm25_topk(spark, sf):
     ix = _lex_index(spark, sf)
     hits = lexical.bm25_topk(V.query_v(spark, sf), ix, k=5)
     return hits.select("query_id", "domain", "rank", "chunk_id", r6(F.col("score")).alias("score"))
-FLAGSHIP = "bm25_topk"
+
+
+# ---------------------------------------------------------------- vector / hybrid
+from ..operators import hybrid, vector  # noqa: E402
+
+
+def _vec_hits(spark, sf, k=5):
+    return vector.vector_topk(V.query_vec_v(spark, sf), V.vec_v(spark, sf), k=k)
+
+
+def _lex_hits(spark, sf, k=5):
+    return lexical.bm25_topk(V.query_v(spark, sf), _lex_index(spark, sf), k=k)
+
+
+@register
+def q_vector_topk(spark, sf):
+    h = _vec_hits(spark, sf)
+    return h.select("query_id", "domain", "rank", "chunk_id", r6(F.col("dist")).alias("dist"),
+                    r6(F.col("score")).alias("score"))
+
+
+@register
+def q_score_normalize(spark, sf):
+    v = hybrid.min_max_normalize(_vec_hits(spark, sf)).select(
+        "query_id", "domain", F.lit("vector").alias("list"), "rank", "chunk_id", "norm")
+    b = hybrid.min_max_normalize(_lex_hits(spark, sf)).select(
+        "query_id", "domain", F.lit("bm25").alias("list"), "rank", "chunk_id", "norm")
+    return v.unionByName(b).withColumn("norm", r6(F.col("norm")))
+
+
+@register
+def q_hybrid_fuse(spark, sf):
+    f = hybrid.hybrid_fuse(_vec_hits(spark, sf), _lex_hits(spark, sf), V.corpus_v(spark, sf))
+    return f.select("query_id", "domain", "chunk_id", r6(F.col("fused")).alias("fused"),
+                    F.col("first_list").cast("bigint").alias("first_list"), "first_rank")
+
+
+@register
+def q_hybrid_topk(spark, sf):
+    t = hybrid.hybrid_topk(_vec_hits(spark, sf), _lex_hits(spark, sf), V.corpus_v(spark, sf))
+    return t.select("query_id", "domain", "rank", "chunk_id", r6(F.col("fused")).alias("fused"),
+                    r6(F.col("score")).alias("score"))
+
+
+FLAGSHIP = "hybrid_topk"

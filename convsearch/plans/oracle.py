@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .sqlviews import CORPUS_V, QUERY_V, tok
+from .sqlviews import CORPUS_V, QUERY_V, QUERY_VEC_V, VEC_V, sq_l2, tok
 
 ORACLE: dict[str, str] = {}
 
@@ -52,3 +52,59 @@ FROM cstats c JOIN avgidf a USING (domain)"""
 
 ORACLE["bm25_topk"] = f"""WITH {BM25_TOPK_CTES}
 SELECT query_id, domain, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 6) AS score FROM bm25_hits"""
+
+VEC_CTES = f"""
+qvecs AS ({QUERY_VEC_V}),
+vectors AS ({VEC_V}),
+vec_scores AS (SELECT q.query_id, q.domain, v.chunk_id, {sq_l2('q.qvec', 'v.vec')} AS dist
+   FROM qvecs q JOIN vectors v ON v.domain = q.domain AND v.chunk_id <> q.exclude_id),
+vec_hits AS (SELECT * FROM (SELECT query_id, domain, chunk_id, dist, 1.0 / (1.0 + dist) AS score,
+     row_number() OVER (PARTITION BY query_id, domain ORDER BY dist ASC, chunk_id ASC) AS rank
+   FROM vec_scores) WHERE rank <= 5)
+"""
+
+NORM_CTES = """
+vec_norm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
+     ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
+   FROM vec_hits WINDOW w AS (PARTITION BY query_id, domain)),
+bm25_norm AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0
+     ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
+   FROM bm25_hits WINDOW w AS (PARTITION BY query_id, domain))
+"""
+
+FUSE_CTES = f"""
+both_lists AS (
+   SELECT query_id, domain, chunk_id, rank, norm, 0 AS list_no, 0.6 AS w FROM vec_norm
+   UNION ALL
+   SELECT query_id, domain, chunk_id, rank, norm, 1 AS list_no, 0.4 AS w FROM bm25_norm),
+with_fp AS (SELECT b.*, left(c.content, 100) AS fp FROM both_lists b JOIN ({CORPUS_V}) c USING (domain, chunk_id)),
+fused AS (SELECT query_id, domain, fp, round(sum(w * norm), 9) AS fused,
+     min({{'list_no': list_no, 'rank': rank, 'chunk_id': chunk_id}}) AS first
+   FROM with_fp GROUP BY query_id, domain, fp),
+fused_top AS (SELECT * FROM (SELECT query_id, domain, first.chunk_id AS chunk_id, fused,
+     first.list_no AS first_list, first.rank AS first_rank,
+     row_number() OVER (PARTITION BY query_id, domain ORDER BY fused DESC, first.list_no, first.rank) AS rank
+   FROM fused) WHERE rank <= 5),
+hybrid AS (SELECT *, CASE WHEN max(fused) OVER w = min(fused) OVER w THEN 1.0
+     ELSE (fused - min(fused) OVER w) / (max(fused) OVER w - min(fused) OVER w) END AS score
+   FROM fused_top WINDOW w AS (PARTITION BY query_id, domain))
+"""
+
+HYBRID_CTES = BM25_TOPK_CTES + "," + VEC_CTES + "," + NORM_CTES + "," + FUSE_CTES
+
+ORACLE["vector_topk"] = f"""WITH {VEC_CTES}
+SELECT query_id, domain, CAST(rank AS BIGINT) AS rank, chunk_id, round(dist, 6) AS dist, round(score, 6) AS score
+FROM vec_hits"""
+
+ORACLE["score_normalize"] = f"""WITH {BM25_TOPK_CTES}, {VEC_CTES}, {NORM_CTES}
+SELECT query_id, domain, 'vector' AS list, CAST(rank AS BIGINT) AS rank, chunk_id, round(norm, 6) AS norm FROM vec_norm
+UNION ALL
+SELECT query_id, domain, 'bm25' AS list, CAST(rank AS BIGINT) AS rank, chunk_id, round(norm, 6) AS norm FROM bm25_norm"""
+
+ORACLE["hybrid_fuse"] = f"""WITH {HYBRID_CTES}
+SELECT query_id, domain, first.chunk_id AS chunk_id, round(fused, 6) AS fused,
+  CAST(first.list_no AS BIGINT) AS first_list, CAST(first.rank AS BIGINT) AS first_rank FROM fused"""
+
+ORACLE["hybrid_topk"] = f"""WITH {HYBRID_CTES}
+SELECT query_id, domain, CAST(rank AS BIGINT) AS rank, chunk_id, round(fused, 6) AS fused, round(score, 6) AS score
+FROM hybrid"""
