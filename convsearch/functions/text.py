@@ -53,16 +53,6 @@ def word_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_TOKEN), 0)
 
 
-def ngrams_1_2(text) -> Column:
-    """Unigrams followed by the space-joined bigrams of ``word_tokens``."""
-    toks = word_tokens(text)
-    bigrams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0))),
-        lambda i: F.concat_ws(" ", F.element_at(toks, i), F.element_at(toks, i + 1)))
-    bigrams = F.when(F.size(toks) >= 2, bigrams).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, bigrams)
-
-
 def redact(text, with_ip: bool = False) -> Column:
     """EMAIL -> PHONE -> CREDIT_CARD -> SSN replacement; null and '' unchanged."""
     out = _c(text)

@@ -39,3 +39,14 @@ def l2_normalize(a) -> Column:
 def l2_similarity(a, b) -> Column:
     """1 / (1 + squared L2 distance)."""
     return 1.0 / (1.0 + sq_l2(a, b))
+
+
+def normalize_column(df, col: str, out: str | None = None):
+    """DataFrame form of ``l2_normalize``: the norm is materialised as a
+    column first, so it is computed once per row rather than per element."""
+    out = out or col
+    tmp = f"__norm_{col}"
+    d = df.withColumn(tmp, norm(col))
+    d = d.withColumn(out, F.when(F.col(tmp) == 0, F.transform(col, lambda x: x.cast("double")))
+                     .otherwise(F.transform(col, lambda x: x.cast("double") / F.col(tmp))))
+    return d.drop(tmp)

@@ -103,3 +103,82 @@ def q_hybrid_topk(spark, sf):
 
 
 FLAGSHIP = "hybrid_topk"
+
+
+# ---------------------------------------------------------------- text jobs
+from ..functions import text as TX  # noqa: E402
+from ..operators import chunk, tfidf  # noqa: E402
+from ..sources import corpus as corpus_src  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+@register
+def q_redact_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    red = TX.redact("text")
+    return d.select("doc_id", (red != F.col("text")).alias("changed"),
+                    F.char_length(red).cast("bigint").alias("n_chars"), F.md5(red).alias("redacted_md5"))
+
+
+@register
+def q_pii_counts(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("domain"),
+                                             TX.redaction_counts("text", with_ip=True).alias("c"))
+    total = sum((F.col(f"c.{n}") for n in ("email", "phone", "credit_card", "ssn", "ip_address")), F.lit(0))
+    return d.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("docs"),
+        F.sum(F.when(total > 0, 1).otherwise(0)).cast("bigint").alias("docs_with_pii"),
+        *[F.sum(f"c.{n}").cast("bigint").alias(n) for n in ("email", "phone", "credit_card", "ssn", "ip_address")])
+
+
+@register
+def q_chunk_fixed(spark, sf):
+    c = chunk.chunk_fixed(V.corpus_v(spark, sf).withColumnRenamed("chunk_id", "doc_id"), text_col="content")
+    return c.select("domain", "doc_id", "chunk_no", "chunk_id",
+                    F.char_length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+@register
+def q_chunk_documents(spark, sf):
+    docs = corpus_src.redact_documents(table(spark, sf, "documents").withColumnRenamed("lang", "domain"))
+    c = chunk.chunk_documents(docs)
+    return c.select("domain", "source", "doc_id", "chunk_no", "chunk_id",
+                    F.char_length("content").cast("bigint").alias("n_chars"), "content")
+
+
+def _vocab(spark, sf):
+    return tfidf.fit_vocab(V.corpus_v(spark, sf))
+
+
+@register
+def q_tfidf_vocab(spark, sf):
+    return _vocab(spark, sf).select("idx", "term", "total", "df", r6(F.col("idf")).alias("idf"))
+
+
+@register
+def q_tfidf_vectors(spark, sf):
+    v = tfidf.transform(V.corpus_v(spark, sf), _vocab(spark, sf))
+    return v.select("domain", "chunk_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@register
+def q_fingerprint_dupes(spark, sf):
+    c = V.corpus_v(spark, sf)
+    out = None
+    for n in (100, 80):
+        g = (c.groupBy("domain", TX.fingerprint("content", n).alias("fp"))
+             .agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first_chunk_id"))
+             .filter(F.col("n") > 1)
+             .select(F.lit(f"fp{n}").alias("kind"), "domain", "first_chunk_id", "n"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@register
+def q_placeholder_docs(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("domain"), "source", "text")
+    domains = corpus_src.domain_list(spark, list(corpus_src.DEFAULT_DOMAINS) + ["en", "de", "fr", "es"])
+    full = corpus_src.with_placeholder(docs, domains)
+    return full.groupBy("domain").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"),
+        F.min("source").alias("min_source"))

@@ -108,3 +108,90 @@ SELECT query_id, domain, first.chunk_id AS chunk_id, round(fused, 6) AS fused,
 ORACLE["hybrid_topk"] = f"""WITH {HYBRID_CTES}
 SELECT query_id, domain, CAST(rank AS BIGINT) AS rank, chunk_id, round(fused, 6) AS fused, round(score, 6) AS score
 FROM hybrid"""
+
+# ---------------------------------------------------------------- text jobs
+from ..functions.text import IP_REDACTION, REDACTIONS  # noqa: E402
+from ..operators.tfidf import TFIDF_SEED  # noqa: E402
+
+
+def redact_sql(x: str, with_ip: bool = False) -> str:
+    for _, pat, repl in REDACTIONS + ((IP_REDACTION,) if with_ip else ()):
+        x = f"regexp_replace({x}, '{pat}', '{repl}', 'g')"
+    return x
+
+
+def redaction_counts_sql(x: str) -> list[tuple[str, str]]:
+    out, cur = [], x
+    for name, pat, repl in REDACTIONS + (IP_REDACTION,):
+        out.append((name.lower(), f"CAST(len(regexp_extract_all({cur}, '{pat}')) AS BIGINT)"))
+        cur = f"regexp_replace({cur}, '{pat}', '{repl}', 'g')"
+    return out
+
+
+ORACLE["redact_documents"] = f"""
+SELECT doc_id, r <> text AS changed, CAST(length(r) AS BIGINT) AS n_chars, md5(r) AS redacted_md5
+FROM (SELECT doc_id, text, {redact_sql('text')} AS r FROM documents)"""
+
+_cnt = redaction_counts_sql("text")
+ORACLE["pii_counts"] = f"""
+WITH c AS (SELECT lang AS domain, {', '.join(f'{e} AS {n}' for n, e in _cnt)} FROM documents)
+SELECT domain, count(*) AS docs,
+  CAST(sum(CASE WHEN email + phone + credit_card + ssn + ip_address > 0 THEN 1 ELSE 0 END) AS BIGINT) AS docs_with_pii,
+  {', '.join(f'CAST(sum({n}) AS BIGINT) AS {n}' for n, _ in _cnt)}
+FROM c GROUP BY domain"""
+
+ORACLE["chunk_fixed"] = f"""
+WITH c AS ({CORPUS_V}),
+n AS (SELECT *, CASE WHEN length(content) > 0 THEN greatest(1, CAST(ceil((length(content) - 64) / 448.0) AS BIGINT)) ELSE 0 END AS cnt FROM c),
+e AS (SELECT domain, chunk_id AS doc_id, content, unnest(range(cnt)) AS chunk_no FROM n)
+SELECT domain, doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, doc_id * 1000000 + chunk_no AS chunk_id,
+  CAST(length(substring(content, chunk_no * 448 + 1, 512)) AS BIGINT) AS n_chars,
+  md5(substring(content, chunk_no * 448 + 1, 512)) AS content_md5
+FROM e"""
+
+_seed_rows = ", ".join(f"('seed-{i}', '{t}')" for i, t in enumerate(TFIDF_SEED))
+_wt = "list_filter(regexp_extract_all(lower({x}), '[\\pL\\pN_]+'), lambda t: length(t) >= 2)"
+TFIDF_CTES = f"""
+fitdocs AS (SELECT CAST(doc_id AS VARCHAR) AS doc_key, text FROM documents
+            UNION ALL SELECT * FROM (VALUES {_seed_rows}) s(doc_key, text)),
+fittoks AS (SELECT doc_key, {_wt.format(x='text')} AS t FROM fitdocs),
+fitgrams AS (SELECT doc_key, unnest(t || (CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM fittoks),
+fittf AS (SELECT doc_key, term, count(*) AS tf FROM fitgrams GROUP BY doc_key, term),
+fitstats AS (SELECT term, sum(tf) AS total, count(*) AS df FROM fittf GROUP BY term),
+fittop AS (SELECT * FROM fitstats ORDER BY total DESC, term ASC LIMIT 512),
+vocab AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, term, CAST(total AS BIGINT) AS total, df,
+   ln((1 + (SELECT count(*) FROM fitdocs)) / (1 + df)) + 1 AS idf FROM fittop)
+"""
+
+ORACLE["tfidf_vocab"] = f"WITH {TFIDF_CTES} SELECT idx, term, total, df, round(idf, 6) AS idf FROM vocab"
+
+ORACLE["tfidf_vectors"] = f"""WITH {TFIDF_CTES},
+c AS ({CORPUS_V}),
+ct AS (SELECT chunk_id, {_wt.format(x='content')} AS t FROM c),
+cg AS (SELECT chunk_id, unnest(t || (CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term FROM ct),
+ctf AS (SELECT chunk_id, term, count(*) AS tf FROM cg GROUP BY chunk_id, term),
+w AS (SELECT ctf.chunk_id, v.idx, (1 + ln(ctf.tf)) * v.idf AS w FROM ctf JOIN vocab v USING (term)),
+sp AS (SELECT chunk_id, list({{'idx': idx, 'w': w}}) AS m FROM w GROUP BY chunk_id),
+raw AS (SELECT c.domain, c.chunk_id,
+   list_transform(range(512), lambda i: coalesce(struct_extract(list_filter(sp.m, lambda e: e.idx = i)[1], 'w'), 0.0::DOUBLE)) AS raw
+   FROM c LEFT JOIN sp USING (chunk_id)),
+nr AS (SELECT *, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(raw, lambda x: x * x)), lambda a, b: a + b)) AS nrm FROM raw)
+SELECT domain, chunk_id,
+  list_transform(CASE WHEN nrm = 0 THEN list_transform(range(512), lambda i: 1.0::DOUBLE / sqrt(512.0::DOUBLE))
+                 ELSE list_transform(raw, lambda x: x / nrm) END, lambda x: round(x, 6)) AS vec
+FROM nr"""
+
+ORACLE["fingerprint_dupes"] = f"""
+WITH c AS ({CORPUS_V})
+SELECT 'fp100' AS kind, domain, min(chunk_id) AS first_chunk_id, count(*) AS n FROM c GROUP BY domain, left(content, 100) HAVING count(*) > 1
+UNION ALL
+SELECT 'fp80' AS kind, domain, min(chunk_id) AS first_chunk_id, count(*) AS n FROM c GROUP BY domain, left(content, 80) HAVING count(*) > 1"""
+
+ORACLE["placeholder_docs"] = """
+WITH domains AS (SELECT * FROM (VALUES ('billing'), ('returns'), ('escalation'), ('en'), ('de'), ('fr'), ('es')) d(domain)),
+docs AS (SELECT lang AS domain, source, text FROM documents),
+ph AS (SELECT domain, 'placeholder' AS source, 'No documents loaded for ' || domain || '.' AS text
+       FROM domains WHERE domain NOT IN (SELECT DISTINCT domain FROM docs)),
+full_docs AS (SELECT * FROM docs UNION ALL SELECT * FROM ph)
+SELECT domain, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(source) AS min_source
+FROM full_docs GROUP BY domain"""

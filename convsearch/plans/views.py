@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalize
+from ..functions.vectors import normalize_column
 from ..sources.tables import table
 
 # --- fixed values for the derived audit view ---
@@ -121,9 +121,10 @@ def lookup_v(spark: SparkSession, sf: str) -> DataFrame:
     w = (F.col("vec_id") % 10) * 0.1
     mixed = F.when(F.col("pvec").isNull(), F.transform("embedding", lambda x: x.cast("double"))).otherwise(
         F.zip_with("embedding", "pvec", lambda a, b: a.cast("double") + w * b.cast("double")))
+    j = normalize_column(j.withColumn("mixed", mixed), "mixed", "vec")
     return j.select(
         F.col("vec_id").alias("lookup_id"),
         F.col("label").cast("string").alias("domain"),
-        l2_normalize(mixed).alias("vec"),
+        "vec",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(mins=(F.col("vec_id") + 30 + F.col("vec_id") % 90).cast("int"))).alias("ts"))
