@@ -182,3 +182,84 @@ def q_placeholder_docs(spark, sf):
     return full.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"),
         F.min("source").alias("min_source"))
+
+
+# ---------------------------------------------------------------- audit / KPI
+from ..operators import kpi  # noqa: E402
+from ..sources import audit as audit_src  # noqa: E402
+
+TODAY = "2024-01-30"  # the fixture's "today" (last day of the events table)
+
+
+def _audit(spark, sf):
+    return V.audit_v(spark, sf)
+
+
+def _kpi_cols(df):
+    return df.select("total_queries", "cache_hit_rate", "low_confidence_rate", "avg_latency_ms",
+                     "p95_latency_ms", "avg_confidence")
+
+
+@register
+def q_audit_tail(spark, sf):
+    t = audit_src.audit_tail(_audit(spark, sf), TODAY, limit=100)
+    return t.select("pos", "audit_id", "timestamp", "session_id", "routed_to", "final_confidence")
+
+
+@register
+def q_audit_window_7d(spark, sf):
+    w = audit_src.audit_window(_audit(spark, sf), TODAY, days=7, per_day=500)
+    return w.select("date", "pos", "audit_id", "timestamp")
+
+
+@register
+def q_kpi_metrics(spark, sf):
+    return _kpi_cols(kpi.kpi_metrics(_audit(spark, sf)))
+
+
+@register
+def q_routing_distribution(spark, sf):
+    return kpi.routing_distribution(_audit(spark, sf))
+
+
+@register
+def q_kpi_targets(spark, sf):
+    t = kpi.kpi_targets(kpi.kpi_metrics(_audit(spark, sf)))
+    return t.select("metric", r6(F.col("value")).alias("value"), "target", "lower_is_better", "passed")
+
+
+@register
+def q_kpi_daily(spark, sf):
+    m = kpi.kpi_metrics(_audit(spark, sf), group_cols=("date",))
+    return m.select("date", "total_queries", "cache_hit_rate", "low_confidence_rate", "avg_latency_ms",
+                    "p95_latency_ms", "avg_confidence")
+
+
+@register
+def q_audit_sample(spark, sf):
+    w = audit_src.audit_window(_audit(spark, sf), TODAY, days=7, per_day=500)
+    return audit_src.seeded_sample(w, 50).select("audit_id", "date", "timestamp", "routed_to")
+
+
+@register
+def q_kpi_report(spark, sf):
+    w = audit_src.audit_window(_audit(spark, sf), TODAY, days=7, per_day=500)
+    return _kpi_cols(kpi.kpi_metrics(audit_src.seeded_sample(w, 50)))
+
+
+@register
+def q_audit_records(spark, sf):
+    a = _audit(spark, sf)
+    # responses as the service hands them to the logger; cached responses
+    # whose entry lacks confidence/sources (every third event) take defaults
+    resp = a.select(
+        "audit_id", "timestamp", "session_id", "redacted_query", "routed_to", "router_confidence",
+        F.when(F.col("cache_hit") & (F.col("audit_id").cast("bigint") % 3 == 0), F.lit(None))
+        .otherwise(F.col("retrieved_sources")).alias("sources"),
+        F.when(F.col("cache_hit") & (F.col("audit_id").cast("bigint") % 3 == 0), F.lit(None))
+        .otherwise(F.col("final_confidence") + 0.00004).alias("confidence"),
+        F.when(F.col("cache_hit"), F.lit(None)).otherwise(F.col("low_confidence_flag")).alias("low_confidence"),
+        F.col("response_latency_ms").alias("latency_ms"), "cache_hit")
+    return audit_src.to_audit(resp).select(
+        "audit_id", "date", "routed_to", "router_confidence", "retrieved_sources", "final_confidence",
+        "low_confidence_flag", "response_latency_ms", "cache_hit")

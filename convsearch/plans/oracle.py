@@ -195,3 +195,80 @@ ph AS (SELECT domain, 'placeholder' AS source, 'No documents loaded for ' || dom
 full_docs AS (SELECT * FROM docs UNION ALL SELECT * FROM ph)
 SELECT domain, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(source) AS min_source
 FROM full_docs GROUP BY domain"""
+
+# ---------------------------------------------------------------- audit / KPI
+from .sqlviews import AUDIT_V  # noqa: E402
+
+TAIL_CTES = f"""
+audit AS ({AUDIT_V}),
+tail7 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY "timestamp" DESC, audit_id DESC) AS back
+   FROM audit WHERE date <= DATE '2024-01-30' AND date > DATE '2024-01-30' - INTERVAL 7 DAY) WHERE back <= 500),
+win7 AS (SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY "timestamp", audit_id) AS BIGINT) AS pos FROM tail7),
+sample50 AS (SELECT * FROM win7 ORDER BY md5(audit_id || '42') LIMIT 50)
+"""
+
+
+def kpi_sql(src: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    part = f"PARTITION BY {group}" if group else ""
+    on = f"USING ({group})" if group else "ON TRUE"
+    return f"""(WITH a AS (SELECT {g}coalesce(cache_hit, false) AS hit, coalesce(low_confidence_flag, false) AS low,
+        coalesce(response_latency_ms, 0) AS lat, coalesce(final_confidence, 0.0) AS conf FROM {src}),
+  m AS (SELECT {g}count(*) AS total_queries,
+        round(sum(CAST(hit AS INTEGER)) / count(*), 4) AS cache_hit_rate,
+        round(sum(CAST(low AS INTEGER)) / count(*), 4) AS low_confidence_rate,
+        round(sum(lat) / count(*), 1) AS avg_latency_ms,
+        round(sum(conf) / count(*), 4) AS avg_confidence FROM a {gb}),
+  h AS (SELECT {g}lat, count(*) AS c FROM a {gb}{', ' if group else 'GROUP BY '}lat),
+  hc AS (SELECT *, sum(c) OVER ({part} ORDER BY lat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+        sum(c) OVER ({'PARTITION BY ' + group if group else ''}) AS n FROM h),
+  p AS (SELECT {g}min(lat) AS p95_latency_ms FROM hc WHERE cum >= greatest(0, floor(0.95::DOUBLE * n) - 1) + 1 {gb})
+  SELECT {g}total_queries, cache_hit_rate, low_confidence_rate, avg_latency_ms, CAST(p95_latency_ms AS BIGINT) AS p95_latency_ms, avg_confidence
+  FROM m JOIN p {on})"""
+
+
+ORACLE["audit_tail"] = f"""
+WITH audit AS ({AUDIT_V}),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, audit_id DESC) AS back
+   FROM audit WHERE date = DATE '2024-01-30') WHERE back <= 100)
+SELECT CAST(row_number() OVER (ORDER BY "timestamp", audit_id) AS BIGINT) AS pos, audit_id, "timestamp", session_id,
+  routed_to, final_confidence FROM t"""
+
+ORACLE["audit_window_7d"] = f"WITH {TAIL_CTES} SELECT date, pos, audit_id, \"timestamp\" FROM win7"
+
+ORACLE["kpi_metrics"] = f"WITH audit AS ({AUDIT_V}) SELECT * FROM {kpi_sql('audit')}"
+
+ORACLE["routing_distribution"] = f"""WITH audit AS ({AUDIT_V})
+SELECT coalesce(routed_to, 'unknown') AS agent, count(*) AS n FROM audit GROUP BY 1"""
+
+ORACLE["kpi_targets"] = f"""WITH audit AS ({AUDIT_V}), m AS (SELECT * FROM {kpi_sql('audit')}),
+long AS (UNPIVOT (SELECT CAST(cache_hit_rate AS DOUBLE) AS cache_hit_rate, CAST(low_confidence_rate AS DOUBLE) AS low_confidence_rate,
+   CAST(avg_latency_ms AS DOUBLE) AS avg_latency_ms, CAST(p95_latency_ms AS DOUBLE) AS p95_latency_ms,
+   CAST(avg_confidence AS DOUBLE) AS avg_confidence FROM m)
+   ON cache_hit_rate, low_confidence_rate, avg_latency_ms, p95_latency_ms, avg_confidence INTO NAME metric VALUE value),
+targets AS (SELECT * FROM (VALUES ('cache_hit_rate', 0.40::DOUBLE, false), ('low_confidence_rate', 0.15::DOUBLE, true),
+   ('avg_latency_ms', 1500.0::DOUBLE, true), ('p95_latency_ms', 3500.0::DOUBLE, true), ('avg_confidence', 0.80::DOUBLE, false))
+   t(metric, target, lower_is_better))
+SELECT metric, round(value, 6) AS value, target, lower_is_better,
+  CASE WHEN lower_is_better THEN value <= target ELSE value >= target END AS passed
+FROM long JOIN targets USING (metric)"""
+
+ORACLE["kpi_daily"] = f"WITH audit AS ({AUDIT_V}) SELECT * FROM {kpi_sql('audit', 'date')}"
+
+ORACLE["audit_sample"] = f"WITH {TAIL_CTES} SELECT audit_id, date, \"timestamp\", routed_to FROM sample50"
+
+ORACLE["kpi_report"] = f"WITH {TAIL_CTES} SELECT * FROM {kpi_sql('sample50')}"
+
+ORACLE["audit_records"] = f"""WITH audit AS ({AUDIT_V}),
+resp AS (SELECT audit_id, date, routed_to, router_confidence,
+   CASE WHEN cache_hit AND CAST(audit_id AS BIGINT) % 3 = 0 THEN NULL ELSE retrieved_sources END AS sources,
+   CASE WHEN cache_hit AND CAST(audit_id AS BIGINT) % 3 = 0 THEN NULL ELSE final_confidence + 0.00004::DOUBLE END AS confidence,
+   CASE WHEN cache_hit THEN NULL ELSE low_confidence_flag END AS low_confidence,
+   response_latency_ms AS latency_ms, cache_hit FROM audit)
+SELECT audit_id, date, routed_to, round(router_confidence, 4) AS router_confidence,
+  CASE WHEN cache_hit THEN coalesce(sources, []::VARCHAR[]) ELSE sources END AS retrieved_sources,
+  round(CASE WHEN cache_hit THEN coalesce(confidence, 1.0::DOUBLE) ELSE confidence END, 4) AS final_confidence,
+  CASE WHEN cache_hit THEN coalesce(low_confidence, false) ELSE low_confidence END AS low_confidence_flag,
+  CAST(latency_ms AS BIGINT) AS response_latency_ms, coalesce(cache_hit, false) AS cache_hit
+FROM resp"""
