@@ -263,3 +263,79 @@ def q_audit_records(spark, sf):
     return audit_src.to_audit(resp).select(
         "audit_id", "date", "routed_to", "router_confidence", "retrieved_sources", "final_confidence",
         "low_confidence_flag", "response_latency_ms", "cache_hit")
+
+
+# ---------------------------------------------------------------- parsers / confidence
+from ..functions import domains as DOM  # noqa: E402
+from ..functions import parse as P  # noqa: E402
+from ..operators import confidence as CONF  # noqa: E402
+
+
+@register
+def q_parse_router(spark, sf):
+    r = V.router_raw_v(spark, sf).select("event_id", P.parse_router("raw").alias("p"))
+    return r.select("event_id", "p.category", "p.confidence", "p.failed")
+
+
+@register
+def q_route_queries(spark, sf):
+    r = V.router_raw_v(spark, sf).select("event_id", P.route(P.parse_router("raw")).alias("r"))
+    return r.select("event_id", "r.category", "r.confidence")
+
+
+@register
+def q_route_lexical(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", P.route_lexical("text").alias("r"))
+    return d.select("doc_id", "r.category", r6(F.col("r.confidence")).alias("confidence"))
+
+
+@register
+def q_domain_dispatch(spark, sf):
+    r = V.router_raw_v(spark, sf).select("event_id", P.route(P.parse_router("raw")).alias("r"))
+    d = DOM.dispatch(r.select("event_id", F.col("r.category").alias("category")))
+    return d.select("event_id", "agent", "disclaimer", F.md5("system_prompt").alias("system_prompt_md5"))
+
+
+@register
+def q_parse_answer(spark, sf):
+    m = V.model_out_v(spark, sf).select("doc_id", P.parse_answer("raw").alias("a"))
+    return m.select("doc_id", F.md5("a.answer").alias("answer_md5"),
+                    F.char_length("a.answer").cast("bigint").alias("answer_len"), "a.rating_text")
+
+
+@register
+def q_parse_rating(spark, sf):
+    m = V.model_out_v(spark, sf).select("doc_id", P.parse_answer("raw").alias("a"))
+    return m.select("doc_id", P.parse_rating("a.rating_text").alias("rating"))
+
+
+def _hybrid_hits(spark, sf):
+    return hybrid.hybrid_topk(_vec_hits(spark, sf), _lex_hits(spark, sf), V.corpus_v(spark, sf))
+
+
+@register
+def q_retrieval_score(spark, sf):
+    s = CONF.retrieval_score(V.query_v(spark, sf), _hybrid_hits(spark, sf))
+    return s.select("query_id", "domain", "n_hits", r6(F.col("retrieval_score")).alias("retrieval_score"))
+
+
+@register
+def q_confidence(spark, sf):
+    q = V.query_v(spark, sf)
+    rs = CONF.retrieval_score(q, _hybrid_hits(spark, sf))
+    rating = V.model_out_v(spark, sf).select(F.col("doc_id").alias("query_id"),
+                                             P.parse_answer("raw")["rating_text"].alias("rating_text"))
+    j = (rs.join(rating, "query_id", "left")
+         .withColumn("router_confidence", ((F.col("query_id") * 104729) % 1000) / 1000.0))
+    out = CONF.score(j)
+    return out.select("query_id", "domain", r6(F.col("retrieval_score")).alias("retrieval_score"),
+                      "llm_score", "confidence", "low_confidence")
+
+
+@register
+def q_present_answers(spark, sf):
+    a = _audit(spark, sf)
+    return a.select("audit_id", F.substring("audit_id", 1, 8).alias("audit_short"),
+                    P.confidence_band("final_confidence").alias("band"),
+                    F.round(F.coalesce("final_confidence", F.lit(0.0)) * 100).cast("bigint").alias("pct"),
+                    F.transform("retrieved_sources", P.source_basename).alias("files"))

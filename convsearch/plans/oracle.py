@@ -272,3 +272,109 @@ SELECT audit_id, date, routed_to, round(router_confidence, 4) AS router_confiden
   CASE WHEN cache_hit THEN coalesce(low_confidence, false) ELSE low_confidence END AS low_confidence_flag,
   CAST(latency_ms AS BIGINT) AS response_latency_ms, coalesce(cache_hit, false) AS cache_hit
 FROM resp"""
+
+# ---------------------------------------------------------------- parsers / confidence
+from ..functions.domains import DISCLAIMERS, SYSTEM_PROMPTS  # noqa: E402
+from ..functions.parse import ROUTING_TERMS  # noqa: E402
+from .sqlviews import MODEL_OUT_V, ROUTER_RAW_V  # noqa: E402
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+PARSE_ROUTER_CTES = f"""
+rr AS ({ROUTER_RAW_V}),
+r1 AS (SELECT event_id, raw, {strip_sql('raw')} AS s FROM rr),
+r2 AS (SELECT *, json_valid(s) AS valid FROM r1),
+r3 AS (SELECT *, valid AND starts_with(s, '{{') AND ends_with(s, '}}')
+                 AND (CASE WHEN valid THEN json_type(s) END) = 'OBJECT' AS is_obj FROM r2),
+r4 AS (SELECT *, valid AND NOT is_obj AS non_obj,
+        CASE WHEN is_obj THEN json_type(s, '$.category') END AS cat_t,
+        CASE WHEN is_obj THEN json_type(s, '$.confidence') END AS conf_t,
+        CASE WHEN is_obj THEN json_extract_string(s, '$.category') END AS cat_s,
+        CASE WHEN is_obj THEN json_extract_string(s, '$.confidence') END AS conf_s FROM r3),
+r5 AS (SELECT *, is_obj AND ((cat_t IS NOT NULL AND cat_t <> 'VARCHAR') OR conf_t IN ('NULL', 'ARRAY', 'OBJECT')) AS bad,
+        CASE WHEN conf_t IS NULL THEN 0.5::DOUBLE WHEN conf_t = 'BOOLEAN' THEN (CASE WHEN conf_s = 'true' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+             ELSE TRY_CAST(conf_s AS DOUBLE) END AS json_conf,
+        lower({strip_sql("coalesce(cat_s, '')")}) AS json_cat,
+        lower(regexp_extract(raw, '(?i)"category"\\s*:\\s*"(\\w+)"', 1)) AS rx_cat,
+        regexp_extract(raw, '"confidence"\\s*:\\s*([0-9.]+)', 1) AS rx_conf FROM r4),
+parsed AS (SELECT event_id,
+   CASE WHEN non_obj OR bad THEN 'escalation'
+        WHEN is_obj AND json_conf IS NOT NULL AND json_cat IN ('billing', 'returns', 'escalation') THEN json_cat
+        WHEN rx_cat IN ('billing', 'returns', 'escalation') THEN rx_cat ELSE 'escalation' END AS category,
+   CASE WHEN non_obj OR bad THEN 0.5::DOUBLE
+        WHEN is_obj AND json_conf IS NOT NULL AND json_cat IN ('billing', 'returns', 'escalation') THEN json_conf
+        ELSE coalesce(CASE WHEN rx_conf <> '' THEN TRY_CAST(rx_conf AS DOUBLE) END, 0.5::DOUBLE) END AS confidence,
+   non_obj OR bad AS failed FROM r5),
+routed AS (SELECT event_id, CASE WHEN failed THEN 'escalation' WHEN confidence < 0.65::DOUBLE THEN 'escalation' ELSE category END AS category,
+   CASE WHEN failed THEN 0.5::DOUBLE ELSE confidence END AS confidence FROM parsed)
+"""
+
+ORACLE["parse_router"] = f"WITH {PARSE_ROUTER_CTES} SELECT event_id, category, confidence, failed FROM parsed"
+ORACLE["route_queries"] = f"WITH {PARSE_ROUTER_CTES} SELECT event_id, category, confidence FROM routed"
+
+
+def _sq(s: str) -> str:
+    return s.replace("'", "''")
+
+
+_dom_rows = ", ".join(f"('{d}', '{_sq(SYSTEM_PROMPTS[d])}', '{_sq(DISCLAIMERS[d])}')" for d in SYSTEM_PROMPTS)
+ORACLE["domain_dispatch"] = f"""WITH {PARSE_ROUTER_CTES},
+doms AS (SELECT * FROM (VALUES {_dom_rows}) d(agent, system_prompt, disclaimer))
+SELECT r.event_id, d.agent, d.disclaimer, md5(d.system_prompt) AS system_prompt_md5
+FROM routed r LEFT JOIN doms d ON d.agent = CASE WHEN r.category IN ('billing', 'returns', 'escalation') THEN r.category ELSE 'escalation' END"""
+
+_wr = "regexp_extract_all(lower(text), '[\\pL\\pN_]+')"
+_cnts = {c: f"len(list_filter(toks, lambda t: t IN ({', '.join(repr(x) for x in ts)})))" for c, ts in ROUTING_TERMS.items()}
+ORACLE["route_lexical"] = f"""
+WITH t AS (SELECT doc_id, {_wr} AS toks FROM documents),
+c AS (SELECT doc_id, {', '.join(f'{e} AS n_{c}' for c, e in _cnts.items())} FROM t),
+b AS (SELECT *, n_billing + n_returns + n_escalation AS total, greatest(n_billing, n_returns, n_escalation) AS best FROM c),
+w AS (SELECT *, (CASE WHEN n_billing = best THEN 1 ELSE 0 END) + (CASE WHEN n_returns = best THEN 1 ELSE 0 END)
+        + (CASE WHEN n_escalation = best THEN 1 ELSE 0 END) AS n_best,
+      CASE WHEN n_billing = best THEN 'billing' WHEN n_returns = best THEN 'returns' ELSE 'escalation' END AS winner FROM b),
+r AS (SELECT doc_id, CASE WHEN total > 0 AND n_best = 1 THEN winner ELSE 'escalation' END AS cat,
+        CASE WHEN total > 0 AND n_best = 1 THEN best / total ELSE 0.5::DOUBLE END AS conf FROM w)
+SELECT doc_id, CASE WHEN conf < 0.65::DOUBLE THEN 'escalation' ELSE cat END AS category, round(conf, 6) AS confidence FROM r"""
+
+ANSWER_CTES = f"""
+mo AS ({MODEL_OUT_V}),
+pa AS (SELECT doc_id,
+   CASE WHEN regexp_matches(raw, '(?is)ANSWER:') THEN {strip_sql("regexp_extract(raw, '(?is)ANSWER:\\s*(.*?)(?:\\n\\s*CONFIDENCE:|$)', 1)")}
+        ELSE {strip_sql('raw')} END AS answer,
+   CASE WHEN regexp_matches(raw, '(?is)CONFIDENCE:') THEN {strip_sql("regexp_extract(raw, '(?is)CONFIDENCE:\\s*(.*)', 1)")}
+        ELSE '' END AS rating_text FROM mo),
+pr AS (SELECT doc_id, rating_text, regexp_extract_all(coalesce(rating_text, ''), '\\b(0(?:\\.\\d+)?|1(?:\\.0+)?)\\b', 1) AS m FROM pa),
+rating AS (SELECT doc_id, rating_text, CASE WHEN len(m) > 0 AND TRY_CAST(m[-1] AS DOUBLE) IS NOT NULL
+     THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, CAST(m[-1] AS DOUBLE))) ELSE 0.5::DOUBLE END AS rating FROM pr)
+"""
+
+ORACLE["parse_answer"] = f"""WITH {ANSWER_CTES}
+SELECT doc_id, md5(answer) AS answer_md5, CAST(length(answer) AS BIGINT) AS answer_len, rating_text FROM pa"""
+
+ORACLE["parse_rating"] = f"WITH {ANSWER_CTES} SELECT doc_id, rating FROM rating"
+
+RS_CTES = f"""{HYBRID_CTES},
+rs_agg AS (SELECT query_id, domain, count(*) AS n_hits, sum(score * (1.0::DOUBLE / rank)) / sum(1.0::DOUBLE / rank) AS rs
+   FROM hybrid GROUP BY query_id, domain),
+rscore AS (SELECT q.query_id, q.domain, CAST(coalesce(a.n_hits, 0) AS BIGINT) AS n_hits, coalesce(a.rs, 0.0::DOUBLE) AS retrieval_score
+   FROM queries q LEFT JOIN rs_agg a USING (query_id, domain))
+"""
+
+ORACLE["retrieval_score"] = f"WITH {RS_CTES} SELECT query_id, domain, n_hits, round(retrieval_score, 6) AS retrieval_score FROM rscore"
+
+ORACLE["confidence"] = f"""WITH {RS_CTES}, {ANSWER_CTES},
+j AS (SELECT s.*, r.rating_text, r.rating, ((s.query_id * 104729) % 1000) / 1000.0::DOUBLE AS router_confidence
+      FROM rscore s LEFT JOIN rating r ON r.doc_id = s.query_id),
+l AS (SELECT *, CASE WHEN coalesce(rating_text, '') = '' THEN 0.5::DOUBLE ELSE rating END AS llm_score FROM j),
+f AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * router_confidence + 0.4::DOUBLE * retrieval_score + 0.3::DOUBLE * llm_score)), 4) AS confidence FROM l)
+SELECT query_id, domain, round(retrieval_score, 6) AS retrieval_score, llm_score, confidence, confidence < 0.65::DOUBLE AS low_confidence FROM f"""
+
+ORACLE["present_answers"] = f"""WITH audit AS ({AUDIT_V})
+SELECT audit_id, substring(audit_id, 1, 8) AS audit_short,
+  CASE WHEN coalesce(final_confidence, 0.0) >= 0.65::DOUBLE THEN 'good' WHEN coalesce(final_confidence, 0.0) >= 0.5::DOUBLE THEN 'warn' ELSE 'bad' END AS band,
+  CAST(round(coalesce(final_confidence, 0.0) * 100) AS BIGINT) AS pct,
+  list_transform(retrieved_sources, lambda p: string_split_regex(p, '[\\\\/]')[-1]) AS files
+FROM audit"""

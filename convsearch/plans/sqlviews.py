@@ -75,3 +75,28 @@ def sq_l2(a: str, b: str) -> str:
     return sum_list(
         f"list_transform(list_zip({a}, {b}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) "
         f"* (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))")
+
+AGENT_CASE = ("CASE event_type WHEN 'click' THEN 'billing' WHEN 'view' THEN 'billing' WHEN 'purchase' THEN 'returns' "
+              "WHEN 'signup' THEN 'returns' WHEN 'error' THEN 'escalation' END")
+
+ROUTER_RAW_V = f"""SELECT event_id, CASE event_id % 8
+  WHEN 0 THEN '{{"category": "' || cat || '", "confidence": ' || c || '}}'
+  WHEN 1 THEN '{{"category": "' || upper(substring(cat, 1, 1)) || substring(cat, 2, 100) || ' ", "confidence": "' || c || '"}}'
+  WHEN 2 THEN '{{"category": "shipping", "confidence": ' || c || '}}'
+  WHEN 3 THEN 'Sure! {{"category": "' || cat || '", "confidence": ' || c || '}} Hope that helps.'
+  WHEN 4 THEN 'I think this is about ' || cat || '.'
+  WHEN 5 THEN '{{"category": "' || cat || '", "confidence": 1.2.3}}'
+  WHEN 6 THEN '{{"category": "' || cat || '", "confidence": null}}'
+  ELSE '[' || c || ']' END AS raw
+FROM (SELECT event_id, {AGENT_CASE} AS cat,
+        '0.' || lpad(CAST((event_id * 104729) % 1000 AS VARCHAR), 3, '0') AS c FROM events)"""
+
+MODEL_OUT_V = """SELECT doc_id, CASE doc_id % 4
+  WHEN 0 THEN 'ANSWER: ' || text || chr(10) || 'CONFIDENCE: ' || rating
+  WHEN 1 THEN 'ANSWER: ' || text
+  WHEN 2 THEN 'CONFIDENCE: ' || rating
+  ELSE text END AS raw
+FROM (SELECT doc_id, text, CASE doc_id % 5
+  WHEN 0 THEN '0.' || lpad(CAST((doc_id * 37) % 100 AS VARCHAR), 2, '0')
+  WHEN 1 THEN '0.85/1.0' WHEN 2 THEN '1.5' WHEN 3 THEN '85%'
+  ELSE 'about 0.7 or 0.' || CAST(doc_id % 10 AS VARCHAR) END AS rating FROM documents)"""

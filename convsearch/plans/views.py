@@ -128,3 +128,46 @@ def lookup_v(spark: SparkSession, sf: str) -> DataFrame:
         "vec",
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
          + F.make_dt_interval(mins=(F.col("vec_id") + 30 + F.col("vec_id") % 90).cast("int"))).alias("ts"))
+
+
+def _agent_of(event_type):
+    return F.element_at(F.create_map(*[x for kv in EVENT_AGENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]),
+                        event_type)
+
+
+def router_raw_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Router model outputs, one per event, in eight shapes by event_id % 8:
+    JSON; JSON with capitalised category and string confidence; unknown
+    category; JSON inside prose; no JSON; bad number; null confidence;
+    JSON array."""
+    ev = table(spark, sf, "events")
+    cat = _agent_of(F.col("event_type"))
+    c = F.concat(F.lit("0."), F.lpad(((F.col("event_id") * 104729) % 1000).cast("string"), 3, "0"))
+    cap = F.concat(F.upper(F.substring(cat, 1, 1)), F.substring(cat, 2, 100))
+    k = F.col("event_id") % 8
+    out = (F.when(k == 0, F.concat(F.lit('{"category": "'), cat, F.lit('", "confidence": '), c, F.lit("}")))
+           .when(k == 1, F.concat(F.lit('{"category": "'), cap, F.lit(' ", "confidence": "'), c, F.lit('"}')))
+           .when(k == 2, F.concat(F.lit('{"category": "shipping", "confidence": '), c, F.lit("}")))
+           .when(k == 3, F.concat(F.lit('Sure! {"category": "'), cat, F.lit('", "confidence": '), c,
+                                  F.lit("} Hope that helps.")))
+           .when(k == 4, F.concat(F.lit("I think this is about "), cat, F.lit(".")))
+           .when(k == 5, F.concat(F.lit('{"category": "'), cat, F.lit('", "confidence": 1.2.3}')))
+           .when(k == 6, F.concat(F.lit('{"category": "'), cat, F.lit('", "confidence": null}')))
+           .otherwise(F.concat(F.lit("["), c, F.lit("]"))))
+    return ev.select("event_id", out.alias("raw"))
+
+
+def model_out_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Answer-model outputs, one per document (whole text): by doc_id % 4
+    both lines, answer only, rating only, neither; five rating shapes."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id")
+    rating = (F.when(i % 5 == 0, F.concat(F.lit("0."), F.lpad(((i * 37) % 100).cast("string"), 2, "0")))
+              .when(i % 5 == 1, F.lit("0.85/1.0")).when(i % 5 == 2, F.lit("1.5"))
+              .when(i % 5 == 3, F.lit("85%"))
+              .otherwise(F.concat(F.lit("about 0.7 or 0."), (i % 10).cast("string"))))
+    out = (F.when(i % 4 == 0, F.concat(F.lit("ANSWER: "), F.col("text"), F.lit("\nCONFIDENCE: "), rating))
+           .when(i % 4 == 1, F.concat(F.lit("ANSWER: "), F.col("text")))
+           .when(i % 4 == 2, F.concat(F.lit("CONFIDENCE: "), rating))
+           .otherwise(F.col("text")))
+    return d.select("doc_id", out.alias("raw"))
