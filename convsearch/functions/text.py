@@ -81,7 +81,7 @@ def fingerprint(content, n: int) -> Column:
 
 def reference_phrases(text) -> Column:
     """First match of each cross-reference pattern (nulls dropped)."""
-    matches = [F.regexp_extract(_c(text), F.lit("(?iU)(" + p + ")"), 1) for p in REFERENCE_PATTERNS]
+    matches = [F.regexp_extract(_c(text), "(?iU)(" + p + ")", 1) for p in REFERENCE_PATTERNS]
     return F.filter(F.array(*matches), lambda m: m != "")
 
 

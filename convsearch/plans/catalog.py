@@ -339,3 +339,32 @@ def q_present_answers(spark, sf):
                     P.confidence_band("final_confidence").alias("band"),
                     F.round(F.coalesce("final_confidence", F.lit(0.0)) * 100).cast("bigint").alias("pct"),
                     F.transform("retrieved_sources", P.source_basename).alias("files"))
+
+
+# ---------------------------------------------------------------- reference graph
+from ..operators import refgraph  # noqa: E402
+
+
+def _graph(spark, sf):
+    return refgraph.build_graph(V.policy_v(spark, sf))
+
+
+@register
+def q_reference_phrases(spark, sf):
+    return refgraph.reference_phrases(V.policy_v(spark, sf)).select("domain", "chunk_id", "phrases")
+
+
+@register
+def q_reference_edges(spark, sf):
+    return refgraph.reference_edges(_graph(spark, sf))
+
+
+@register
+def q_graph_stats(spark, sf):
+    return refgraph.graph_stats(_graph(spark, sf))
+
+
+@register
+def q_graph_expand(spark, sf):
+    e = refgraph.expand(_vec_hits(spark, sf), _graph(spark, sf), hops=1)
+    return e.select("query_id", "domain", "pos", "chunk_id", "source", "seed")

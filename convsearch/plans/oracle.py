@@ -378,3 +378,43 @@ SELECT audit_id, substring(audit_id, 1, 8) AS audit_short,
   CAST(round(coalesce(final_confidence, 0.0) * 100) AS BIGINT) AS pct,
   list_transform(retrieved_sources, lambda p: string_split_regex(p, '[\\\\/]')[-1]) AS files
 FROM audit"""
+
+# ---------------------------------------------------------------- reference graph
+from ..functions.text import REFERENCE_PATTERNS  # noqa: E402
+from .sqlviews import POLICY_V  # noqa: E402
+
+_phr = ", ".join(f"regexp_extract(content, '(?i)({p})', 1)" for p in REFERENCE_PATTERNS)
+GRAPH_CTES = f"""
+policy AS ({POLICY_V}),
+phr AS (SELECT domain, chunk_id, list_filter([{_phr}], lambda x: x <> '') AS phrases FROM policy),
+nodes AS (SELECT domain, chunk_id, source, left(content, 80) AS fp80 FROM policy),
+refs AS (SELECT domain, chunk_id, unnest(list_distinct(flatten(list_transform(phrases, lambda p: {tok('p')})))) AS word FROM phr),
+words AS (SELECT domain, chunk_id, unnest(list_distinct({tok('content')})) AS word FROM policy),
+edges AS (SELECT DISTINCT r.domain, r.chunk_id AS src, w.chunk_id AS dst FROM refs r JOIN words w
+          ON w.domain = r.domain AND w.word = r.word WHERE r.chunk_id <> w.chunk_id)
+"""
+
+ORACLE["reference_phrases"] = f"WITH {GRAPH_CTES} SELECT domain, chunk_id, phrases FROM phr WHERE len(phrases) > 0"
+ORACLE["reference_edges"] = f"WITH {GRAPH_CTES} SELECT domain, src, dst FROM edges"
+ORACLE["graph_stats"] = f"""WITH {GRAPH_CTES},
+n AS (SELECT domain, count(*) AS nodes FROM nodes GROUP BY domain),
+e AS (SELECT domain, count(*) AS edges FROM edges GROUP BY domain)
+SELECT n.domain, n.nodes, CAST(coalesce(e.edges, 0) AS BIGINT) AS edges FROM n LEFT JOIN e USING (domain)"""
+
+ORACLE["graph_expand"] = f"""WITH {GRAPH_CTES}, {VEC_CTES},
+seed_rows AS (SELECT s.query_id, s.domain, s.rank, s.chunk_id, n.source, n.fp80 FROM vec_hits s JOIN nodes n USING (domain, chunk_id)),
+seed_fps AS (SELECT DISTINCT query_id, domain, fp80 FROM seed_rows),
+start AS (SELECT DISTINCT f.query_id, f.domain, n.chunk_id FROM seed_fps f JOIN nodes n USING (domain, fp80)),
+succ AS (SELECT s.query_id, s.domain, w.chunk_id FROM start s JOIN refs r USING (domain, chunk_id)
+         JOIN words w ON w.domain = r.domain AND w.word = r.word),
+pred AS (SELECT s.query_id, s.domain, r.chunk_id FROM start s JOIN words w USING (domain, chunk_id)
+         JOIN refs r ON r.domain = w.domain AND r.word = w.word),
+nxt AS (SELECT * FROM succ UNION SELECT * FROM pred EXCEPT SELECT * FROM start),
+added AS (SELECT a.query_id, a.domain, a.chunk_id, n.source, n.fp80 FROM nxt a JOIN nodes n USING (domain, chunk_id)
+          ANTI JOIN seed_fps f USING (query_id, domain, fp80)),
+added1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, domain, fp80 ORDER BY chunk_id) AS r FROM added) WHERE r = 1),
+nseeds AS (SELECT query_id, domain, count(*) AS n FROM seed_rows GROUP BY query_id, domain)
+SELECT query_id, domain, CAST(rank AS BIGINT) AS pos, chunk_id, source, true AS seed FROM seed_rows
+UNION ALL
+SELECT a.query_id, a.domain, CAST(s.n + row_number() OVER (PARTITION BY a.query_id, a.domain ORDER BY a.chunk_id) AS BIGINT) AS pos,
+  a.chunk_id, a.source, false AS seed FROM added1 a JOIN nseeds s USING (query_id, domain)"""
