@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -368,3 +368,64 @@ def q_graph_stats(spark, sf):
 def q_graph_expand(spark, sf):
     e = refgraph.expand(_vec_hits(spark, sf), _graph(spark, sf), hops=1)
     return e.select("query_id", "domain", "pos", "chunk_id", "source", "seed")
+
+
+# ---------------------------------------------------------------- sessions / cache
+from ..operators import cache as CACHE  # noqa: E402
+from ..operators import sessions as SES  # noqa: E402
+
+
+@register
+def q_sessionize(spark, sf):
+    s = SES.sessionize(V.turns_v(spark, sf), ttl_seconds=1800)
+    return s.select("session_id", "seq", "epoch", "turn_no")
+
+
+@register
+def q_session_context(spark, sf):
+    s = SES.sessionize(V.turns_v(spark, sf), ttl_seconds=6 * 3600)
+    h = SES.history(s)
+    return h.select("session_id", "seq", "epoch", "turn_no", F.size("history").cast("bigint").alias("n_history"),
+                    SES.format_history("history").alias("history_text"))
+
+
+@register
+def q_format_history(spark, sf):
+    c = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    last = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 20)
+    h = (last.groupBy("conv_id")
+         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+         .select("conv_id", F.transform("h", lambda x: F.struct(x["role"].alias("role"),
+                                                                x["content"].alias("content"))).alias("history")))
+    return h.select("conv_id", F.size("history").cast("bigint").alias("n_turns"),
+                    SES.format_history("history").alias("history_text"))
+
+
+@register
+def q_cache_lookup(spark, sf):
+    r = CACHE.cache_lookup(V.lookup_v(spark, sf), V.cache_v(spark, sf), threshold=0.92, ttl_seconds=3600)
+    return r.select("lookup_id", "domain", "best_entry_id", r6(F.col("best_sim")).alias("best_sim"), "hit")
+
+
+def _audit_lookups(spark, sf):
+    a = _audit(spark, sf)
+    lookups = a.select(F.col("audit_id").alias("lookup_id"), F.col("routed_to").alias("domain"),
+                       F.col("redacted_query").alias("query"), F.col("timestamp").alias("ts"))
+    entries = a.filter(~F.col("cache_hit")).select(F.col("audit_id").alias("entry_id"), F.col("routed_to").alias("domain"),
+                                                   F.col("redacted_query").alias("query"),
+                                                   F.col("timestamp").alias("stored_at"))
+    return lookups, entries
+
+
+@register
+def q_cache_exact(spark, sf):
+    lookups, entries = _audit_lookups(spark, sf)
+    return CACHE.cache_exact(lookups, entries, ttl_seconds=3600)
+
+
+@register
+def q_cache_misses(spark, sf):
+    lk = V.lookup_v(spark, sf)
+    r = CACHE.cache_lookup(lk, V.cache_v(spark, sf), threshold=0.92, ttl_seconds=3600)
+    return CACHE.cache_misses(lk, r).select("lookup_id", "domain")

@@ -418,3 +418,56 @@ SELECT query_id, domain, CAST(rank AS BIGINT) AS pos, chunk_id, source, true AS
 UNION ALL
 SELECT a.query_id, a.domain, CAST(s.n + row_number() OVER (PARTITION BY a.query_id, a.domain ORDER BY a.chunk_id) AS BIGINT) AS pos,
   a.chunk_id, a.source, false AS seed FROM added1 a JOIN nseeds s USING (query_id, domain)"""
+
+# ---------------------------------------------------------------- sessions / cache
+from .sqlviews import CACHE_V, LOOKUP_V, TURNS_V, dot  # noqa: E402
+
+
+def sessions_sql(ttl_seconds: int) -> str:
+    return f"""
+t AS ({TURNS_V}),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, seq) AS prev FROM t),
+n AS (SELECT *, CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= {ttl_seconds * 1_000_000} THEN 1 ELSE 0 END AS is_new FROM l),
+e AS (SELECT *, sum(is_new) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS epoch FROM n),
+s AS (SELECT *, row_number() OVER (PARTITION BY session_id, epoch ORDER BY ts, seq) AS turn_no FROM e)
+"""
+
+
+ORACLE["sessionize"] = f"""WITH {sessions_sql(1800)}
+SELECT session_id, seq, CAST(epoch AS BIGINT) AS epoch, CAST(turn_no AS BIGINT) AS turn_no FROM s"""
+
+_line = "upper(substring(coalesce(role, 'user'), 1, 1)) || lower(substring(coalesce(role, 'user'), 2)) || ': ' || coalesce({c}, '')"
+
+ORACLE["session_context"] = f"""WITH {sessions_sql(6 * 3600)},
+h AS (SELECT *, list({_line.format(c='content')}) OVER (PARTITION BY session_id, epoch ORDER BY turn_no
+        ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS lines FROM s)
+SELECT session_id, seq, CAST(epoch AS BIGINT) AS epoch, CAST(turn_no AS BIGINT) AS turn_no,
+  CAST(coalesce(len(lines), 0) AS BIGINT) AS n_history,
+  CASE WHEN coalesce(len(lines), 0) > 0 THEN array_to_string(lines, chr(10)) ELSE '' END AS history_text FROM h"""
+
+ORACLE["format_history"] = f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+SELECT conv_id, count(*) AS n_turns, string_agg({_line.format(c='text')}, chr(10) ORDER BY turn) AS history_text
+FROM r WHERE rn <= 20 GROUP BY conv_id"""
+
+CACHE_CTES = f"""
+ce AS ({CACHE_V}), lk AS ({LOOKUP_V}),
+cand AS (SELECT lk.lookup_id, ce.entry_id, ce.stored_at, {dot('lk.vec', 'ce.vec')} AS sim
+   FROM lk JOIN ce ON ce.domain = lk.domain AND ce.stored_at <= lk.ts AND lk.ts < ce.stored_at + INTERVAL 3600 SECOND),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY sim DESC, stored_at, entry_id) AS r
+   FROM cand WHERE sim > 0) WHERE r = 1),
+res AS (SELECT lk.lookup_id, lk.domain, b.entry_id AS best_entry_id, b.sim AS best_sim, coalesce(b.sim >= 0.92::DOUBLE, false) AS hit
+   FROM lk LEFT JOIN best b USING (lookup_id))
+"""
+
+ORACLE["cache_lookup"] = f"WITH {CACHE_CTES} SELECT lookup_id, domain, best_entry_id, round(best_sim, 6) AS best_sim, hit FROM res"
+ORACLE["cache_misses"] = f"WITH {CACHE_CTES} SELECT lookup_id, domain FROM res WHERE NOT hit"
+
+ORACLE["cache_exact"] = f"""WITH audit AS ({AUDIT_V}),
+lk AS (SELECT audit_id AS lookup_id, "timestamp" AS ts, md5(routed_to || ':' || redacted_query) AS key FROM audit),
+en AS (SELECT audit_id AS entry_id, "timestamp" AS stored_at, md5(routed_to || ':' || redacted_query) AS key FROM audit WHERE NOT cache_hit),
+c AS (SELECT lk.lookup_id, en.entry_id, en.stored_at FROM lk JOIN en ON en.key = lk.key AND en.stored_at < lk.ts
+      AND lk.ts < en.stored_at + INTERVAL 3600 SECOND),
+agg AS (SELECT lookup_id, count(*) AS n_live, arg_max(entry_id, {{'s': stored_at, 'e': entry_id}}) AS entry_id FROM c GROUP BY lookup_id)
+SELECT lk.lookup_id, lk.key, agg.n_live IS NOT NULL AS exact_hit, CAST(coalesce(agg.n_live, 0) AS BIGINT) AS n_live, agg.entry_id
+FROM lk LEFT JOIN agg USING (lookup_id)"""
