@@ -429,3 +429,48 @@ def q_cache_misses(spark, sf):
     lk = V.lookup_v(spark, sf)
     r = CACHE.cache_lookup(lk, V.cache_v(spark, sf), threshold=0.92, ttl_seconds=3600)
     return CACHE.cache_misses(lk, r).select("lookup_id", "domain")
+
+
+# ---------------------------------------------------------------- eval suite
+from ..functions import assertions as ASR  # noqa: E402
+from ..operators import evalsuite  # noqa: E402
+
+
+def _eval(spark, sf):
+    return V.eval_cases_v(spark, sf), V.eval_outputs_v(spark, sf)
+
+
+@register
+def q_parse_eval_meta(spark, sf):
+    o = V.eval_outputs_v(spark, sf).select("case_id", ASR.parse_meta("output").alias("m"),
+                                            ASR.clean_output("output").alias("clean"))
+    return o.select("case_id", F.col("m.agent").alias("agent"),
+                    F.size(F.coalesce("m.sources", F.array().cast("array<string>"))).cast("bigint").alias("n_sources"),
+                    F.col("m.confidence").alias("confidence"), F.col("m.latency_ms").alias("latency_ms"),
+                    F.md5("clean").alias("clean_md5"), F.char_length("clean").cast("bigint").alias("clean_len"))
+
+
+@register
+def q_eval_assertions(spark, sf):
+    c, o = _eval(spark, sf)
+    return evalsuite.assertion_rows(c, o).select("case_id", "ord", "assertion", "pass",
+                                                 r6(F.col("score")).alias("score"), "reason")
+
+
+@register
+def q_eval_edge_cases(spark, sf):
+    c, o = _eval(spark, sf)
+    r = evalsuite.assertion_rows(c.filter(F.col("custom_check").isNotNull()), o)
+    return r.filter(F.col("ord") == 5).select("case_id", F.col("assertion").alias("check"), "pass", "reason")
+
+
+@register
+def q_eval_summary(spark, sf):
+    c, o = _eval(spark, sf)
+    return evalsuite.summary(c, o)
+
+
+@register
+def q_eval_failures(spark, sf):
+    c, o = _eval(spark, sf)
+    return evalsuite.failures(c, o)

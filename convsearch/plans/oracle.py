@@ -471,3 +471,103 @@ c AS (SELECT lk.lookup_id, en.entry_id, en.stored_at FROM lk JOIN en ON en.key =
 agg AS (SELECT lookup_id, count(*) AS n_live, arg_max(entry_id, {{'s': stored_at, 'e': entry_id}}) AS entry_id FROM c GROUP BY lookup_id)
 SELECT lk.lookup_id, lk.key, agg.n_live IS NOT NULL AS exact_hit, CAST(coalesce(agg.n_live, 0) AS BIGINT) AS n_live, agg.entry_id
 FROM lk LEFT JOIN agg USING (lookup_id)"""
+
+# ---------------------------------------------------------------- eval suite
+from ..functions.assertions import KNOWN_NUMBERS, SUSPICIOUS_PATTERNS  # noqa: E402
+from .sqlviews import EVAL_CASES_V, EVAL_OUTPUTS_V  # noqa: E402
+
+_known = ", ".join("'" + k.lower().replace("'", "''") + "'" for k in KNOWN_NUMBERS)
+EVAL_CTES = f"""
+cases AS ({EVAL_CASES_V}),
+outs AS ({EVAL_OUTPUTS_V}),
+j0 AS (SELECT c.*, o.output, regexp_extract(coalesce(o.output, ''), '<!--CXMETA:(.+?)-->', 1) AS m FROM cases c LEFT JOIN outs o USING (case_id)),
+j AS (SELECT *,
+   CASE WHEN json_valid(m) THEN json_extract_string(m, '$.agent') END AS agent,
+   CASE WHEN json_valid(m) THEN CAST(json_extract(m, '$.sources') AS VARCHAR[]) END AS sources,
+   CASE WHEN json_valid(m) THEN TRY_CAST(json_extract_string(m, '$.confidence') AS DOUBLE) END AS conf,
+   CASE WHEN json_valid(m) THEN TRY_CAST(json_extract_string(m, '$.latency_ms') AS BIGINT) END AS lat,
+   {strip_sql("regexp_replace(coalesce(output, ''), '\\n*<!--CXMETA:.+?-->', '')")} AS clean FROM j0),
+jf AS (SELECT *, lower(clean) AS lt FROM j),
+jk AS (SELECT *, len(list_filter([{_known}], lambda k: contains(lt, k))) > 0 AS known,
+   regexp_extract(lt, '{SUSPICIOUS_PATTERNS[0]}', 0) AS f1, regexp_extract(lt, '{SUSPICIOUS_PATTERNS[1]}', 0) AS f2 FROM jf),
+jx AS (SELECT *, list_filter([CASE WHEN f1 <> '' AND NOT known THEN f1 END, CASE WHEN f2 <> '' AND NOT known THEN f2 END],
+   lambda x: x IS NOT NULL) AS flags, coalesce(conf, 0.0::DOUBLE) AS c0, coalesce(lat, 0) AS l0,
+   coalesce(sources, []::VARCHAR[]) AS s0 FROM jk),
+arows AS (
+ SELECT case_id, 1 AS ord, 'has_source' AS assertion, len(s0) > 0 AS pass, CASE WHEN len(s0) > 0 THEN 1.0 ELSE 0.0 END AS score,
+   CASE WHEN len(s0) > 0 THEN 'Cited ' || CAST(len(s0) AS VARCHAR) || ' source(s): ' || array_to_string(s0, ', ')
+        ELSE 'No source documents cited — potential hallucination' END AS reason FROM jx
+ UNION ALL
+ SELECT case_id, 2, 'latency', l0 <= 8000, CASE WHEN l0 <= 8000 THEN 1.0 ELSE greatest(0.0, 1 - (l0 - 8000) / 8000.0::DOUBLE) END,
+   CASE WHEN l0 <= 8000 THEN 'Latency ' || CAST(l0 AS VARCHAR) || 'ms ≤ 8000ms' ELSE 'Slow: ' || CAST(l0 AS VARCHAR) || 'ms > 8000ms' END FROM jx
+ UNION ALL
+ SELECT case_id, 3, 'confidence', c0 >= 0.60::DOUBLE, c0,
+   CASE WHEN c0 >= 0.60::DOUBLE THEN 'Confidence ' || printf('%.3f', c0) || ' ≥ 0.6' ELSE 'Low confidence: ' || printf('%.3f', c0) || ' < 0.6' END FROM jx
+ UNION ALL
+ SELECT case_id, 4, 'no_fabricated_facts', len(flags) = 0, CASE WHEN len(flags) = 0 THEN 1.0 ELSE 0.0 END,
+   CASE WHEN len(flags) = 0 THEN 'No fabricated facts detected' ELSE 'Possible fabricated facts: "' || array_to_string(flags, '", "') || '"' END FROM jx
+ UNION ALL
+ SELECT case_id, 5, custom_check,
+   CASE custom_check WHEN 'has_sources' THEN len(s0) > 0
+     WHEN 'ood_handled' THEN coalesce(agent = 'escalation', false) OR coalesce(conf, 1.0) < 0.65::DOUBLE
+     ELSE length(coalesce(output, '')) > 20 END AS p,
+   CASE WHEN (CASE custom_check WHEN 'has_sources' THEN len(s0) > 0
+     WHEN 'ood_handled' THEN coalesce(agent = 'escalation', false) OR coalesce(conf, 1.0) < 0.65::DOUBLE
+     ELSE length(coalesce(output, '')) > 20 END) THEN 1.0 ELSE 0.0 END,
+   CASE custom_check
+     WHEN 'has_sources' THEN CASE WHEN len(s0) > 0 THEN 'Has sources for cross-domain query' ELSE 'No sources on cross-domain query' END
+     WHEN 'ood_handled' THEN CASE WHEN coalesce(agent = 'escalation', false) OR coalesce(conf, 1.0) < 0.65::DOUBLE
+        THEN 'OOD query correctly handled ' ELSE 'OOD query not flagged ' END
+        || '(agent=' || coalesce(agent, 'undefined') || ', confidence=' || printf('%.2f', coalesce(conf, 1.0)) || ')'
+     ELSE CASE WHEN length(coalesce(output, '')) > 20 THEN 'Got meaningful response to short query' ELSE 'Response too short' END END
+ FROM jx WHERE custom_check IS NOT NULL
+ UNION ALL
+ SELECT case_id, 5, 'correct_agent', expected_agent IS NULL OR expected_agent = '' OR coalesce(agent = expected_agent, false),
+   CASE WHEN expected_agent IS NULL OR expected_agent = '' OR coalesce(agent = expected_agent, false) THEN 1.0 ELSE 0.0 END,
+   CASE WHEN expected_agent IS NULL OR expected_agent = '' THEN 'No expected_agent set'
+        WHEN coalesce(agent = expected_agent, false) THEN 'Correctly routed to ' || agent
+        ELSE 'Wrong agent: expected "' || expected_agent || '", got "' || coalesce(agent, 'undefined') || '"' END
+ FROM jx WHERE custom_check IS NULL
+ UNION ALL
+ SELECT case_id, 6, match_type,
+   CASE WHEN match_type = 'icontains' THEN contains(lower(coalesce(output, '')), lower(match_value)) ELSE contains(coalesce(output, ''), match_value) END,
+   CASE WHEN (CASE WHEN match_type = 'icontains' THEN contains(lower(coalesce(output, '')), lower(match_value)) ELSE contains(coalesce(output, ''), match_value) END) THEN 1.0 ELSE 0.0 END,
+   CASE WHEN (CASE WHEN match_type = 'icontains' THEN contains(lower(coalesce(output, '')), lower(match_value)) ELSE contains(coalesce(output, ''), match_value) END)
+     THEN 'Assertion passed' ELSE 'Expected output to ' || match_type || ' "' || match_value || '"' END
+ FROM jx WHERE custom_check IS NULL AND match_type IS NOT NULL),
+cres AS (SELECT c.case_id, c.description, coalesce(min(CAST(a.pass AS INTEGER)) = 1, false) AS pass FROM cases c
+   LEFT JOIN arows a USING (case_id) GROUP BY c.case_id, c.description),
+cmeta AS (SELECT r.case_id, r.pass, j.lat, j.conf FROM cres r JOIN jx j USING (case_id))
+"""
+
+ORACLE["parse_eval_meta"] = f"""WITH {EVAL_CTES}
+SELECT case_id, agent, CAST(len(coalesce(sources, []::VARCHAR[])) AS BIGINT) AS n_sources, conf AS confidence, lat AS latency_ms,
+  md5(clean) AS clean_md5, CAST(length(clean) AS BIGINT) AS clean_len FROM jx"""
+
+ORACLE["eval_assertions"] = f"""WITH {EVAL_CTES}
+SELECT case_id, CAST(ord AS BIGINT) AS ord, assertion, pass, round(CAST(score AS DOUBLE), 6) AS score, reason FROM arows"""
+
+ORACLE["eval_edge_cases"] = f"""WITH {EVAL_CTES}
+SELECT case_id, assertion AS "check", pass, reason FROM arows WHERE ord = 5 AND case_id IN (SELECT case_id FROM cases WHERE custom_check IS NOT NULL)"""
+
+ORACLE["eval_summary"] = f"""WITH {EVAL_CTES},
+rt AS (SELECT sum(CASE WHEN assertion = 'correct_agent' AND reason <> 'No expected_agent set' THEN 1 ELSE 0 END) AS routing_total,
+   sum(CASE WHEN assertion = 'correct_agent' AND reason <> 'No expected_agent set' AND pass THEN 1 ELSE 0 END) AS routing_correct,
+   sum(CASE WHEN assertion IN ('has_source', 'no_fabricated_facts') THEN 1 ELSE 0 END) AS hallucination_total,
+   sum(CASE WHEN assertion IN ('has_source', 'no_fabricated_facts') AND NOT pass THEN 1 ELSE 0 END) AS hallucinations FROM arows),
+tt AS (SELECT count(*) AS total_tests, CAST(sum(CAST(pass AS INTEGER)) AS BIGINT) AS passed,
+   CAST(round(avg(lat)) AS BIGINT) AS avg_latency_ms, round(avg(conf), 3) AS avg_confidence FROM cmeta),
+h AS (SELECT lat, count(*) AS c FROM cmeta WHERE lat IS NOT NULL GROUP BY lat),
+hc AS (SELECT *, sum(c) OVER (ORDER BY lat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(c) OVER () AS n FROM h),
+p AS (SELECT min(lat) AS p95 FROM hc WHERE cum >= floor(n * 0.95::DOUBLE) + 1)
+SELECT total_tests, passed, round(passed / total_tests * 100, 1) AS accuracy_pct,
+  CAST(routing_total AS BIGINT) AS routing_total, CAST(routing_correct AS BIGINT) AS routing_correct,
+  CASE WHEN routing_total > 0 THEN round(routing_correct / routing_total * 100, 1) END AS routing_accuracy_pct,
+  CAST(hallucination_total AS BIGINT) AS hallucination_total, CAST(hallucinations AS BIGINT) AS hallucinations,
+  CASE WHEN hallucination_total > 0 THEN round(hallucinations / hallucination_total * 100, 1) END AS hallucination_rate_pct,
+  avg_latency_ms, CAST(p95 AS BIGINT) AS p95_latency_ms, avg_confidence
+FROM tt, rt, p"""
+
+ORACLE["eval_failures"] = f"""WITH {EVAL_CTES}
+SELECT c.case_id, c.description, list(a.reason ORDER BY a.ord) AS reasons
+FROM cases c JOIN arows a USING (case_id) WHERE NOT a.pass GROUP BY c.case_id, c.description"""

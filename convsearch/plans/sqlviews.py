@@ -100,3 +100,19 @@ FROM (SELECT doc_id, text, CASE doc_id % 5
   WHEN 0 THEN '0.' || lpad(CAST((doc_id * 37) % 100 AS VARCHAR), 2, '0')
   WHEN 1 THEN '0.85/1.0' WHEN 2 THEN '1.5' WHEN 3 THEN '85%'
   ELSE 'about 0.7 or 0.' || CAST(doc_id % 10 AS VARCHAR) END AS rating FROM documents)"""
+
+EVAL_CASES_V = """SELECT item_id AS case_id, 'case ' || CAST(item_id AS VARCHAR) AS description, text AS query,
+  CASE WHEN item_id % 11 <> 0 THEN ['billing', 'returns', 'escalation'][item_id % 3 + 1] END AS expected_agent,
+  CASE WHEN item_id % 11 <> 0 THEN (CASE WHEN item_id % 2 = 0 THEN 'contains' ELSE 'icontains' END) END AS match_type,
+  CASE WHEN item_id % 11 <> 0 THEN (CASE WHEN item_id % 2 = 0 THEN string_split(text, ' ')[3] ELSE upper(string_split(text, ' ')[3]) END) END AS match_value,
+  CASE WHEN item_id % 11 = 0 THEN ['has_sources', 'ood_handled', 'min_length_20'][(item_id // 11) % 3 + 1] END AS custom_check
+FROM benchmark"""
+
+EVAL_OUTPUTS_V = """SELECT b.item_id AS case_id,
+  b.text || (CASE WHEN b.item_id % 5 = 0 THEN ' Refunds take 90 days.' ELSE '' END)
+  || (CASE WHEN b.item_id % 10 = 0 THEN ' Returns within 30 days.' ELSE '' END)
+  || chr(10) || '<!--CXMETA:{"agent": "' || ['billing', 'returns', 'escalation'][least(b.item_id % 4, 2) + 1]
+  || '", "sources": ' || (CASE WHEN b.item_id % 6 = 0 THEN '[]' ELSE '["documents/' || ['billing', 'returns', 'escalation'][least(b.item_id % 4, 2) + 1] || '/policy.txt"]' END)
+  || ', "confidence": 0.' || lpad(CAST((b.item_id * 7919) % 1000 AS VARCHAR), 3, '0')
+  || ', "latency_ms": ' || CAST(CAST(floor(e.value * 10) * 3 AS BIGINT) AS VARCHAR) || '}-->' AS output
+FROM benchmark b LEFT JOIN events e ON e.event_id = b.item_id"""

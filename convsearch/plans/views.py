@@ -171,3 +171,44 @@ def model_out_v(spark: SparkSession, sf: str) -> DataFrame:
            .when(i % 4 == 2, F.concat(F.lit("CONFIDENCE: "), rating))
            .otherwise(F.col("text")))
     return d.select("doc_id", out.alias("raw"))
+
+
+def eval_cases_v(spark: SparkSession, sf: str) -> DataFrame:
+    """One eval case per benchmark item: expected agent by item_id % 3; every
+    11th item is an edge case with a custom check instead; substring match on
+    the item's third word (case-insensitive for odd items)."""
+    b = table(spark, sf, "benchmark")
+    i = F.col("item_id")
+    agents = F.array(F.lit("billing"), F.lit("returns"), F.lit("escalation"))
+    word = F.try_element_at(F.split(F.col("text"), " "), F.lit(3))
+    edge = i % 11 == 0
+    return b.select(
+        i.alias("case_id"), F.concat(F.lit("case "), i.cast("string")).alias("description"),
+        F.col("text").alias("query"),
+        F.when(~edge, F.element_at(agents, (i % 3 + 1).cast("int"))).alias("expected_agent"),
+        F.when(~edge, F.when(i % 2 == 0, "contains").otherwise("icontains")).alias("match_type"),
+        F.when(~edge, F.when(i % 2 == 0, word).otherwise(F.upper(word))).alias("match_value"),
+        F.when(edge, F.element_at(F.array(F.lit("has_sources"), F.lit("ood_handled"), F.lit("min_length_20")),
+                                  (F.floor(i / 11) % 3 + 1).cast("int"))).alias("custom_check"),
+        F.lit(0.60).alias("min_confidence"), F.lit(8000).cast("bigint").alias("max_latency_ms"))
+
+
+def eval_outputs_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Model outputs with embedded metadata: agent by item_id % 4 (3 -> escalation),
+    confidence and latency from the matching event, no sources for every 6th
+    item, invented '90 days' for every 5th (with a known '30 days' for every 10th)."""
+    b = table(spark, sf, "benchmark")
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("item_id"), "value")
+    i = F.col("item_id")
+    agents = F.array(F.lit("billing"), F.lit("returns"), F.lit("escalation"))
+    actual = F.element_at(agents, (F.least(i % 4, F.lit(2)) + 1).cast("int"))
+    conf = F.concat(F.lit("0."), F.lpad(((i * 7919) % 1000).cast("string"), 3, "0"))
+    lat = (F.floor(F.col("value") * 10) * 3).cast("bigint").cast("string")
+    srcs = F.when(i % 6 == 0, F.lit("[]")).otherwise(
+        F.concat(F.lit('["documents/'), actual, F.lit('/policy.txt"]')))
+    meta = F.concat(F.lit('{"agent": "'), actual, F.lit('", "sources": '), srcs, F.lit(', "confidence": '), conf,
+                    F.lit(', "latency_ms": '), lat, F.lit("}"))
+    answer = F.concat(F.col("text"), F.when(i % 5 == 0, F.lit(" Refunds take 90 days.")).otherwise(F.lit("")),
+                      F.when(i % 10 == 0, F.lit(" Returns within 30 days.")).otherwise(F.lit("")))
+    return (b.join(ev, "item_id", "left")
+            .select(i.alias("case_id"), F.concat(answer, F.lit("\n<!--CXMETA:"), meta, F.lit("-->")).alias("output")))
