@@ -474,3 +474,48 @@ def q_eval_summary(spark, sf):
 def q_eval_failures(spark, sf):
     c, o = _eval(spark, sf)
     return evalsuite.failures(c, o)
+
+
+# ---------------------------------------------------------------- optimizer / validation
+from ..operators import optimizer as OPT  # noqa: E402
+from ..sources import ingest  # noqa: E402
+
+
+def _opt_inputs(spark, sf):
+    return OPT.optimizer_inputs(_audit(spark, sf), TODAY, tail=200, n=20)
+
+
+@register
+def q_optimizer_inputs(spark, sf):
+    return _opt_inputs(spark, sf)
+
+
+@register
+def q_variant_prompts(spark, sf):
+    p = OPT.variant_prompts(_opt_inputs(spark, sf))
+    return p.select("rank", "audit_id", F.col("ord").cast("bigint").alias("ord"), "variant", "prompt")
+
+
+@register
+def q_variant_scores(spark, sf):
+    s = OPT.variant_scores(OPT.variant_prompts(_opt_inputs(spark, sf)), V.completions_v(spark, sf))
+    return s.select("rank", "audit_id", "variant", r6(F.col("score")).alias("score"))
+
+
+@register
+def q_variant_winner(spark, sf):
+    s = OPT.variant_scores(OPT.variant_prompts(_opt_inputs(spark, sf)), V.completions_v(spark, sf))
+    w = OPT.variant_winner(s)
+    return w.select(F.col("ord").cast("bigint").alias("ord"), "variant", "score", "samples", "best")
+
+
+@register
+def q_validate_requests(spark, sf):
+    v = ingest.validate_requests(V.requests_v(spark, sf))
+    return v.select("request_id", "valid", "reject_reason")
+
+
+@register
+def q_validate_uploads(spark, sf):
+    v = ingest.validate_uploads(V.uploads_v(spark, sf))
+    return v.select("upload_id", "safe_name", "ext", "valid", "reject_reason")

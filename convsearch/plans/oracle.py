@@ -571,3 +571,50 @@ FROM tt, rt, p"""
 ORACLE["eval_failures"] = f"""WITH {EVAL_CTES}
 SELECT c.case_id, c.description, list(a.reason ORDER BY a.ord) AS reasons
 FROM cases c JOIN arows a USING (case_id) WHERE NOT a.pass GROUP BY c.case_id, c.description"""
+
+# ---------------------------------------------------------------- optimizer / validation
+from ..operators.optimizer import PROMPT_VARIANTS  # noqa: E402
+from .sqlviews import COMPLETIONS_V, REQUESTS_V, UPLOADS_V  # noqa: E402
+
+_var_rows = ", ".join(f"({i}, '{n}', '{_sq(p)}')" for i, (n, p) in enumerate(PROMPT_VARIANTS))
+OPT_CTES = f"""
+audit AS ({AUDIT_V}),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, audit_id DESC) AS back
+   FROM audit WHERE date = DATE '2024-01-30') WHERE back <= 200),
+tp AS (SELECT *, row_number() OVER (ORDER BY "timestamp", audit_id) AS pos FROM t),
+inputs AS (SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY pos) AS BIGINT) AS rank, audit_id,
+   coalesce(redacted_query, '') AS query FROM tp WHERE coalesce(low_confidence_flag, false)) WHERE rank <= 20),
+variants AS (SELECT * FROM (VALUES {_var_rows}) v(ord, variant, system_prompt)),
+prompts AS (SELECT i.rank, i.audit_id, v.ord, v.variant,
+   v.system_prompt || chr(10) || chr(10) || 'Documents:' || chr(10) || 'Sample context for optimization.' || chr(10) || chr(10)
+   || 'Query: ' || i.query || chr(10) || chr(10) || 'Answer:' AS prompt FROM inputs i, variants v),
+comp AS ({COMPLETIONS_V}),
+scored AS (SELECT p.rank, p.audit_id, p.ord, p.variant, c.completion,
+   {strip_sql('c.completion')} AS a FROM prompts p LEFT JOIN comp c USING (audit_id, variant)),
+scores AS (SELECT rank, audit_id, ord, variant,
+   CASE WHEN completion IS NULL THEN 0.0::DOUBLE WHEN contains(lower(a), 'i don''t have enough information') THEN 0.3::DOUBLE
+        WHEN length(a) < 50 THEN 0.4::DOUBLE ELSE least(1.0::DOUBLE, length(a) / 500.0::DOUBLE) END AS score FROM scored)
+"""
+
+ORACLE["optimizer_inputs"] = f"WITH {OPT_CTES} SELECT rank, audit_id, query FROM inputs"
+ORACLE["variant_prompts"] = f"WITH {OPT_CTES} SELECT rank, audit_id, CAST(ord AS BIGINT) AS ord, variant, prompt FROM prompts"
+ORACLE["variant_scores"] = f"WITH {OPT_CTES} SELECT rank, audit_id, variant, round(score, 6) AS score FROM scores"
+ORACLE["variant_winner"] = f"""WITH {OPT_CTES},
+m AS (SELECT ord, variant, round(avg(score), 4) AS score, count(*) AS samples FROM scores GROUP BY ord, variant)
+SELECT CAST(ord AS BIGINT) AS ord, variant, score, samples, row_number() OVER (ORDER BY score DESC, ord) = 1 AS best FROM m"""
+
+ORACLE["validate_requests"] = f"""WITH r AS ({REQUESTS_V}),
+v AS (SELECT request_id, CASE WHEN session_id IS NULL THEN 'session_id_missing'
+   WHEN length(session_id) < 1 THEN 'session_id_too_short' WHEN length(session_id) > 128 THEN 'session_id_too_long'
+   WHEN query IS NULL THEN 'query_missing' WHEN length(query) < 1 THEN 'query_too_short'
+   WHEN length(query) > 2000 THEN 'query_too_long' END AS reject_reason FROM r)
+SELECT request_id, reject_reason IS NULL AS valid, reject_reason FROM v"""
+
+ORACLE["validate_uploads"] = f"""WITH u AS ({UPLOADS_V}),
+n AS (SELECT *, string_split(coalesce(filename, ''), '/')[-1] AS safe_name FROM u),
+e AS (SELECT *, lower(regexp_extract(safe_name, '^\\.*[^.].*(\\.[^.]*)$', 1)) AS ext FROM n),
+v AS (SELECT *, CASE WHEN NOT coalesce(domain IN ('billing', 'returns', 'escalation'), false) THEN 'invalid_domain'
+   WHEN safe_name = '' OR ext NOT IN ('.txt', '.md') THEN 'unsupported_type'
+   WHEN size_bytes > 5242880 THEN 'too_large'
+   WHEN regexp_replace(coalesce(content, ''), '^[ \\t\\n\\r\\x0b\\x0c]+|[ \\t\\n\\r\\x0b\\x0c]+$', '', 'g') = '' THEN 'empty' END AS reject_reason FROM e)
+SELECT upload_id, safe_name, ext, reject_reason IS NULL AS valid, reject_reason FROM v"""

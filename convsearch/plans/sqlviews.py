@@ -116,3 +116,22 @@ EVAL_OUTPUTS_V = """SELECT b.item_id AS case_id,
   || ', "confidence": 0.' || lpad(CAST((b.item_id * 7919) % 1000 AS VARCHAR), 3, '0')
   || ', "latency_ms": ' || CAST(CAST(floor(e.value * 10) * 3 AS BIGINT) AS VARCHAR) || '}-->' AS output
 FROM benchmark b LEFT JOIN events e ON e.event_id = b.item_id"""
+
+COMPLETIONS_V = f"""WITH a AS (SELECT audit_id, redacted_query, CAST(audit_id AS BIGINT) AS k FROM ({AUDIT_V}))
+SELECT audit_id, 'precise' AS variant, redacted_query || repeat(' detail', CAST(k % 90 AS INTEGER)) AS completion FROM a
+UNION ALL
+SELECT audit_id, 'empathetic', CASE WHEN k % 4 = 0 THEN 'I don''t have enough information.'
+  ELSE 'Sure, ' || redacted_query || repeat(' more', CAST(k % 120 AS INTEGER)) END FROM a
+UNION ALL
+SELECT audit_id, 'structured', repeat('x', CAST(k % 60 AS INTEGER)) FROM a WHERE k % 5 <> 0"""
+
+REQUESTS_V = """SELECT doc_id AS request_id,
+  CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 13 = 0 THEN repeat(source, 40) ELSE source END AS session_id,
+  text AS query FROM documents"""
+
+UPLOADS_V = """SELECT page_id AS upload_id, ['billing', 'returns', 'escalation', 'shipping'][page_id % 4 + 1] AS domain,
+  CASE page_id % 5 WHEN 0 THEN stem || '.txt' WHEN 1 THEN 'notes/' || stem || '.md' WHEN 2 THEN upper(stem) || '.MD'
+    WHEN 3 THEN stem || '.pdf' ELSE '.md' END AS filename,
+  CAST(octet_length(encode(html)) * (CASE WHEN page_id % 7 = 0 THEN 10000 ELSE 1 END) AS BIGINT) AS size_bytes,
+  CASE WHEN page_id % 9 = 0 THEN ' ' || chr(10) || chr(9) || ' ' ELSE html END AS content
+FROM (SELECT *, regexp_replace(string_split(regexp_replace(url, '\\?.*$', ''), '/')[-1], '[^A-Za-z0-9_-]', '', 'g') AS stem FROM pages)"""

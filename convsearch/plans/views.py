@@ -212,3 +212,48 @@ def eval_outputs_v(spark: SparkSession, sf: str) -> DataFrame:
                       F.when(i % 10 == 0, F.lit(" Returns within 30 days.")).otherwise(F.lit("")))
     return (b.join(ev, "item_id", "left")
             .select(i.alias("case_id"), F.concat(answer, F.lit("\n<!--CXMETA:"), meta, F.lit("-->")).alias("output")))
+
+
+def completions_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Model answers per (audit record, prompt variant), derived from the
+    audit view: lengths vary with the id, every 4th 'empathetic' answer
+    admits missing information, every 5th 'structured' call failed (no row)."""
+    a = audit_v(spark, sf).select("audit_id", "redacted_query")
+    k = F.col("audit_id").cast("bigint")
+    p = a.select("audit_id", F.lit("precise").alias("variant"),
+                 F.concat(F.col("redacted_query"), F.repeat(F.lit(" detail"), (k % 90).cast("int"))).alias("completion"))
+    e = a.select("audit_id", F.lit("empathetic").alias("variant"),
+                 F.when(k % 4 == 0, F.lit("I don't have enough information."))
+                 .otherwise(F.concat(F.lit("Sure, "), F.col("redacted_query"), F.repeat(F.lit(" more"), (k % 120).cast("int"))))
+                 .alias("completion"))
+    s = (a.filter(k % 5 != 0)
+         .select("audit_id", F.lit("structured").alias("variant"), F.repeat(F.lit("x"), (k % 60).cast("int")).alias("completion")))
+    return p.unionByName(e).unionByName(s)
+
+
+def requests_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests built from documents: session id = source (every 13th
+    repeated past 128 characters, every 17th empty), query = whole text."""
+    d = table(spark, sf, "documents")
+    sid = (F.when(F.col("doc_id") % 17 == 0, F.lit(""))
+           .when(F.col("doc_id") % 13 == 0, F.repeat(F.col("source"), 40)).otherwise(F.col("source")))
+    return d.select(F.col("doc_id").alias("request_id"), sid.alias("session_id"), F.col("text").alias("query"))
+
+
+def uploads_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads built from pages: domain by page_id % 4 (one unknown), file
+    name from the url's last segment with five suffix shapes, size scaled up
+    for every 7th page, blank content for every 9th."""
+    p = table(spark, sf, "pages")
+    i = F.col("page_id")
+    doms = F.array(F.lit("billing"), F.lit("returns"), F.lit("escalation"), F.lit("shipping"))
+    stem = F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", r"\?.*$", ""), "/"), -1), "[^A-Za-z0-9_-]", "")
+    name = (F.when(i % 5 == 0, F.concat(stem, F.lit(".txt")))
+            .when(i % 5 == 1, F.concat(F.lit("notes/"), stem, F.lit(".md")))
+            .when(i % 5 == 2, F.concat(F.upper(stem), F.lit(".MD")))
+            .when(i % 5 == 3, F.concat(stem, F.lit(".pdf")))
+            .otherwise(F.lit(".md")))
+    size = (F.octet_length("html") * F.when(i % 7 == 0, F.lit(10000)).otherwise(F.lit(1))).cast("bigint")
+    content = F.when(i % 9 == 0, F.lit(" \n\t ")).otherwise(F.col("html"))
+    return p.select(i.alias("upload_id"), F.element_at(doms, (i % 4 + 1).cast("int")).alias("domain"),
+                    name.alias("filename"), size.alias("size_bytes"), content.alias("content"))
