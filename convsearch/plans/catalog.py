@@ -519,3 +519,79 @@ def q_validate_requests(spark, sf):
 def q_validate_uploads(spark, sf):
     v = ingest.validate_uploads(V.uploads_v(spark, sf))
     return v.select("upload_id", "safe_name", "ext", "valid", "reject_reason")
+
+
+# ---------------------------------------------------------------- answers / requests
+from ..functions import prompts as PR  # noqa: E402
+from ..operators import answers as ANS  # noqa: E402
+
+
+def _requests(spark, sf):
+    routed = V.router_raw_v(spark, sf).select(F.col("event_id").alias("query_id"),
+                                              P.route(P.parse_router("raw")).alias("r"))
+    return (V.query_v(spark, sf).join(routed, "query_id")
+            .select("query_id", "domain", "query", F.col("r.category").alias("category"),
+                    F.col("r.confidence").alias("router_confidence")))
+
+
+def _conv_history(spark, sf):
+    c = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    last = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 20)
+    h = (last.groupBy("conv_id")
+         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+         .select(F.col("conv_id").alias("query_id"),
+                 F.transform("h", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("history")))
+    return h.select("query_id", SES.format_history("history").alias("history_text"))
+
+
+def _answers(spark, sf):
+    corpus = ANS.Corpus(V.policy_v(spark, sf), V.vec_v(spark, sf))
+    comp = V.model_out_v(spark, sf).select(F.col("doc_id").alias("query_id"), "raw")
+    return ANS.answer_batch(_requests(spark, sf), corpus, V.query_vec_v(spark, sf), comp,
+                            history=_conv_history(spark, sf), k=5, hops=1)
+
+
+@register
+def q_answers(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("query_id", "domain", "agent", F.md5("answer").alias("answer_md5"), "confidence",
+                    "low_confidence", "sources", "disclaimer")
+
+
+@register
+def q_build_prompts(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("query_id", F.md5("prompt").alias("prompt_md5"), F.char_length("prompt").cast("bigint").alias("prompt_len"))
+
+
+@register
+def q_context_blocks(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("query_id", F.md5("context").alias("context_md5"), F.char_length("context").cast("bigint").alias("context_len"))
+
+
+@register
+def q_answer_sources(spark, sf):
+    return _answers(spark, sf).select("query_id", "sources")
+
+
+@register
+def q_rating_prompts(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("query_id", F.md5(PR.router_prompt("query")).alias("router_prompt_md5"),
+                    F.md5(PR.rating_prompt("answer", "context")).alias("rating_prompt_md5"))
+
+
+@register
+def q_request_audit(spark, sf):
+    a = _answers(spark, sf)
+    resp = a.select(F.col("query_id").cast("string").alias("audit_id"),
+                    F.lit("2024-01-30 12:00:00").cast("timestamp").alias("timestamp"),
+                    F.concat(F.lit("session-"), (F.col("query_id") % 7).cast("string")).alias("session_id"),
+                    P.strip(F.col("query")).alias("redacted_query"), F.col("agent").alias("routed_to"),
+                    "router_confidence", "sources", "confidence", "low_confidence",
+                    F.lit(0).cast("bigint").alias("latency_ms"), F.lit(False).alias("cache_hit"))
+    return audit_src.to_audit(resp).select("audit_id", "session_id", "routed_to", "router_confidence",
+                                           "retrieved_sources", "final_confidence", "low_confidence_flag",
+                                           "response_latency_ms", "cache_hit")

@@ -618,3 +618,92 @@ v AS (SELECT *, CASE WHEN NOT coalesce(domain IN ('billing', 'returns', 'escalat
    WHEN size_bytes > 5242880 THEN 'too_large'
    WHEN regexp_replace(coalesce(content, ''), '^[ \\t\\n\\r\\x0b\\x0c]+|[ \\t\\n\\r\\x0b\\x0c]+$', '', 'g') = '' THEN 'empty' END AS reject_reason FROM e)
 SELECT upload_id, safe_name, ext, reject_reason IS NULL AS valid, reject_reason FROM v"""
+
+
+# ---------------------------------------------------------------- answers / requests
+from ..functions import prompts as _PR  # noqa: E402
+from ..config import LLM_FAILURE_TEXT  # noqa: E402
+
+
+def hybrid_ctes_for(corpus_sql: str) -> str:
+    """The hybrid chain over another corpus (the corpus CTE is shared)."""
+    return (BM25_TOPK_CTES.replace(f"corpus AS ({CORPUS_V})", f"corpus AS ({corpus_sql})") + "," + VEC_CTES + ","
+            + NORM_CTES + "," + FUSE_CTES.replace(f"JOIN ({CORPUS_V}) c", "JOIN corpus c"))
+
+
+def expand_sql(seeds: str) -> str:
+    return f"""
+seed_rows AS (SELECT s.query_id, s.domain, s.rank, s.chunk_id, n.source, n.fp80 FROM {seeds} s JOIN nodes n USING (domain, chunk_id)),
+seed_fps AS (SELECT DISTINCT query_id, domain, fp80 FROM seed_rows),
+start AS (SELECT DISTINCT f.query_id, f.domain, n.chunk_id FROM seed_fps f JOIN nodes n USING (domain, fp80)),
+succ AS (SELECT s.query_id, s.domain, w.chunk_id FROM start s JOIN refs r USING (domain, chunk_id)
+         JOIN words w ON w.domain = r.domain AND w.word = r.word),
+pred AS (SELECT s.query_id, s.domain, r.chunk_id FROM start s JOIN words w USING (domain, chunk_id)
+         JOIN refs r ON r.domain = w.domain AND r.word = w.word),
+nxt AS (SELECT * FROM succ UNION SELECT * FROM pred EXCEPT SELECT * FROM start),
+added AS (SELECT a.query_id, a.domain, a.chunk_id, n.source, n.fp80 FROM nxt a JOIN nodes n USING (domain, chunk_id)
+          ANTI JOIN seed_fps f USING (query_id, domain, fp80)),
+added1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, domain, fp80 ORDER BY chunk_id) AS r FROM added) WHERE r = 1),
+nseeds AS (SELECT query_id, domain, count(*) AS n FROM seed_rows GROUP BY query_id, domain),
+expanded AS (SELECT query_id, domain, CAST(rank AS BIGINT) AS pos, chunk_id, source, true AS seed FROM seed_rows
+  UNION ALL
+  SELECT a.query_id, a.domain, CAST(s.n + row_number() OVER (PARTITION BY a.query_id, a.domain ORDER BY a.chunk_id) AS BIGINT),
+    a.chunk_id, a.source, false FROM added1 a JOIN nseeds s USING (query_id, domain))
+"""
+
+
+def _lit(s: str) -> str:
+    return "'" + _sq(s) + "'"
+
+
+ANSWERS_CTES = f"""{hybrid_ctes_for(POLICY_V)}, {GRAPH_CTES}, {expand_sql('hybrid')}, {PARSE_ROUTER_CTES}, {ANSWER_CTES},
+doms AS (SELECT * FROM (VALUES {_dom_rows}) d(agent, system_prompt, disclaimer)),
+reqs AS (SELECT q.query_id, q.domain, q.query, r.category, r.confidence AS router_confidence,
+   CASE WHEN r.category IN ('billing', 'returns', 'escalation') THEN r.category ELSE 'escalation' END AS agent
+   FROM queries q JOIN routed r ON r.event_id = q.query_id),
+ctx0 AS (SELECT e.query_id, e.pos, e.source, c.content FROM expanded e JOIN corpus c USING (domain, chunk_id) WHERE e.pos <= 5),
+ctx1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS i FROM ctx0),
+ctx AS (SELECT query_id, string_agg('[' || CAST(i AS VARCHAR) || '] (Source: ' || coalesce(source, 'unknown') || ')' || chr(10) || content,
+   chr(10) || chr(10) ORDER BY i) AS context FROM ctx1 WHERE i <= 5 GROUP BY query_id),
+s1 AS (SELECT query_id, coalesce(source, 'unknown') AS src, min(pos) AS p FROM expanded GROUP BY query_id, coalesce(source, 'unknown')),
+srcs AS (SELECT query_id, list(src ORDER BY p) AS sources FROM s1 GROUP BY query_id),
+hr AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
+hist AS (SELECT conv_id AS query_id, string_agg({_line.format(c='text')}, chr(10) ORDER BY turn) AS history_text
+   FROM hr WHERE rn <= 20 GROUP BY conv_id),
+rsq AS (SELECT query_id, n_hits, retrieval_score FROM rscore_p),
+ans0 AS (SELECT r.*, d.system_prompt, d.disclaimer, coalesce(h.history_text, '') AS history_text,
+   coalesce(c.context, '') AS context, coalesce(s.sources, []::VARCHAR[]) AS sources,
+   coalesce(x.retrieval_score, 0.0::DOUBLE) AS retrieval_score
+   FROM reqs r LEFT JOIN doms d USING (agent) LEFT JOIN hist h USING (query_id) LEFT JOIN ctx c USING (query_id)
+   LEFT JOIN srcs s USING (query_id) LEFT JOIN rsq x USING (query_id)),
+ans1 AS (SELECT a.*, system_prompt || chr(10)
+     || (CASE WHEN history_text <> '' THEN chr(10) || 'Conversation History:' || chr(10) || history_text || chr(10) ELSE '' END)
+     || chr(10) || {_lit(_PR.ANSWER_RULES)} || 'Documents:' || chr(10) || context || chr(10) || chr(10)
+     || 'Customer Query: ' || query || chr(10) || chr(10) || {_lit(_PR.ANSWER_FORMAT)} AS prompt,
+   coalesce(p.answer, {_lit(LLM_FAILURE_TEXT)}) AS answer, coalesce(p.rating_text, '') AS rating_text, rt.rating
+   FROM ans0 a LEFT JOIN pa p ON p.doc_id = a.query_id LEFT JOIN rating rt ON rt.doc_id = a.query_id),
+ans2 AS (SELECT *, CASE WHEN rating_text = '' THEN 0.5::DOUBLE ELSE rating END AS llm_score FROM ans1),
+answers AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE * router_confidence
+   + 0.4::DOUBLE * retrieval_score + 0.3::DOUBLE * llm_score)), 4) AS confidence FROM ans2)
+"""
+ANSWERS_CTES = ANSWERS_CTES.replace("rsq AS (SELECT query_id, n_hits, retrieval_score FROM rscore_p),", """rs_agg AS (SELECT query_id, domain, count(*) AS n_hits, sum(score * (1.0::DOUBLE / rank)) / sum(1.0::DOUBLE / rank) AS rs
+   FROM hybrid GROUP BY query_id, domain),
+rsq AS (SELECT query_id, rs AS retrieval_score FROM rs_agg),""")
+
+ORACLE["answers"] = f"""WITH {ANSWERS_CTES}
+SELECT query_id, domain, agent, md5(answer) AS answer_md5, confidence, confidence < 0.65::DOUBLE AS low_confidence, sources, disclaimer
+FROM answers"""
+
+ORACLE["build_prompts"] = f"WITH {ANSWERS_CTES} SELECT query_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_len FROM answers"
+ORACLE["context_blocks"] = f"WITH {ANSWERS_CTES} SELECT query_id, md5(context) AS context_md5, CAST(length(context) AS BIGINT) AS context_len FROM answers"
+ORACLE["answer_sources"] = f"WITH {ANSWERS_CTES} SELECT query_id, sources FROM answers"
+ORACLE["rating_prompts"] = f"""WITH {ANSWERS_CTES}
+SELECT query_id, md5({_lit(_PR.ROUTER_PROMPT_HEAD)} || query) AS router_prompt_md5,
+  md5({_lit(_PR.RATING_PROMPT_HEAD)} || substring(context, 1, 800) || chr(10) || chr(10) || 'Answer:' || chr(10)
+      || substring(answer, 1, 400) || {_lit(_PR.RATING_PROMPT_TAIL)}) AS rating_prompt_md5
+FROM answers"""
+ORACLE["request_audit"] = f"""WITH {ANSWERS_CTES}
+SELECT CAST(query_id AS VARCHAR) AS audit_id, 'session-' || CAST(query_id % 7 AS VARCHAR) AS session_id, agent AS routed_to,
+  round(router_confidence, 4) AS router_confidence, sources AS retrieved_sources, round(confidence, 4) AS final_confidence,
+  confidence < 0.65::DOUBLE AS low_confidence_flag, CAST(0 AS BIGINT) AS response_latency_ms, false AS cache_hit
+FROM answers"""
