@@ -2,16 +2,14 @@
 
 Index layout (all partitionable by ``domain``):
 
-* ``chunk_len(domain, chunk_id, dl)``
 * ``term_stats(domain, term, df, idf)``
 * ``corpus_stats(domain, n, avgdl, avg_idf)``
-* ``impacts(domain, term, chunk_id, tf, weight)`` -- the per-posting BM25
-  contribution precomputed at index time, so a query batch is scored with
-  one equi-join and one (map-side combined) sum.
+* ``tokens(domain, chunk_id, toks)`` -- the tokenised chunks
 
-Scoring a batch: ``query_terms(query_id, domain, term, qtf)`` joins
-``impacts`` on (domain, term); the query side is broadcast only behind a
-bounded row count, otherwise it is a shuffle join where AQE splits skewed
+``impacts`` (per-posting BM25 weight) can be materialised for a persisted,
+query-independent index. Scoring a batch restricts postings to the batch's
+vocabulary first; the vocabulary side is broadcast only behind a bounded row
+count, otherwise the joins are shuffle joins where AQE splits skewed
 (stop-word) keys.
 """
 
@@ -29,39 +27,52 @@ from ..spark import maybe_broadcast
 
 @dataclass
 class LexicalIndex:
-    chunk_len: DataFrame
-    term_stats: DataFrame
-    corpus_stats: DataFrame
-    impacts: DataFrame
+    tokens: DataFrame        # (domain, chunk_id, toks)
+    term_stats: DataFrame    # (domain, term, df, idf)
+    corpus_stats: DataFrame  # (domain, n, avgdl, avg_idf)
+    k1: float = C.BM25_K1
+    b: float = C.BM25_B
+
+    def weight(self, tf, dl, idf, avgdl):
+        k1, b = self.k1, self.b
+        return idf * (tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / avgdl)))
+
+    @property
+    def impacts(self) -> DataFrame:
+        """Query-independent postings with their BM25 weight, for persisting
+        a reusable index (domain-partitioned) -- see ``sources.corpus``."""
+        p = (self.tokens.select("domain", "chunk_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+             .filter(F.col("term").isNotNull()).groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+        return (p.join(self.term_stats, ["domain", "term"])
+                .join(F.broadcast(self.corpus_stats.select("domain", "avgdl")), "domain")
+                .select("domain", "term", "chunk_id", "tf",
+                        self.weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl")).alias("weight")))
 
 
 def build_index(chunks: DataFrame, text_col: str = "content", k1: float = C.BM25_K1,
                 b: float = C.BM25_B, epsilon: float = C.BM25_EPSILON) -> LexicalIndex:
-    """``chunks(domain, chunk_id, <text_col>)`` -> LexicalIndex."""
+    """``chunks(domain, chunk_id, <text_col>)`` -> LexicalIndex.
+
+    Document frequencies come from each chunk's distinct terms, so the
+    vocabulary aggregate combines map-side; the per-domain tables (corpus
+    stats) have one row per domain and are broadcast by construction."""
     toks = chunks.select("domain", "chunk_id", tokenize(text_col).alias("toks"))
-    chunk_len = toks.select("domain", "chunk_id", F.size("toks").cast("bigint").alias("dl"))
-    postings = (toks.select("domain", "chunk_id", F.explode("toks").alias("term"))
-                .groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    corpus = (chunk_len.groupBy("domain")
+    corpus = (toks.groupBy("domain")
               .agg(F.count(F.lit(1)).alias("n"),
-                   (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl")))
-    df = postings.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.join(corpus.select("domain", "n"), "domain")
+                   (F.sum(F.size("toks")).cast("double") / F.count(F.lit(1))).alias("avgdl")))
+    # explode_outer + null filter: a plain explode makes Catalyst infer a
+    # size(toks) > 0 filter and push the tokeniser below the rebalance
+    df = (toks.select("domain", F.explode_outer(F.array_distinct("toks")).alias("term"))
+          .filter(F.col("term").isNotNull()).groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")))
+    df = df.join(F.broadcast(corpus.select("domain", "n")), "domain")
     df = df.withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     avg_idf = df.groupBy("domain").agg(F.avg("idf0").alias("avg_idf"))
-    term_stats = (df.join(avg_idf, "domain")
+    term_stats = (df.join(F.broadcast(avg_idf), "domain")
                   .select("domain", "term", "df",
                           F.round(F.when(F.col("idf0") < 0, F.lit(epsilon) * F.col("avg_idf"))
                                   .otherwise(F.col("idf0")), 12).alias("idf")))
-    corpus_stats = corpus.join(avg_idf, "domain")
-    impacts = (postings.join(chunk_len, ["domain", "chunk_id"])
-               .join(corpus_stats.select("domain", "avgdl"), "domain")
-               .join(term_stats.select("domain", "term", "idf"), ["domain", "term"])
-               .select("domain", "term", "chunk_id", "tf",
-                       (F.col("idf") * (F.col("tf") * (k1 + 1)
-                        / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))))
-                       .alias("weight")))
-    return LexicalIndex(chunk_len, term_stats, corpus_stats, impacts)
+    corpus_stats = corpus.join(F.broadcast(avg_idf), "domain")
+    return LexicalIndex(toks, term_stats, corpus_stats, k1, b)
 
 
 def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
@@ -73,11 +84,24 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
 
 def bm25_scores(queries: DataFrame, index: LexicalIndex, text_col: str = "query",
                 broadcast_rows: int | None = None) -> DataFrame:
-    """Score of every chunk sharing at least one term with the query.
-    Chunks sharing none score 0 and are never returned by top-k."""
+    """Score of every chunk sharing at least one term with the query (chunks
+    sharing none score 0 and are never returned by top-k).
+
+    Only the batch's vocabulary is needed: chunk tokens are semi-joined with
+    the (size-checked, broadcast) query vocabulary *before* postings are
+    aggregated, so the shuffle carries query-term postings only."""
     qt = query_terms(queries, text_col)
-    qt = maybe_broadcast(qt, broadcast_rows) if broadcast_rows else maybe_broadcast(qt)
-    return (qt.join(index.impacts, ["domain", "term"])
+    qvocab = qt.select("domain", "term").distinct()
+    qvocab = maybe_broadcast(qvocab, broadcast_rows) if broadcast_rows else maybe_broadcast(qvocab)
+    ts = index.term_stats.join(qvocab, ["domain", "term"])
+    postings = (index.tokens.select("domain", "chunk_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+                .filter(F.col("term").isNotNull()).join(qvocab, ["domain", "term"])
+                .groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
+    w = (postings.join(ts, ["domain", "term"])
+         .join(F.broadcast(index.corpus_stats.select("domain", "avgdl")), "domain")
+         .select("domain", "term", "chunk_id",
+                 index.weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl")).alias("weight")))
+    return (qt.join(w, ["domain", "term"])
             .groupBy("query_id", "domain", "chunk_id")
             .agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 9).alias("score")))
 

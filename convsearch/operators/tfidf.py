@@ -30,42 +30,45 @@ TFIDF_SEED = (
     "compensation credit expedited shipping partial refund approval",
 )
 
-# Python's \w (letters, digits, underscore) written out so Java and RE2 agree.
-WORD_RUN = r"[\p{L}\p{N}_]+"
+# Python's \w (letters, digits, underscore) written out so Java and RE2 agree;
+# runs of two or more such characters are the tokens.
+WORD_RUN2 = r"[\p{L}\p{N}_]{2,}"
 
 
 def word_tokens(text) -> F.Column:
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORD_RUN), 0), lambda t: F.char_length(t) >= 2)
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD_RUN2), 0)
 
 
-def bigrams(toks) -> F.Column:
-    """Space-joined consecutive pairs of a token-array column (reference the
-    column, not an expression, so Catalyst keeps it materialised)."""
-    t = F.col(toks) if isinstance(toks, str) else toks
-    m = F.greatest(F.size(t) - 1, F.lit(0))
-    return F.zip_with(F.slice(t, 1, F.greatest(m, F.lit(1))), F.slice(t, 2, F.greatest(m, F.lit(1))),
-                      lambda a, b: F.concat_ws(" ", a, b))
-
-
-def _term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+def _grams(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc_key, term) rows: unigrams, then bigrams of consecutive tokens.
+    Bigrams come from exploding ``arrays_zip`` of the shifted token arrays,
+    so the pair concatenation is an ordinary codegen'd expression."""
     toks = docs.select("doc_key", word_tokens(text_col).alias("toks"))
-    grams = F.concat("toks", F.when(F.size("toks") >= 2, bigrams("toks")).otherwise(F.array().cast("array<string>")))
-    return (toks.select("doc_key", F.explode(grams).alias("term"))
-            .groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # explode_outer + null filters: no inferred filter on the token array is
+    # pushed below the rebalance (which would run the regex twice)
+    uni = toks.select("doc_key", F.explode_outer("toks").alias("term")).filter(F.col("term").isNotNull())
+    n = F.greatest(F.size("toks") - 1, F.lit(0))
+    pairs = toks.select(
+        "doc_key", F.explode_outer(F.arrays_zip(F.slice("toks", 1, n).alias("a"), F.slice("toks", 2, n).alias("b"))).alias("p"))
+    bi = (pairs.filter(F.col("p").isNotNull())
+          .select("doc_key", F.concat_ws(" ", F.col("p.a"), F.col("p.b")).alias("term")))
+    return uni.unionByName(bi)
 
 
 def fit_vocab(corpus: DataFrame, text_col: str = "content", key_col: str = "chunk_id",
               max_features: int = C.TFIDF_MAX_FEATURES, seed_texts=TFIDF_SEED) -> DataFrame:
-    """-> vocab(idx, term, total, df, idf)."""
+    """-> vocab(idx, term, total, df, idf). Totals and document frequencies
+    are two aggregations with strong map-side combining (vocabulary-sized
+    per task); the top ``max_features`` is a bounded TakeOrderedAndProject."""
     spark = corpus.sparkSession
     docs = corpus.select(F.col(key_col).cast("string").alias("doc_key"), F.col(text_col).alias("text"))
     if seed_texts:
         seeds = spark.createDataFrame([(f"seed-{i}", t) for i, t in enumerate(seed_texts)], "doc_key string, text string")
         docs = docs.unionByName(seeds)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    stats = (_term_counts(docs, "text").groupBy("term")
-             .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")))
+    tf = _grams(docs, "text").groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features)
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     return top.select((F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"),
@@ -77,7 +80,10 @@ def transform(docs: DataFrame, vocab: DataFrame, text_col: str = "content", key_
     """docs -> (<keep>, <key_col>, vec ARRAY<DOUBLE>[dim])."""
     keep = [c for c in keep if c in docs.columns and c != key_col]
     d = docs.select(*keep, F.col(key_col).alias("doc_key"), F.col(text_col).alias("text"))
-    tf = _term_counts(d, "text").join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
+    # vocabulary (<= max_features rows) joined before the per-document count
+    tf = (_grams(d, "text")
+          .join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
+          .groupBy("doc_key", "idx", "idf").agg(F.count(F.lit(1)).alias("tf")))
     sparse = (tf.groupBy("doc_key")
               .agg(F.map_from_entries(F.collect_list(
                   F.struct("idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")))).alias("m")))
