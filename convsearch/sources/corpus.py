@@ -20,9 +20,10 @@ def read_corpus(spark: SparkSession, root: str, domains=DEFAULT_DOMAINS) -> Data
     paths = [os.path.join(root, d) for d in domains if os.path.isdir(os.path.join(root, d))]
     if not paths:
         return spark.createDataFrame([], "domain string, source string, text string")
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.{txt,md}")
+    # wholetext must be text()'s argument: its default overrides .option()
+    df = (spark.read.option("pathGlobFilter", "*.{txt,md}")
           .option("ignoreCorruptFiles", True).option("recursiveFileLookup", False)
-          .text(paths)
+          .text(paths, wholetext=True)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     parts = F.split(F.col("path"), "/")
     return df.select(F.element_at(parts, -2).alias("domain"),
