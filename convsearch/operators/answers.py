@@ -17,6 +17,7 @@ from ..functions import domains as DOM
 from ..functions import parse as P
 from ..functions import prompts as PR
 from . import confidence as CONF
+from ..spark import cut_lineage
 from . import hybrid, lexical, refgraph, vector
 
 
@@ -58,9 +59,13 @@ def answer_batch(requests: DataFrame, corpus: Corpus, qvecs: DataFrame, completi
     index = lexical.build_index(corpus.chunks)
     lex = lexical.bm25_topk(requests.select("query_id", "domain", "query"), index, k)
     vec = vector.vector_topk(qvecs, corpus.vectors, k)
-    hits = hybrid.hybrid_topk(vec, lex, corpus.chunks, k)
+    # The hit list (k rows per request) and the expanded list feed several
+    # branches below; checkpointing them into the shared checkpoint folder
+    # computes each once and keeps the downstream plans small (lineage cut,
+    # survives executor loss).
+    hits = cut_lineage(hybrid.hybrid_topk(vec, lex, corpus.chunks, k))
     graph = refgraph.build_graph(corpus.chunks)
-    expanded = refgraph.expand(hits.select("query_id", "domain", "rank", "chunk_id"), graph, hops)
+    expanded = cut_lineage(refgraph.expand(hits.select("query_id", "domain", "rank", "chunk_id"), graph, hops))
     ctx = context_blocks(expanded, corpus.chunks)
     srcs = answer_sources(expanded)
     rs = CONF.retrieval_score(requests.select("query_id", "domain"), hits)

@@ -89,3 +89,28 @@ def failures(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     r = (rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ord", "reason"))).alias("_r"))
          .select("case_id", F.transform("_r", lambda x: x["reason"]).alias("reasons")))
     return cases.select("case_id", "description").join(r, "case_id")
+
+
+def summary_from_results(tests: DataFrame) -> DataFrame:
+    """Suite summary from a nested results file (``sources.evalio``), with
+    the report script's own rules: assertions classified by substrings of
+    their reasons, latency/confidence from the response metadata."""
+    comps = (tests.select("test_no", F.explode_outer("components").alias("c"))
+             .filter(F.col("c").isNotNull())
+             .select("test_no", F.coalesce("c.reason", F.lit("")).alias("reason"),
+                     F.coalesce("c.pass", F.lit(False)).alias("pass")))
+    r = F.col("reason")
+    routing = r.contains("Correctly routed") | r.contains("Wrong agent") | r.contains("expected_agent")
+    halluc = r.contains("hallucination") | r.contains("fabricated") | r.contains("No source")
+    a = comps.agg(F.sum(routing.cast("int")).cast("bigint").alias("routing_total"),
+                  F.sum((routing & F.col("pass")).cast("int")).cast("bigint").alias("routing_correct"),
+                  F.sum(halluc.cast("int")).cast("bigint").alias("hallucination_total"),
+                  F.sum((halluc & ~F.col("pass")).cast("int")).cast("bigint").alias("hallucinations"))
+    t = tests.agg(F.count(F.lit(1)).alias("total_tests"), F.sum(F.col("pass").cast("int")).cast("bigint").alias("passed"),
+                  F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"),
+                  F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+    p95 = percentile_by_rank(tests.filter(F.col("latency_ms").isNotNull()), "latency_ms", (), "suite", "p95")
+    out = t.withColumn("p95_latency_ms", p95.select("p95").scalar())
+    for c in ("routing_total", "routing_correct", "hallucination_total", "hallucinations"):
+        out = out.withColumn(c, a.select(c).scalar())
+    return out.withColumn("accuracy_pct", F.round(F.col("passed") / F.col("total_tests") * 100, 1))

@@ -595,3 +595,19 @@ def q_request_audit(spark, sf):
     return audit_src.to_audit(resp).select("audit_id", "session_id", "routed_to", "router_confidence",
                                            "retrieved_sources", "final_confidence", "low_confidence_flag",
                                            "response_latency_ms", "cache_hit")
+
+
+# ---------------------------------------------------------------- build job / scale variants
+from . import build as BUILD  # noqa: E402
+
+
+@register
+def q_corpus_stats(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("domain"), "source", "text", "doc_id")
+    return BUILD.corpus_stats(BUILD.build_corpus(docs))
+
+
+@register
+def q_vector_topk_lsh(spark, sf):
+    h = vector.vector_topk_lsh(V.query_vec_v(spark, sf), V.vec_v(spark, sf), k=5)
+    return h.select("query_id", "domain", "rank", "chunk_id", r6(F.col("dist")).alias("dist"))

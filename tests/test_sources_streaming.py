@@ -120,3 +120,26 @@ def test_reindex_stream_touches_only_landed_domain(spark, tmp):
     got = spark.read.parquet(f"{tmp}/chunks")
     assert {r["domain"] for r in got.select("domain").distinct().collect()} == {"billing"}
     assert got.count() >= 3
+
+
+def test_eval_results_source_and_compat_summary(spark, tmp):
+    import json
+    from convsearch.operators import evalsuite
+    from convsearch.sources import evalio
+    doc = {"results": {"results": [
+        {"description": "a", "gradingResult": {"pass": True, "componentResults": [
+            {"pass": True, "score": 1, "reason": "Correctly routed to billing"},
+            {"pass": True, "score": 1, "reason": "Cited 1 source(s): x"}]},
+         "response": {"metadata": {"latency_ms": 100, "confidence": 0.9}}},
+        {"description": "b", "gradingResult": {"pass": False, "componentResults": [
+            {"pass": False, "score": 0, "reason": "No source documents cited — potential hallucination"},
+            {"pass": True, "score": 1, "reason": "No expected_agent set"}]},
+         "response": {"metadata": {"latency_ms": 300, "confidence": 0.5}}}]}}
+    open(f"{tmp}/latest.json", "w").write(json.dumps(doc))
+    s = evalsuite.summary_from_results(evalio.read_eval_results(spark, f"{tmp}/latest.json")).first()
+    assert (s["total_tests"], s["passed"], s["routing_total"], s["routing_correct"]) == (2, 1, 2, 2)
+    assert (s["hallucination_total"], s["hallucinations"], s["p95_latency_ms"]) == (1, 1, 300)
+    open(f"{tmp}/empty.json", "w").write(json.dumps({"results": {"results": []}}))
+    import pytest
+    with pytest.raises(ValueError):
+        evalio.read_eval_results(spark, f"{tmp}/empty.json")
