@@ -40,7 +40,9 @@ def hybrid_fuse(vec_hits: DataFrame, lex_hits: DataFrame, chunks: DataFrame,
                                            F.lit(0).alias("list_no"), F.lit(vector_weight).alias("w"))
     b = min_max_normalize(lex_hits).select(*GROUP, "chunk_id", "rank", "norm",
                                            F.lit(1).alias("list_no"), F.lit(bm25_weight).alias("w"))
-    both = attach_chunks(v.unionByName(b), chunks, ("content",)).withColumn("fp", fingerprint("content", 100))
+    # only the 100-character fingerprint travels to the join, never the text
+    fps = chunks.select("domain", "chunk_id", fingerprint("content", 100).alias("fp"))
+    both = attach_chunks(v.unionByName(b), fps, ("fp",))
     first = F.min(F.struct("list_no", "rank", "chunk_id"))
     return (both.groupBy(*GROUP, "fp")
             .agg(F.round(F.sum(F.col("w") * F.col("norm")), 9).alias("fused"), first.alias("first"))
