@@ -69,9 +69,7 @@ def summary(cases: DataFrame, outputs: DataFrame, compat: bool = False) -> DataF
                 F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"),
                 F.round(F.avg("confidence"), 3).alias("avg_confidence"))
     p95 = percentile_by_rank(res.filter(F.col("latency_ms").isNotNull()), "latency_ms", (), "suite", "p95")
-    out = t.withColumn("p95_latency_ms", p95.select("p95").scalar())
-    for c in ("routing_total", "routing_correct", "hallucination_total", "hallucinations"):
-        out = out.withColumn(c, a.select(c).scalar())
+    out = _attach_counts(t.withColumn("p95_latency_ms", p95.select("p95").scalar()), a)
     return out.select(
         "total_tests", "passed", F.round(F.col("passed") / F.col("total_tests") * 100, 1).alias("accuracy_pct"),
         "routing_total", "routing_correct",
@@ -83,6 +81,16 @@ def summary(cases: DataFrame, outputs: DataFrame, compat: bool = False) -> DataF
         "avg_latency_ms", "p95_latency_ms", "avg_confidence")
 
 
+def _attach_counts(one_row: DataFrame, counts: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate through a single scalar
+    subquery returning a struct (one evaluation, no join)."""
+    cols = counts.columns
+    s = counts.select(F.struct(*cols).alias("s")).scalar()
+    for c in cols:
+        one_row = one_row.withColumn(c, s.getField(c))
+    return one_row
+
+
 def failures(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     """Failed cases with their failing reasons in assertion order."""
     rows = assertion_rows(cases, outputs).filter(~F.col("pass"))
@@ -110,7 +118,5 @@ def summary_from_results(tests: DataFrame) -> DataFrame:
                   F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"),
                   F.round(F.avg("confidence"), 3).alias("avg_confidence"))
     p95 = percentile_by_rank(tests.filter(F.col("latency_ms").isNotNull()), "latency_ms", (), "suite", "p95")
-    out = t.withColumn("p95_latency_ms", p95.select("p95").scalar())
-    for c in ("routing_total", "routing_correct", "hallucination_total", "hallucinations"):
-        out = out.withColumn(c, a.select(c).scalar())
+    out = _attach_counts(t.withColumn("p95_latency_ms", p95.select("p95").scalar()), a)
     return out.withColumn("accuracy_pct", F.round(F.col("passed") / F.col("total_tests") * 100, 1))

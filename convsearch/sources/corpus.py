@@ -17,7 +17,11 @@ def read_corpus(spark: SparkSession, root: str, domains=DEFAULT_DOMAINS) -> Data
     file, UTF-8) -> (domain, source, text). Unreadable files are skipped;
     a missing folder yields no rows."""
     import os
-    paths = [os.path.join(root, d) for d in domains if os.path.isdir(os.path.join(root, d))]
+    base = root.rstrip("/")
+    if "://" in base:  # remote storage: let the reader list the folders
+        paths = [f"{base}/{d}" for d in domains]
+    else:
+        paths = [f"{base}/{d}" for d in domains if os.path.isdir(f"{base}/{d}")]
     if not paths:
         return spark.createDataFrame([], "domain string, source string, text string")
     # wholetext must be text()'s argument: its default overrides .option()
