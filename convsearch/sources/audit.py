@@ -59,7 +59,8 @@ def write_audit(audit: DataFrame, path: str) -> None:
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Schemaless-tolerant read with the service's defaults for missing
     fields (cache_hit/low flag false, latency/confidence 0, agent 'unknown')."""
-    df = spark.read.schema(AUDIT_SCHEMA.add("date", T.DateType())).json(path)
+    schema = T.StructType(AUDIT_SCHEMA.fields + [T.StructField("date", T.DateType())])
+    df = spark.read.schema(schema).json(path)
     return with_read_defaults(df)
 
 
@@ -74,8 +75,21 @@ def with_read_defaults(df: DataFrame) -> DataFrame:
 def audit_tail(audit: DataFrame, date: dt.date | str, limit: int = C.AUDIT_READ_LIMIT) -> DataFrame:
     """Last ``limit`` records of one day in append (timestamp) order, with
     their position ``pos`` (1 = oldest returned). ``limit`` 0 returns none."""
-    day = audit.filter(F.col("date") == F.lit(str(date)).cast("date"))
-    return audit_tail_per_day(day, limit)
+    return audit_tail_per_day(_days(audit, date, 1), limit)
+
+
+def _days(audit: DataFrame, last_day, days: int) -> DataFrame:
+    """Records of the ``days`` UTC days ending ``last_day``. The date
+    predicate prunes date partitions; the equivalent timestamp range is a
+    plain column predicate that reaches the file scan as a pushed filter."""
+    end = F.lit(str(last_day)).cast("date")
+    lo = F.date_sub(end, days - 1)
+    out = audit.filter((F.col("date") <= end) & (F.col("date") >= lo))
+    ts = F.col("timestamp")
+    ts_type = dict(audit.dtypes).get("timestamp")
+    if ts_type in ("timestamp", "timestamp_ntz"):
+        out = out.filter((ts >= lo.cast(ts_type)) & (ts < F.date_add(end, 1).cast(ts_type)))
+    return out
 
 
 def audit_tail_per_day(audit: DataFrame, limit: int) -> DataFrame:
@@ -91,9 +105,7 @@ def audit_window(audit: DataFrame, today: dt.date | str, days: int = C.KPI_DAYS,
                  per_day: int = C.KPI_PER_DAY) -> DataFrame:
     """Union of the last ``per_day`` records of each of the ``days`` days
     ending ``today`` (the date range prunes partitions)."""
-    end = F.lit(str(today)).cast("date")
-    rng = audit.filter((F.col("date") <= end) & (F.col("date") > F.date_sub(end, days)))
-    return audit_tail_per_day(rng, per_day)
+    return audit_tail_per_day(_days(audit, today, days), per_day)
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = "audit_id", seed: str = "42") -> DataFrame:
