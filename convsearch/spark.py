@@ -45,6 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     unset (local tests) a scratch folder is created."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            # executors cannot share a machine-local folder
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="convsearch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
