@@ -527,9 +527,12 @@ from ..operators import answers as ANS  # noqa: E402
 
 
 def _requests(spark, sf):
-    routed = V.router_raw_v(spark, sf).select(F.col("event_id").alias("query_id"),
-                                              P.route(P.parse_router("raw")).alias("r"))
-    return (V.query_v(spark, sf).join(routed, "query_id")
+    q = V.query_v(spark, sf)
+    # keep only the router outputs of this batch before parsing them
+    raw = (V.router_raw_v(spark, sf).withColumnRenamed("event_id", "query_id")
+           .join(q.select("query_id"), "query_id", "left_semi"))
+    routed = raw.select("query_id", P.route(P.parse_router("raw")).alias("r"))
+    return (q.join(routed, "query_id")
             .select("query_id", "domain", "query", F.col("r.category").alias("category"),
                     F.col("r.confidence").alias("router_confidence")))
 
@@ -585,16 +588,21 @@ def q_rating_prompts(spark, sf):
 
 @register
 def q_request_audit(spark, sf):
-    a = _answers(spark, sf)
+    # requests: validated (invalid ones go to a reject reason), redacted,
+    # routed, answered, then projected to audit records
+    req = V.query_v(spark, sf).withColumn(
+        "session_id", F.concat(F.lit("session-"), (F.col("query_id") % 7).cast("string")))
+    valid = ingest.validate_requests(req).filter(F.col("valid")).select("query_id")
+    a = _answers(spark, sf).join(valid, "query_id", "left_semi")
     resp = a.select(F.col("query_id").cast("string").alias("audit_id"),
                     F.lit("2024-01-30 12:00:00").cast("timestamp").alias("timestamp"),
                     F.concat(F.lit("session-"), (F.col("query_id") % 7).cast("string")).alias("session_id"),
-                    P.strip(F.col("query")).alias("redacted_query"), F.col("agent").alias("routed_to"),
+                    TX.redact(F.col("query")).alias("redacted_query"), F.col("agent").alias("routed_to"),
                     "router_confidence", "sources", "confidence", "low_confidence",
                     F.lit(0).cast("bigint").alias("latency_ms"), F.lit(False).alias("cache_hit"))
-    return audit_src.to_audit(resp).select("audit_id", "session_id", "routed_to", "router_confidence",
-                                           "retrieved_sources", "final_confidence", "low_confidence_flag",
-                                           "response_latency_ms", "cache_hit")
+    return audit_src.to_audit(resp).select("audit_id", "session_id", "redacted_query", "routed_to",
+                                           "router_confidence", "retrieved_sources", "final_confidence",
+                                           "low_confidence_flag", "response_latency_ms", "cache_hit")
 
 
 # ---------------------------------------------------------------- build job / scale variants

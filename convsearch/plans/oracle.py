@@ -703,7 +703,8 @@ SELECT query_id, md5({_lit(_PR.ROUTER_PROMPT_HEAD)} || query) AS router_prompt_m
       || substring(answer, 1, 400) || {_lit(_PR.RATING_PROMPT_TAIL)}) AS rating_prompt_md5
 FROM answers"""
 ORACLE["request_audit"] = f"""WITH {ANSWERS_CTES}
-SELECT CAST(query_id AS VARCHAR) AS audit_id, 'session-' || CAST(query_id % 7 AS VARCHAR) AS session_id, agent AS routed_to,
+SELECT CAST(query_id AS VARCHAR) AS audit_id, 'session-' || CAST(query_id % 7 AS VARCHAR) AS session_id,
+  {redact_sql('query')} AS redacted_query, agent AS routed_to,
   round(router_confidence, 4) AS router_confidence, sources AS retrieved_sources, round(confidence, 4) AS final_confidence,
   confidence < 0.65::DOUBLE AS low_confidence_flag, CAST(0 AS BIGINT) AS response_latency_ms, false AS cache_hit
-FROM answers"""
+FROM answers WHERE length('session-' || CAST(query_id % 7 AS VARCHAR)) BETWEEN 1 AND 128 AND length(query) BETWEEN 1 AND 2000"""
