@@ -31,8 +31,6 @@ REFERENCE_PATTERNS = (
     r"according\s+to\s+(?:the\s+)?[\w\s]+(?:policy|terms|agreement)",
 )
 
-WORD_TOKEN = r"(?U)\b\w\w+\b"
-WHITESPACE = r"(?U)\s+"
 
 
 def _c(c) -> Column:
@@ -49,11 +47,6 @@ def word_set(text) -> Column:
     return F.array_distinct(tokenize(text))
 
 
-def word_tokens(text) -> Column:
-    """Lower-cased tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_TOKEN), 0)
-
-
 def redact(text, with_ip: bool = False) -> Column:
     """EMAIL -> PHONE -> CREDIT_CARD -> SSN replacement; null and '' unchanged."""
     out = _c(text)
