@@ -17,15 +17,32 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.vectors import sq_l2
-from ..spark import maybe_broadcast
 from .lexical import top_k
 
 
-def vector_scores(qvecs: DataFrame, vectors: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+def vector_scores(qvecs: DataFrame, vectors: DataFrame, broadcast_rows: int = 100_000,
+                  vector_blocks: int | None = None) -> DataFrame:
     """qvecs(query_id, domain, qvec[, exclude_id]) x vectors(domain, chunk_id, vec)
-    within the domain -> (query_id, domain, chunk_id, dist, score)."""
-    q = maybe_broadcast(qvecs, broadcast_rows)
-    j = q.join(vectors, "domain")
+    within the domain -> (query_id, domain, chunk_id, dist, score).
+
+    A query batch within ``broadcast_rows`` (bounded count) is broadcast to
+    the vector scan. A larger batch is not joined on the domain alone (a few
+    keys, one task per domain): queries are hashed into B blocks of about
+    ``broadcast_rows`` and vectors into V blocks, each side is replicated
+    across the other side's blocks, and the equi-join on (domain, qblock,
+    vblock) gives tasks of (Q/B) x (N/V) pairs, however hot a domain is."""
+    n_probe = qvecs.limit(broadcast_rows + 1).count()
+    if n_probe <= broadcast_rows:
+        j = F.broadcast(qvecs).join(vectors, "domain")
+    else:
+        n_q = qvecs.count()
+        nb = -(-n_q // broadcast_rows)
+        nv = vector_blocks or qvecs.sparkSession.sparkContext.defaultParallelism
+        qb = (qvecs.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
+              .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))))
+        vb = (vectors.withColumn("_vb", F.pmod(F.xxhash64("chunk_id"), F.lit(nv)))
+              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))))
+        j = qb.join(vb, ["domain", "_qb", "_vb"]).drop("_qb", "_vb")
     if "exclude_id" in qvecs.columns:
         j = j.filter(F.col("exclude_id").isNull() | (F.col("chunk_id") != F.col("exclude_id")))
     d = sq_l2("qvec", "vec")
@@ -33,9 +50,10 @@ def vector_scores(qvecs: DataFrame, vectors: DataFrame, broadcast_rows: int = 10
                     (1.0 / (1.0 + d)).alias("score"))
 
 
-def vector_topk(qvecs: DataFrame, vectors: DataFrame, k: int = C.TOP_K) -> DataFrame:
+def vector_topk(qvecs: DataFrame, vectors: DataFrame, k: int = C.TOP_K,
+                broadcast_rows: int = 100_000) -> DataFrame:
     """Top-k nearest chunks by squared L2 distance (ties by chunk id)."""
-    s = vector_scores(qvecs, vectors)
+    s = vector_scores(qvecs, vectors, broadcast_rows)
     return top_k(s, k, [F.col("dist").asc(), F.col("chunk_id").asc()])
 
 

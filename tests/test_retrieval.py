@@ -85,3 +85,12 @@ def test_hybrid_invariants(spark):
     top = hybrid.hybrid_topk(vector.vector_topk(qv, vecs), lex, corpus)
     best = top.groupBy("query_id").agg(F.max("score").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     assert best and all(r["m"] == 1.0 and r["n"] <= 5 for r in best)
+
+
+def test_vector_block_join_equals_broadcast(spark):
+    qv, vecs = V.query_vec_v(spark, SF001), V.vec_v(spark, SF001)
+    a = {(r["query_id"], r["rank"], r["chunk_id"]) for r in vector.vector_topk(qv, vecs, k=5).collect()}
+    # force the salted block join: 7 query rows per block, 3 vector blocks
+    b = vector.vector_topk(qv, vecs, k=5, broadcast_rows=7)
+    assert "BroadcastNestedLoopJoin" not in b._jdf.queryExecution().executedPlan().toString()
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in b.collect()} == a
