@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import tokenize
-from ..spark import maybe_broadcast
+from ..spark import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 
 
 @dataclass
@@ -90,10 +90,17 @@ def bm25_scores(queries: DataFrame, index: LexicalIndex, text_col: str = "query"
     Only the batch's vocabulary is needed: chunk tokens are semi-joined with
     the (size-checked, broadcast) query vocabulary *before* postings are
     aggregated, so the shuffle carries query-term postings only."""
+    bound = broadcast_rows or DEFAULT_BROADCAST_ROWS
     qt = query_terms(queries, text_col)
     qvocab = qt.select("domain", "term").distinct()
-    qvocab = maybe_broadcast(qvocab, broadcast_rows) if broadcast_rows else maybe_broadcast(qvocab)
+    small_vocab = qvocab.limit(bound + 1).count() <= bound
+    if small_vocab:
+        qvocab = F.broadcast(qvocab)
     ts = index.term_stats.join(qvocab, ["domain", "term"])
+    # term stats of the batch vocabulary: at most as many rows as the checked
+    # vocabulary, so broadcasting them is bounded too
+    ts = F.broadcast(ts) if small_vocab else ts
+    qt = maybe_broadcast(qt, bound)
     postings = (index.tokens.select("domain", "chunk_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
                 .filter(F.col("term").isNotNull()).join(qvocab, ["domain", "term"])
                 .groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")))
