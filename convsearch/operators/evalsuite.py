@@ -14,6 +14,14 @@ from ..functions import assertions as A
 from .kpi import percentile_by_rank
 
 
+def exact_mean_3dp(c: str):
+    """Mean rounded half-up to 3 decimals, from an exact integer sum of
+    micro-units and integral division: independent of summation order (a
+    floating mean can sit on a .0005 tie and flip with partitioning)."""
+    return F.expr(f"CASE WHEN count({c}) > 0 THEN ((sum(CAST(round({c} * 1000000) AS BIGINT)) + count({c}) * 500) "
+                  f"div (count({c}) * 1000)) / CAST(1000 AS DOUBLE) END")
+
+
 def assertion_rows(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     """cases(case_id, description, expected_agent, match_type, match_value,
     custom_check, min_confidence, max_latency_ms) x outputs(case_id, output)
@@ -67,7 +75,7 @@ def summary(cases: DataFrame, outputs: DataFrame, compat: bool = False) -> DataF
     t = res.agg(F.count(F.lit(1)).alias("total_tests"),
                 F.sum(F.col("pass").cast("int")).cast("bigint").alias("passed"),
                 F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"),
-                F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+                exact_mean_3dp("confidence").alias("avg_confidence"))
     p95 = percentile_by_rank(res.filter(F.col("latency_ms").isNotNull()), "latency_ms", (), "suite", "p95")
     out = _attach_counts(t.withColumn("p95_latency_ms", p95.select("p95").scalar()), a)
     return out.select(
@@ -116,7 +124,7 @@ def summary_from_results(tests: DataFrame) -> DataFrame:
                   F.sum((halluc & ~F.col("pass")).cast("int")).cast("bigint").alias("hallucinations"))
     t = tests.agg(F.count(F.lit(1)).alias("total_tests"), F.sum(F.col("pass").cast("int")).cast("bigint").alias("passed"),
                   F.round(F.avg("latency_ms")).cast("bigint").alias("avg_latency_ms"),
-                  F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+                  exact_mean_3dp("confidence").alias("avg_confidence"))
     p95 = percentile_by_rank(tests.filter(F.col("latency_ms").isNotNull()), "latency_ms", (), "suite", "p95")
     out = _attach_counts(t.withColumn("p95_latency_ms", p95.select("p95").scalar()), a)
     return out.withColumn("accuracy_pct", F.round(F.col("passed") / F.col("total_tests") * 100, 1))

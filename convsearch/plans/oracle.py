@@ -556,7 +556,9 @@ rt AS (SELECT sum(CASE WHEN assertion = 'correct_agent' AND reason <> 'No expect
    sum(CASE WHEN assertion IN ('has_source', 'no_fabricated_facts') THEN 1 ELSE 0 END) AS hallucination_total,
    sum(CASE WHEN assertion IN ('has_source', 'no_fabricated_facts') AND NOT pass THEN 1 ELSE 0 END) AS hallucinations FROM arows),
 tt AS (SELECT count(*) AS total_tests, CAST(sum(CAST(pass AS INTEGER)) AS BIGINT) AS passed,
-   CAST(round(avg(lat)) AS BIGINT) AS avg_latency_ms, round(avg(conf), 3) AS avg_confidence FROM cmeta),
+   CAST(round(avg(lat)) AS BIGINT) AS avg_latency_ms,
+   CASE WHEN count(conf) > 0 THEN ((sum(CAST(round(conf * 1000000) AS BIGINT)) + count(conf) * 500) // (count(conf) * 1000))
+     / CAST(1000 AS DOUBLE) END AS avg_confidence FROM cmeta),
 h AS (SELECT lat, count(*) AS c FROM cmeta WHERE lat IS NOT NULL GROUP BY lat),
 hc AS (SELECT *, sum(c) OVER (ORDER BY lat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(c) OVER () AS n FROM h),
 p AS (SELECT min(lat) AS p95 FROM hc WHERE cum >= floor(n * 0.95::DOUBLE) + 1)
