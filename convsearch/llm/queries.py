@@ -6,18 +6,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, sharding
 from .common import stored, table
 from .packing import pack, token_pieces
+from .pseudonyms import pseudonymise
+from .quality import assess
+from .sharding import place
 from .tokens import public_path
 
+#: Key of the pseudonyms in the registered queries; a real job passes its own.
+PSEUDONYM_KEY = "registered-queries"
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = stored(token_pieces(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")), "pieces")
     return pack(pieces, 4096)
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
+
+
+def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
+    return place(docs, "doc_id", SHARDS)
+
+
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
+    "op5_lookup_sharding": op5_lookup_sharding,
+    "op7_line_quality": op7_line_quality,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _sharding_sql() -> str:
+    slots = ",".join(map(str, sharding.lookup_table(SHARDS)))
+    return f"""
+        WITH t AS (SELECT string_split('{slots}', ',') AS shard_of),
+        d AS (SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n_chars,
+                     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)
+        SELECT doc_id, source, n_chars, slot, 'shard-' || lpad(t.shard_of[slot + 1], 3, '0') AS shard FROM d, t"""
+
+
+def _quality_sql() -> str:
+    p = quality.PARAMS
+    words = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+    phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in quality.BOILERPLATE)
+    count = "(length(line) - length(regexp_replace(line, '{}', '', 'g')))"
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words.format("coalesce(text, '')")} AS w FROM documents),
+        word AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM word) WHERE n > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+        line AS (SELECT doc_id, line, lw, len(lw) AS n FROM (SELECT doc_id, line, {words.format("line")} AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)) WHERE len(lw) > 0),
+        lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM line GROUP BY doc_id),
+        good AS (SELECT doc_id, sum(n) AS n FROM (SELECT DISTINCT doc_id, line, lw, n FROM line) WHERE NOT (
+            {count.format('[#*$%&|<>]')} > n * {p['symbol_rate']}
+            OR (len(list_filter(lw, x -> x = '|')) >= {p['nav_bars']} AND len(list_filter(lw, x -> x = '|')) * {p['nav_words']} >= n)
+            OR ({count.format('[A-Z]')} >= {p['shout_letters']} AND {count.format('[A-Z]')} > 2 * {count.format('[a-z]')})
+            OR (n >= {p['stammer_words']} AND 4 * len(list_distinct(lw)) < n)
+            OR (n <= {p['boiler_words']} AND ({phrases}))
+            OR (n >= {p['open_words']} AND NOT regexp_matches(line, '[.!?:;。！？：；]'))) GROUP BY doc_id),
+        s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(good.n, 0) AS BIGINT) AS n_kept_words
+              FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN good USING (doc_id))
+        SELECT *, n_words < {p['min_words']} OR 100 * n_repeat_words > {p['max_repeat_pct']} * n_words AS base_failed,
+               NOT (n_words < {p['min_words']} OR 100 * n_repeat_words > {p['max_repeat_pct']} * n_words) AND n_kept_words >= {1 - p['max_lost']} * n_words AS kept
+        FROM s"""
+
+
+ORACLE: dict[str, str] = {
+    "op5_lookup_sharding": _sharding_sql(),
+    "op7_line_quality": _quality_sql(),
+}
