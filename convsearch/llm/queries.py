@@ -58,7 +58,7 @@ def _sharding_sql() -> str:
 
 def _quality_sql() -> str:
     p = quality.PARAMS
-    words = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+    words = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in quality.BOILERPLATE)
     count = "(length(line) - length(regexp_replace(line, '{}', '', 'g')))"
     return rf"""
@@ -70,7 +70,7 @@ def _quality_sql() -> str:
         lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM line GROUP BY doc_id),
         good AS (SELECT doc_id, sum(n) AS n FROM (SELECT DISTINCT doc_id, line, lw, n FROM line) WHERE NOT (
             {count.format('[#*$%&|<>]')} > n * {p['symbol_rate']}
-            OR (len(list_filter(lw, x -> x = '|')) >= {p['nav_bars']} AND len(list_filter(lw, x -> x = '|')) * {p['nav_words']} >= n)
+            OR (len(list_filter(lw, lambda x: x = '|')) >= {p['nav_bars']} AND len(list_filter(lw, lambda x: x = '|')) * {p['nav_words']} >= n)
             OR ({count.format('[A-Z]')} >= {p['shout_letters']} AND {count.format('[A-Z]')} > 2 * {count.format('[a-z]')})
             OR (n >= {p['stammer_words']} AND 4 * len(list_distinct(lw)) < n)
             OR (n <= {p['boiler_words']} AND ({phrases}))
