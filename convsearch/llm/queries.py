@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import quality, sharding
 from .common import stored, table
+from .ngram_join import similar_components
 from .packing import pack, token_pieces
 from .pseudonyms import pseudonymise
 from .quality import assess
@@ -34,6 +35,10 @@ def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(docs, "doc_id", SHARDS)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op5_lookup_sharding": op5_lookup_sharding,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_quality": op7_line_quality,
 }
 
