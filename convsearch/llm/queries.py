@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import quality, sharding, toxicity
 from .common import stored, table
 from .ngram_join import similar_components
 from .packing import pack, token_pieces
@@ -17,6 +17,8 @@ from .tokens import public_path
 
 #: Key of the pseudonyms in the registered queries; a real job passes its own.
 PSEUDONYM_KEY = "registered-queries"
+#: From this probability on a document counts as toxic.
+TOXIC = 0.5
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -25,6 +27,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces, 4096)
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select(
+        "doc_id", "p_disruptive", "p_toxic", "p_severe", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
@@ -46,6 +55,7 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity_chain": op2_toxicity_chain,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op5_lookup_sharding": op5_lookup_sharding,
     "op6_ngram_jaccard": op6_ngram_jaccard,
