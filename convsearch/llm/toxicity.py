@@ -7,11 +7,11 @@ later model sees them as noisy as it will find them on new texts.
 
 Categories, in order: ``disruptive`` (label quality = 0), ``toxic`` (label
 toxic = 1), ``severe`` (labelled toxic with at least ``SEVERE`` occurrences of
-marker terms that never occur in texts labelled otherwise).
+marker terms, which texts labelled otherwise hardly have).
 
 Features: log counts of the ``terms`` words and word beginnings (4 characters)
-that tell the labels apart best, shares of symbols, of capitals and of repeated
-words, and the log length. Terms are counted over the whole texts of the
+that tell the labels apart best, the log count of all marker terms, shares of
+symbols, of capitals and of repeated words, and the log length. Terms are counted over the whole texts of the
 training rows on the executors; the driver gets the chosen terms and a sparse
 matrix of at most ``max_labelled`` rows.
 
@@ -38,7 +38,12 @@ from pyspark.sql import types as T
 
 CATEGORIES = ("disruptive", "toxic", "severe")
 MAX_LABELLED, TERMS, FOLDS, SEVERE, START = 20_000, 256, 4, 4, 4
-DENSE = 4
+DENSE = 5
+#: A term's rates under the two labels differ by this factor at least; terms
+#: below it mostly tell languages apart.
+RATIO, SUPPORT = 5.0, 8
+#: Marker terms are that many times as frequent in toxic rows.
+MARK = 30.0
 _WORD = re.compile(r"\w+")
 
 
@@ -60,11 +65,13 @@ def dense_features(text: str, counts: Counter, total: int) -> list[float]:
             len(re.findall(r"[A-Z]", text)) / size, 1 - distinct / max(1, total)]
 
 
-def sparse_row(text: str | None, index: dict[str, int]) -> tuple[list[int], list[float]]:
+def sparse_row(text: str | None, index: dict[str, int], markers: frozenset[str]) -> tuple[list[int], list[float]]:
     text = text or ""
     counts, total = term_counts(text)
-    hits = [(index[w], float(np.log1p(counts[w]))) for w in index.keys() & counts.keys()]
+    there = index.keys() & counts.keys()
+    hits = [(index[w], float(np.log1p(counts[w]))) for w in there]
     hits += [(len(index) + i, v) for i, v in enumerate(dense_features(text, counts, total))]
+    hits.append((len(index) + DENSE - 1, float(np.log1p(sum(counts[w] for w in there & markers)))))
     return [i for i, _ in hits], [v for _, v in hits]
 
 
@@ -81,15 +88,13 @@ class Linear:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.1, ridge: float = 1e-5) -> Linear:
-    """Logistic regression by full-batch Adam steps, classes weighted alike."""
+    """Logistic regression by full-batch Adam steps."""
     if len(y) == 0 or y.min() == y.max():
         return Linear(None, float(y.mean()) if len(y) else 0.0)
-    share = y.mean()
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(x.dtype) / len(y)
     w, b = np.zeros(x.shape[1], x.dtype), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        error = (Linear(w, b).predict(x) - y) * weight
+        error = ((Linear(w, b).predict(x) - y) / len(y)).astype(x.dtype)
         grad = np.append(x.T @ error + ridge * w, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -101,8 +106,12 @@ def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.1
 class Chain:
     """The terms and the models of the categories, in order."""
     index: dict[str, int]
+    markers: frozenset[str]
     models: list[Linear]
 
+    def row(self, text: str | None):
+        return sparse_row(text, self.index, self.markers)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), 0), x.dtype)
         for model in self.models:
@@ -116,7 +125,7 @@ class Chain:
         return x
 
 
-def fit_chain(index: dict[str, int], x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
+def fit_chain(chain: Chain, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> Chain:
     """Models for the columns of ``labels``; out-of-fold probabilities of each
     category are features of the next ones."""
     models, seen = [], x
@@ -126,7 +135,7 @@ def fit_chain(index: dict[str, int], x: np.ndarray, labels: np.ndarray, fold: np
         for k in range(folds):
             out[fold == k] = fit_linear(seen[fold != k], y[fold != k]).predict(seen[fold == k])
         seen = np.column_stack([seen, out])
-    return Chain(index, models)
+    return Chain(chain.index, chain.markers, models)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -138,9 +147,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
 
 
-def _terms(rows: DataFrame, terms: int) -> tuple[dict[str, int], list[str]]:
-    """The terms that tell the toxic rows apart best, and the marker terms
-    among them, which only toxic rows have."""
+def _terms(rows: DataFrame, terms: int) -> Chain:
+    """A chain without models yet: the terms that tell the toxic rows apart
+    best, and the markers: word beginnings that hardly any other rows have."""
     def run(batches):
         import pyarrow as pa
 
@@ -155,23 +164,23 @@ def _terms(rows: DataFrame, terms: int) -> tuple[dict[str, int], list[str]]:
 
     total = rows.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("pos"), F.sum((F.col("toxic") <= 0).cast("long")).alias("neg")).first()
     if not total["pos"] or not total["neg"]:
-        return {}, []
+        return Chain({}, frozenset(), [])
     counted = rows.select("text", "toxic").mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, n = (F.col("pos") + 0.5) / (total["pos"] + 1), (F.col("neg") + 0.5) / (total["neg"] + 1)
-    best = counted.filter("pos + neg >= 3").withColumn("gain", F.abs(p - n) * F.abs(F.log(p / n))).orderBy(F.desc("gain"), "term").limit(terms).collect()
-    return {r["term"]: i for i, r in enumerate(best)}, [r["term"] for r in best if not r["neg"]]
+    best = counted.filter(F.col("pos") + F.col("neg") >= SUPPORT).filter(F.abs(F.log(p / n)) >= np.log(RATIO)).withColumn("lift", p / n).withColumn("gain", F.abs(p - n) * F.abs(F.log(p / n))).orderBy(F.desc("gain"), "term").limit(terms).collect()
+    return Chain({r["term"]: i for i, r in enumerate(best)}, frozenset(r["term"] for r in best if r["lift"] >= MARK and r["term"][0] == "^"), [])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, terms: int = TERMS, folds: int = FOLDS) -> Chain:
     """A chain fitted on the labelled rows of ``docs``."""
     rows = training_rows(docs, labels, max_labelled)
-    index, markers = _terms(rows, terms)
+    chain = _terms(rows, terms)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [sparse_row(t.as_py(), index) for t in batch.column(0)]
+            found = [chain.row(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64())), *batch.columns[1:]],
                 names=["at", "value", "fold", "quality", "toxic"])
@@ -179,12 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, te
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("long")
     data = (rows.select("text", fold.alias("fold"), F.col("quality").cast("long"), F.col("toxic").cast("long"))
             .mapInArrow(run, "at array<int>, value array<double>, fold long, quality long, toxic long").collect())
-    chain = Chain(index, [])
     x = chain.matrix([(r["at"], r["value"]) for r in data])
     toxic = np.array([r["toxic"] > 0 for r in data], np.float32)
-    marks = np.expm1(x[:, [index[m] for m in markers if m[0] == "^"]]).sum(1) if markers and len(x) else np.zeros(len(x))
+    marks = np.expm1(x[:, -1])
     y = np.column_stack([np.array([r["quality"] == 0 for r in data], np.float32), toxic, toxic * (marks >= SEVERE)])
-    return fit_chain(index, x, y, np.array([r["fold"] for r in data]), folds)
+    return fit_chain(chain, x, y, np.array([r["fold"] for r in data]), folds)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
@@ -199,7 +207,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            p = chain.predict(chain.matrix([sparse_row(t.as_py(), chain.index) for t in batch.column(at)]))
+            p = chain.predict(chain.matrix([chain.row(t.as_py()) for t in batch.column(at)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, i].astype(np.float64)) for i in range(len(names)))], names=every)
 
     return docs.mapInArrow(run, schema)
