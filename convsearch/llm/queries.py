@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, toxicity
-from .common import stored, table
+from . import ann, quality, sharding, token_files, toxicity
+from .common import shared_path, stored, table
 from .ngram_join import similar_components
 from .packing import pack, token_pieces
 from .pseudonyms import pseudonymise
@@ -53,6 +53,16 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
 
 
+def op8_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-planes")
+    manifest = token_files.write_files(table(spark, sf_dir, "documents"), path, public_path("byte_bpe_50k.json"))
+    return token_files.read_files(manifest, path)
+
+
+def op10_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -60,6 +70,8 @@ QUERIES = {
     "op5_lookup_sharding": op5_lookup_sharding,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_quality": op7_line_quality,
+    "op8_plane_files": op8_plane_files,
+    "op10_dimension_scan": op10_dimension_scan,
 }
 
 
