@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, quality, sharding, token_files, toxicity
+from . import ann, html_extract, quality, sharding, token_files, toxicity
 from .common import shared_path, stored, table
 from .ngram_join import similar_components
 from .packing import pack, token_pieces
@@ -59,6 +59,11 @@ def op8_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(manifest, path)
 
 
+def op9_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op10_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_quality": op7_line_quality,
     "op8_plane_files": op8_plane_files,
+    "op9_minimum_cut": op9_minimum_cut,
     "op10_dimension_scan": op10_dimension_scan,
 }
 
