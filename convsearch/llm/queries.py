@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, quality, sharding, token_files, toxicity
+from . import ann, html_extract, quality, sentence_pieces, sharding, token_files, toxicity
 from .common import shared_path, stored, table
 from .ngram_join import similar_components
 from .packing import pack, token_pieces
@@ -39,6 +39,11 @@ def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
 
 
+def op4_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_path("piece_bpe_32k.model")
+    return sentence_pieces.digest(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op5_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n_chars"))
     return place(docs, "doc_id", SHARDS)
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity_chain": op2_toxicity_chain,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
+    "op4_piece_scan": op4_piece_scan,
     "op5_lookup_sharding": op5_lookup_sharding,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_line_quality": op7_line_quality,
