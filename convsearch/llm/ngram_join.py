@@ -2,9 +2,10 @@
 
 Method: multiple-global-order filtering. Under any total order of all shingles,
 two sets of Jaccard similarity t or more share a shingle among the first
-``n - ceil(t * n) + 1`` of each (the prefix). Candidates are pairs that share a
-prefix shingle under a first order; they must also share one under each of two
-further orders, and only those that pass every filter are verified exactly.
+``n - ceil(t * n) + 1`` of each (the prefix). Candidates are pairs that share
+prefix shingles under a first order, as many as their sizes ask for; they must
+also share one under each of two further orders, and only those that pass every
+filter are verified exactly. Whole sets are made for such documents only.
 
 * The first order puts frequent shingles last (heavy ones counted over all
   documents with a lossy count), then goes by hash; the further orders go by
@@ -28,8 +29,6 @@ names the component; extra columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,15 +102,15 @@ def profile(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def first_prefixes(docs: DataFrame, heavy: np.ndarray, level: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(token, doc_id, n): the prefix of each document under the first order.
+    """(token, doc_id, n, pos): the prefix of each document under the first order.
     Of copies within a task only the first is given."""
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        schema, seen = [("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())], set()
+        schema, seen = [("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())], set()
         for sets in _sets(batches, k):
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, places = [], [], [], []
             for doc, s in sets:
                 if not len(s) or (fp := xxh3_128_digest(s.tobytes())) in seen:
                     continue
@@ -123,14 +122,21 @@ def first_prefixes(docs: DataFrame, heavy: np.ndarray, level: np.ndarray, k: int
                 tokens.append(s[:p])
                 ids.append(np.full(p, doc))
                 sizes.append(np.full(p, n))
+                places.append(np.arange(p))
             if tokens:
-                yield _table(schema, np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes))
+                yield _table(schema, np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes), np.concatenate(places))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "token long, doc_id long, n long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "token long, doc_id long, n int, pos int")
 
 
-def _size_ok(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+def _may_meet(percent: int) -> Column:
+    """Whether a token can be the first that a and b share: the sizes fit, and
+    what follows it in either set is enough. Every similar pair meets this at
+    its first common token, whatever other tokens it shares."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    need = (percent * (na + nb) + 99 + percent) / (100 + percent)
+    rest = F.least(na - F.col("pos_a"), nb - F.col("pos_b"))
+    return (100 * na >= percent * nb) & (100 * nb >= percent * na) & (rest >= F.floor(need))
 
 
 def passes(a: np.ndarray, b: np.ndarray, percent: int, orders=(1, 2)) -> bool:
@@ -181,7 +187,21 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     return labels
 
 
-def _ids(text_sets: DataFrame, k: int):
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after further ``links``: only the components
+    that the links touch are joined, as the nodes of a smaller graph."""
+    if labels is None:
+        return components(links)
+    top = lambda side: labels.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    ends = links.join(top("a"), "a", "left").join(top("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+    up = components(ends)
+    known = labels.unionByName(up.select("id", F.col("id").alias("component")).join(labels, "id", "left_anti"))
+    up = up.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return stored(known.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+
+
+def _element_table(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
@@ -189,10 +209,25 @@ def _ids(text_sets: DataFrame, k: int):
         for sets in _sets(batches, k):
             yield _table(schema, [d for d, _ in sets], [s.tobytes() for _, s in sets])
 
-    return text_sets.mapInArrow(run, "doc_id long, elements binary")
+    return docs.mapInArrow(run, "doc_id long, elements binary")
+
+
+def candidates(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those that the first order does not rule out: what
+    two sets share outside their prefixes is at most the longer rest, so their
+    prefixes must share all that the threshold asks for beyond it."""
+    of = lambda side: shared.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    rest = F.greatest(F.col("na") - prefix_length_of(F.col("na"), percent), F.col("nb") - prefix_length_of(F.col("nb"), percent))
+    return both.filter(F.size(F.array_intersect("ta", "tb")) >= need - rest).select("a", "b")
+
+
+def prefix_length_of(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100) + 1
 
 
-def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, class_id (first copy with an equal set) and
     component_id of every document. ``doc_id`` must be unique."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -206,16 +241,16 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     heavy = often["shingle"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(heavy)
     level = np.frexp(often["n"].to_numpy(np.float64))[1].astype(np.int64)[at]
-    raw = first_prefixes(docs, heavy[at], level, k, percent).repartition("token")
-    shared = raw.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("token")
+    raw = first_prefixes(docs, heavy[at], level, k, percent).filter("token is not null and doc_id is not null").repartition("token")
+    # same columns and filters in both branches, so that they share the exchange
+    shared = raw.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("most")).filter("lo <> hi and most > 0").select("token")
     postings = (raw.join(shared, "token").join(classes.select("doc_id", "class_id"), "doc_id")
-                .select("token", F.col("class_id").alias("id"), "n").distinct())
+                .select("token", F.col("class_id").alias("id"), "n", "pos").distinct())
     postings = stored(postings, "postings")
 
-    wanted = postings.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(_ids(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
+    shared = stored(postings.groupBy("id").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens")), "shared")
 
-    links, done, labels = [], None, None
+    done = labels = sets = None
     for turn in range(rounds + 1):
         rows = postings
         if labels is not None:
@@ -225,32 +260,39 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
         if turn < rounds:
             pairs = _hub_pairs(rows, turn, labels is not None)
         else:
-            left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
+            left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "component")]) for s in "ab")
             pairs = left.join(right, "token").filter("id_a < id_b and component_a <> component_b")
-        pairs = pairs.filter(_size_ok(F.col("n_a"), F.col("n_b"), percent)).select(
+        pairs = pairs.filter(_may_meet(percent)).select(
             F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        links.append(stored(verified(pairs, sets, percent), "verified"))
-        labels = components(reduce(DataFrame.unionByName, links))
+        near = stored(candidates(pairs, shared, percent), "candidates")
+        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = stored(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
+        new = stored(_element_table(docs.join(ids, "doc_id", "left_semi"), k), "sets")
+        sets = new if sets is None else sets.unionByName(new)
+        labels = joined_components(labels, stored(verified(near, sets, percent), "verified"))
 
     out = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
 
 
 def _hub_pairs(rows: DataFrame, turn: int, labelled: bool) -> DataFrame:
-    """(id_a, n_a, id_b, n_b): the hub of each token's group with the others,
+    """(id, n, pos of a and b): the hub of each token's group with the others,
     or, once there are components, with one member of each other component."""
-    order = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n")
+    # at first few hubs; then another member of each component for every token,
+    # taken at random or, in every other round, of those that may share most
+    chance = F.xxhash64(F.lit(turn), *(["token"] if labelled else []), "id")
+    order = F.struct(*([F.col("pos").alias("first")] if labelled and turn % 2 == 0 else []), chance.alias("h"), "id", "n", "pos")
     if labelled:
-        rows = rows.groupBy("token", "component").agg(F.min(order).alias("m")).select("token", "component", "m.*")
-        hubs = rows.groupBy("token").agg(F.min(F.struct(F.col("component").alias("c"), "h", "id", "n")).alias("m"))
+        rows = rows.groupBy("token", "component").agg(F.min(order).alias("m"), F.count("*").alias("many")).select("token", "component", "many", "m.id", "m.n", "m.pos")
+        hubs = rows.groupBy("token").agg(F.max(F.struct("many", "component", "id", "n", "pos")).alias("m"))
     else:
         hubs = rows.groupBy("token").agg(F.min(order).alias("m"))
-    hubs = hubs.select("token", F.col("m.id").alias("id_a"), F.col("m.n").alias("n_a"))
-    return rows.select("token", F.col("id").alias("id_b"), F.col("n").alias("n_b")).join(hubs, "token").filter("id_a <> id_b")
+    side = lambda s, at="": [F.col(f"{at}{c}").alias(f"{c}_{s}") for c in ("id", "n", "pos")]
+    return rows.select("token", *side("b")).join(hubs.select("token", *side("a", "m.")), "token").filter("id_a <> id_b")
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
