@@ -73,22 +73,28 @@ def correct_agent(meta, expected) -> Column:
     return result("correct_agent", ok, F.when(ok, 1.0).otherwise(0.0), reason)
 
 
-def confidence_at_least(meta, threshold=C.EVAL_MIN_CONFIDENCE, label: str = "0.6") -> Column:
-    conf = F.coalesce(_c(meta)["confidence"], F.lit(0.0))
-    ok = conf >= F.lit(threshold)
-    txt = F.format_string("%.3f", conf)
+def _limit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def confidence_at_least(meta, threshold=C.EVAL_MIN_CONFIDENCE) -> Column:
+    """``threshold`` is a number or a column (a case's own threshold)."""
+    conf, least = F.coalesce(_c(meta)["confidence"], F.lit(0.0)), _limit(threshold).cast("double")
+    ok = conf >= least
+    txt, label = F.format_string("%.3f", conf), least.cast("string")
     return result("confidence", ok, conf,
-                  F.when(ok, F.concat(F.lit("Confidence "), txt, F.lit(f" ≥ {label}")))
-                  .otherwise(F.concat(F.lit("Low confidence: "), txt, F.lit(f" < {label}"))))
+                  F.when(ok, F.concat(F.lit("Confidence "), txt, F.lit(" ≥ "), label))
+                  .otherwise(F.concat(F.lit("Low confidence: "), txt, F.lit(" < "), label)))
 
 
-def latency_at_most(meta, max_ms: int = C.EVAL_MAX_LATENCY_MS) -> Column:
-    lat = F.coalesce(_c(meta)["latency_ms"], F.lit(0).cast("bigint"))
-    ok = lat <= max_ms
+def latency_at_most(meta, max_ms=C.EVAL_MAX_LATENCY_MS) -> Column:
+    """``max_ms`` is a number or a column (a case's own limit)."""
+    lat, most = F.coalesce(_c(meta)["latency_ms"], F.lit(0).cast("bigint")), _limit(max_ms).cast("bigint")
+    ok, label = lat <= most, F.concat(most.cast("string"), F.lit("ms"))
     return result("latency", ok,
-                  F.when(ok, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (lat - max_ms) / F.lit(float(max_ms)))),
-                  F.when(ok, F.concat(F.lit("Latency "), lat.cast("string"), F.lit(f"ms ≤ {max_ms}ms")))
-                  .otherwise(F.concat(F.lit("Slow: "), lat.cast("string"), F.lit(f"ms > {max_ms}ms"))))
+                  F.when(ok, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (lat - most) / most.cast("double"))),
+                  F.when(ok, F.concat(F.lit("Latency "), lat.cast("string"), F.lit("ms ≤ "), label))
+                  .otherwise(F.concat(F.lit("Slow: "), lat.cast("string"), F.lit("ms > "), label)))
 
 
 def no_fabricated_facts(output) -> Column:

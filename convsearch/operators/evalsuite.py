@@ -27,7 +27,9 @@ def assertion_rows(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     custom_check, min_confidence, max_latency_ms) x outputs(case_id, output)
     -> (case_id, ord, assertion, pass, score, reason)."""
     j = cases.join(outputs, "case_id", "left").withColumn("meta", A.parse_meta("output"))
-    defaults = [A.has_source("meta"), A.latency_at_most("meta"), A.confidence_at_least("meta"),
+    own = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in cases.columns else F.lit(default)
+    defaults = [A.has_source("meta"), A.latency_at_most("meta", own("max_latency_ms", C.EVAL_MAX_LATENCY_MS)),
+                A.confidence_at_least("meta", own("min_confidence", C.EVAL_MIN_CONFIDENCE)),
                 A.no_fabricated_facts("output")]
     specific_custom = [A.custom_check(F.col("custom_check"), "output", "meta")]
     specific_std = [A.correct_agent("meta", "expected_agent"),
@@ -39,7 +41,7 @@ def assertion_rows(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     arr = F.filter(arr, lambda x: x.isNotNull())
     e = j.select("case_id", F.posexplode(arr).alias("ord", "a"))
     return e.select("case_id", (F.col("ord") + 1).cast("bigint").alias("ord"), "a.assertion",
-                    F.col("a.pass").alias("pass"), "a.score", "a.reason")
+                    F.coalesce(F.col("a.pass"), F.lit(False)).alias("pass"), "a.score", "a.reason")
 
 
 def case_results(cases: DataFrame, outputs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
