@@ -42,10 +42,11 @@ def domains_table(spark: SparkSession) -> DataFrame:
 
 
 def dispatch(df: DataFrame, category_col: str = "category", domains: DataFrame | None = None) -> DataFrame:
-    """Attach agent, system prompt and disclaimer; an unknown category is
-    handled by the default (escalation) agent. The domain table has one row
-    per domain, so broadcasting it is bounded."""
+    """Attach agent, system prompt and disclaimer; a category without a row
+    in the domain table is handled by the default (escalation) agent. Whether
+    the table is broadcast is left to its measured size."""
     d = domains if domains is not None else domains_table(df.sparkSession)
-    agent = F.when(F.col(category_col).isin(list(SYSTEM_PROMPTS)), F.col(category_col)).otherwise(F.lit(DEFAULT_AGENT))
-    return (df.withColumn("agent", agent)
-            .join(F.broadcast(d.withColumnRenamed("domain", "agent")), "agent", "left"))
+    known = d.select(F.col("domain").alias("_known"))
+    df = (df.join(known, F.col(category_col) == F.col("_known"), "left")
+          .withColumn("agent", F.coalesce("_known", F.lit(DEFAULT_AGENT))).drop("_known"))
+    return df.join(d.withColumnRenamed("domain", "agent"), "agent", "left")

@@ -33,8 +33,9 @@ def strip(c) -> Column:
     return F.regexp_replace(_c(c), WS_STRIP, "")
 
 
-def parse_router(text) -> Column:
-    """-> struct(category, confidence, failed). ``failed`` marks outputs
+def parse_router(text, categories=CATEGORIES) -> Column:
+    """-> struct(category, confidence, failed); a category outside
+    ``categories`` becomes escalation. ``failed`` marks outputs
     that make the router call itself fail (category not a string, null /
     array / object confidence, valid JSON that is not an object)."""
     raw = _c(text)
@@ -54,10 +55,10 @@ def parse_router(text) -> Column:
                  .otherwise(conf_s.try_cast("double")))
     json_cat = F.lower(strip(F.coalesce(cat_s, F.lit(""))))
     failed = non_obj_json | (is_obj & bad_types)
-    json_ok = is_obj & ~bad_types & json_conf.isNotNull() & json_cat.isin(*CATEGORIES)
+    json_ok = is_obj & ~bad_types & json_conf.isNotNull() & json_cat.isin(*categories)
     rx_cat = F.lower(F.regexp_extract(raw, ROUTER_CATEGORY_RE, 1))
     rx_conf = F.regexp_extract(raw, ROUTER_CONFIDENCE_RE, 1)
-    fb_cat = F.when(rx_cat.isin(*CATEGORIES), rx_cat).otherwise(F.lit("escalation"))
+    fb_cat = F.when(rx_cat.isin(*categories), rx_cat).otherwise(F.lit("escalation"))
     fb_conf = F.coalesce(F.when(rx_conf != "", rx_conf.try_cast("double")), F.lit(0.5))
     return (F.when(failed, F.struct(F.lit("escalation").alias("category"), F.lit(0.5).alias("confidence"),
                                     F.lit(True).alias("failed")))

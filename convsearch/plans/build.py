@@ -27,22 +27,26 @@ class BuiltCorpus:
 
 def build_corpus(docs: DataFrame, domains=None, size: int = C.CHUNK_SIZE,
                  overlap: int = C.CHUNK_OVERLAP) -> BuiltCorpus:
-    """docs(domain, source, text[, doc_id]) -> BuiltCorpus (lazy)."""
+    """docs(domain, source, text[, doc_id]) -> BuiltCorpus (lazy). Given
+    document ids are kept; the vocabulary is fitted on the whole documents as
+    given, not on their overlapping chunks."""
     d = COR.redact_documents(docs)
     if domains is not None:
         d = COR.with_placeholder(d, COR.domain_list(docs.sparkSession, list(domains)))
-    if "doc_id" not in d.columns:
-        d = d.withColumn("doc_id", F.abs(F.xxhash64("domain", "source")) % F.lit(1 << 40))
-    chunks = chunk_documents(d, size=size, overlap=overlap)
-    vocab = tfidf.fit_vocab(chunks)
+    chunks = chunk_documents(COR.with_doc_id(d), size=size, overlap=overlap)
+    vocab = tfidf.fit_vocab(COR.with_doc_id(docs), "text", "doc_id")
     return BuiltCorpus(chunks, lexical.build_index(chunks), vocab, tfidf.transform(chunks, vocab),
                        refgraph.build_graph(chunks))
 
 
 def write_corpus(b: BuiltCorpus, root: str) -> None:
     """Persist the derived tables under ``root`` (dynamic partition overwrite,
-    so a re-build of some domains leaves the others in place)."""
+    so a re-build of some domains leaves the others in place). Chunk ids that
+    meet (equal document ids, or equal hashes of two sources) are an error."""
     COR.write_partitioned(b.chunks, f"{root}/chunks")
+    written = COR.read_partitioned(b.chunks.sparkSession, f"{root}/chunks")
+    if written.groupBy("chunk_id").count().filter("count > 1").limit(1).count():
+        raise ValueError(f"chunk ids are not unique in {root}/chunks")
     COR.write_partitioned(b.vectors, f"{root}/vectors")
     COR.write_partitioned(b.index.term_stats, f"{root}/term_stats")
     COR.write_partitioned(b.index.impacts, f"{root}/impacts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,9 +59,15 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Schemaless-tolerant read with the service's defaults for missing
-    fields (cache_hit/low flag false, latency/confidence 0, agent 'unknown')."""
+    fields (cache_hit/low flag false, latency/confidence 0, agent 'unknown').
+    A missing log folder gives no records."""
     schema = T.StructType(AUDIT_SCHEMA.fields + [T.StructField("date", T.DateType())])
-    df = spark.read.schema(schema).json(path)
+    try:
+        df = spark.read.schema(schema).json(path)
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], schema)
     return with_read_defaults(df)
 
 

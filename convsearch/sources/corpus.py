@@ -3,7 +3,8 @@ domains, chunk/vector tables partitioned by domain."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -15,23 +16,41 @@ DEFAULT_DOMAINS = C.DOMAINS
 def read_corpus(spark: SparkSession, root: str, domains=DEFAULT_DOMAINS) -> DataFrame:
     """One row per ``<root>/<domain>/*.txt|*.md`` file (non-recursive, whole
     file, UTF-8) -> (domain, source, text). Unreadable files are skipped;
-    a missing folder yields no rows."""
-    import os
-    base = root.rstrip("/")
-    if "://" in base:  # remote storage: let the reader list the folders
-        paths = [f"{base}/{d}" for d in domains]
-    else:
-        paths = [f"{base}/{d}" for d in domains if os.path.isdir(f"{base}/{d}")]
-    if not paths:
+    a missing folder, local or remote, yields no rows."""
+    folders = f"{root.rstrip('/')}/{{{','.join(domains)}}}"
+    try:
+        # wholetext must be text()'s argument: its default overrides .option()
+        df = (spark.read.option("pathGlobFilter", "*.{txt,md}")
+              .option("ignoreCorruptFiles", True).option("recursiveFileLookup", False)
+              .text(folders, wholetext=True))
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "domain string, source string, text string")
-    # wholetext must be text()'s argument: its default overrides .option()
-    df = (spark.read.option("pathGlobFilter", "*.{txt,md}")
-          .option("ignoreCorruptFiles", True).option("recursiveFileLookup", False)
-          .text(paths, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
-    parts = F.split(F.col("path"), "/")
-    return df.select(F.element_at(parts, -2).alias("domain"),
-                     F.regexp_replace("path", "^file:", "").alias("source"), "text")
+    return df.select(file_domain().alias("domain"), file_source().alias("source"), F.col("value").alias("text"))
+
+
+def file_source() -> Column:
+    """The path of a read file, decoded, without the scheme of local files."""
+    # a plus sign is not encoded in paths, but url_decode takes it for a space
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    return F.regexp_replace(path, "^file:(//)?", "")
+
+
+def file_domain() -> Column:
+    """The name of the folder that a read file lies in."""
+    return F.element_at(F.split(file_source(), "/"), -2)
+
+
+def document_id(domain="domain", source="source") -> Column:
+    """Id of a document that comes without one, the same in the build job and
+    in every re-index. 43 bits, so that chunk ids fit a long."""
+    return F.pmod(F.xxhash64(domain, source), F.lit(1 << 43))
+
+
+def with_doc_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with their own ``doc_id``, or ``document_id`` without one."""
+    return docs if "doc_id" in docs.columns else docs.withColumn("doc_id", document_id())
 
 
 def domain_list(spark: SparkSession, domains) -> DataFrame:
@@ -39,11 +58,16 @@ def domain_list(spark: SparkSession, domains) -> DataFrame:
 
 
 def with_placeholder(docs: DataFrame, domains: DataFrame) -> DataFrame:
-    """Domains without documents get one placeholder row."""
+    """Domains without documents get one placeholder row. Given document ids
+    are kept; a placeholder's id is negative then, so that it meets none."""
     missing = domains.join(docs.select("domain").distinct(), "domain", "left_anti")
     ph = missing.select("domain", F.lit("placeholder").alias("source"),
                         F.concat(F.lit("No documents loaded for "), F.col("domain"), F.lit(".")).alias("text"))
-    return docs.select("domain", "source", "text").unionByName(ph)
+    columns = ["domain", "source", "text"]
+    if "doc_id" in docs.columns:
+        columns.append("doc_id")
+        ph = ph.withColumn("doc_id", -1 - document_id())
+    return docs.select(*columns).unionByName(ph)
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunk import chunk_documents
-from ..sources.corpus import redact_documents, write_partitioned
+from ..sources.corpus import file_domain, read_corpus, redact_documents, with_doc_id, write_partitioned
 
 
 def audit_sink(audit: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -42,28 +42,23 @@ def reindex_stream(landing_root: str, chunks_path: str, checkpoint: str, trigger
     """Watch ``<landing_root>/<domain>/`` for new .txt/.md files; for every
     micro-batch re-chunk only the domains that received files (all of their
     documents, redacted) and overwrite those domain partitions of the chunk
-    table. Other domains are untouched (dynamic partition overwrite)."""
+    table. Other domains are untouched (dynamic partition overwrite). Document
+    ids are those of the build job; only the chunk table is rewritten, tables
+    derived from it are left to the next build."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
 
-    def domain_of(path_col):
-        return F.element_at(F.split(path_col, "/"), -2)
-
     def rebuild(batch: DataFrame, epoch_id: int) -> None:
         # the touched domain names (one per domain folder, a handful) pick
         # the folders to re-read
         touched = [r["domain"] for r in batch.select("domain").distinct().collect()]
         if not touched:
             return
-        docs = (batch.sparkSession.read.option("pathGlobFilter", "*.{txt,md}")
-                .text([f"{landing_root.rstrip('/')}/{d}" for d in touched], wholetext=True)
-                .select(domain_of(F.col("_metadata.file_path")).alias("domain"),
-                        F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
-                .withColumn("doc_id", F.abs(F.xxhash64("source")) % F.lit(1 << 40)))
-        write_partitioned(chunk_documents(redact_documents(docs)), chunks_path)
+        docs = read_corpus(batch.sparkSession, landing_root, touched)
+        write_partitioned(chunk_documents(with_doc_id(redact_documents(docs))), chunks_path)
 
     src = (spark.readStream.option("pathGlobFilter", "*.{txt,md}")
            .option("recursiveFileLookup", True).text(landing_root, wholetext=True)
-           .select(domain_of(F.col("_metadata.file_path")).alias("domain")))
+           .select(file_domain().alias("domain")))
     return (src.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
