@@ -14,7 +14,7 @@ filter are verified exactly. Whole sets are made for such documents only.
 * Copies with equal sets are one class; only its first member is compared.
 * A shingle in one document only makes no candidate and goes at once.
 * Groups of near copies are never expanded into all pairs. First every document
-  is compared with a hub of its groups; connected components of the links so
+  is compared with two hubs of its groups; connected components of the links so
   far are formed; a round with other hubs joins more components; at last every
   remaining pair of a group whose two sides are in different components is
   compared. Pairs inside a component cannot change the result, so it is exact.
@@ -174,11 +174,13 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``links``
     (a, b). Each round takes the smallest label among the neighbours and then
     that label's own label, so paths shrink by half and stars need two."""
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "id"), "labels")
+    # every id is its own neighbour too, so one join gives its old label as well
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]))
+    both = stored(links.select(ends.alias("e")).select("e.a", "e.b").distinct(), "links")
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "labels")
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        step = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
+                .agg(F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"), F.min("component").alias("new")))
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("far"))
         moved = stored(step.join(jump, "new", "left").select("id", "old", F.least("new", "far").alias("component")), "labels")
         labels = moved.select("id", "component")
@@ -227,7 +229,7 @@ def prefix_length_of(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100) + 1
 
 
-def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, class_id (first copy with an equal set) and
     component_id of every document. ``doc_id`` must be unique."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -258,19 +260,17 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
             mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
             rows = rows.join(mixed.select("token", "lo"), "token")
         if turn < rounds:
-            pairs = _hub_pairs(rows, turn, labels is not None)
+            pairs = _hub_pairs(rows, labels is not None)
         else:
             left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "component")]) for s in "ab")
             pairs = left.join(right, "token").filter("id_a < id_b and component_a <> component_b")
         pairs = pairs.filter(_may_meet(percent)).select(
             F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        near = stored(candidates(pairs, shared, percent), "candidates")
+        near = candidates(pairs, shared, percent)
+        near = stored(near if done is None else near.join(done, ["a", "b"], "left_anti"), "candidates")
+        done = near if done is None else done.unionByName(near)
         ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        ids = stored(ids if sets is None else ids.join(sets, "doc_id", "left_anti"), "ids")
+        ids = ids if sets is None else ids.join(sets, "doc_id", "left_anti")
         new = stored(_element_table(docs.join(ids, "doc_id", "left_semi"), k), "sets")
         sets = new if sets is None else sets.unionByName(new)
         labels = joined_components(labels, stored(verified(near, sets, percent), "verified"))
@@ -279,20 +279,29 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
 
 
-def _hub_pairs(rows: DataFrame, turn: int, labelled: bool) -> DataFrame:
-    """(id, n, pos of a and b): the hub of each token's group with the others,
-    or, once there are components, with one member of each other component."""
-    # at first few hubs; then another member of each component for every token,
-    # taken at random or, in every other round, of those that may share most
-    chance = F.xxhash64(F.lit(turn), *(["token"] if labelled else []), "id")
-    order = F.struct(*([F.col("pos").alias("first")] if labelled and turn % 2 == 0 else []), chance.alias("h"), "id", "n", "pos")
+def _hub_pairs(rows: DataFrame, labelled: bool) -> DataFrame:
+    """(id, n, pos of a and b): two hubs of each token's group with the others
+    or, once there are components, two members of the largest component with two
+    members of each other one. Of the two, one is taken by hash and one is that
+    which may share most."""
+    def order(*by):
+        return F.struct(*[c.alias(f"by{i}") for i, c in enumerate(by)], "id", "n", "pos")
+
+    # hubs of single documents by the id only: the same ones lead most groups
+    chance = F.xxhash64("token", "id") if labelled else F.xxhash64("id")
+    picks = [F.min(order(chance)).alias("x"), F.min(order(F.col("pos"), chance)).alias("y")]
+    if labelled:
+        rows = rows.groupBy("token", "component").agg(*picks, F.count("*").alias("many"))
+        hubs = rows.groupBy("token").agg(F.max(F.struct("many", "component", "x", "y")).alias("h")).select("token", "h.x", "h.y")
+    else:
+        hubs = rows.groupBy("token").agg(*picks)
+    sides = lambda df, s: df.select("token", F.explode(F.array(*[F.struct(F.lit(c).alias("pick"), *[F.col(f"{c}.{f}").alias(f"{f}_{s}") for f in ("id", "n", "pos")]) for c in "xy"])).alias("m")).select("token", "m.*")
     if labelled:
-        rows = rows.groupBy("token", "component").agg(F.min(order).alias("m"), F.count("*").alias("many")).select("token", "component", "many", "m.id", "m.n", "m.pos")
-        hubs = rows.groupBy("token").agg(F.max(F.struct("many", "component", "id", "n", "pos")).alias("m"))
+        pairs = sides(rows, "b").join(sides(hubs, "a"), ["token", "pick"])
     else:
-        hubs = rows.groupBy("token").agg(F.min(order).alias("m"))
-    side = lambda s, at="": [F.col(f"{at}{c}").alias(f"{c}_{s}") for c in ("id", "n", "pos")]
-    return rows.select("token", *side("b")).join(hubs.select("token", *side("a", "m.")), "token").filter("id_a <> id_b")
+        others = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos")])
+        pairs = others.join(sides(hubs, "a"), "token")
+    return pairs.filter("id_a <> id_b")
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
