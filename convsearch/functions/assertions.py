@@ -29,7 +29,8 @@ SUSPICIOUS_PATTERNS = (
     r"\b[3-9]\d\s*%\s*(fee|penalty|discount)\b",
 )
 META_RE = r"<!--CXMETA:(.+?)-->"
-META_STRIP_RE = r"\n*<!--CXMETA:.+?-->"
+# up to the end of the first block; later blocks are part of the answer
+META_STRIP_RE = r"^([\s\S]*?)\n*<!--CXMETA:.+?-->"
 
 
 def _c(c) -> Column:
@@ -49,7 +50,7 @@ def parse_meta(output) -> Column:
 
 def clean_output(output) -> Column:
     o = F.coalesce(_c(output), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(o, META_STRIP_RE, ""), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(o, META_STRIP_RE, "$1"), r"(?U)^\s+|\s+$", "")
 
 
 def has_source(meta) -> Column:

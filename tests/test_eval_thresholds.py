@@ -1,5 +1,6 @@
 """Each case's own thresholds hold, and a missing match value fails."""
 
+from convsearch.functions import assertions as A
 from convsearch.operators import evalsuite
 
 
@@ -15,3 +16,8 @@ def test_case_thresholds_and_null_match(spark):
     assert not got[1, "confidence"]["pass"] and got[1, "confidence"].reason.endswith("< 0.9")
     assert got[2, "confidence"].reason.endswith("0.6") and "8000ms" in got[2, "latency"].reason and "100ms" in got[1, "latency"].reason
     assert not [r for r in rows if r.case_id == 2][-1]["pass"]
+
+
+def test_only_the_first_metadata_block_is_stripped(spark):
+    df = spark.createDataFrame([("a\n\n<!--CXMETA:{}-->\nb\n<!--CXMETA:x-->",), ("plain ",), (None,)], "o string")
+    assert [r[0] for r in df.select(A.clean_output("o")).collect()] == ["a\nb\n<!--CXMETA:x-->", "plain", ""]
