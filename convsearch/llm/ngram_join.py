@@ -170,23 +170,39 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``links``
-    (a, b). Each round takes the smallest label among the neighbours and then
-    that label's own label, so paths shrink by half and stars need two."""
-    # every id is its own neighbour too, so one join gives its old label as well
-    ends = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]))
-    both = stored(links.select(ends.alias("e")).select("e.a", "e.b").distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "labels")
+    (a, b). In each round every node is hooked to its smallest neighbour, the
+    trees that result are flattened by doubling, and the links between trees
+    become the graph of the next round, until none is left. A tree that takes in
+    no other one in a round meets a smaller one in the next, so two rounds halve
+    the trees at least. Raises if ``max_rounds`` do not suffice."""
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba")]))
+    both, trees = stored(links.select(ends.alias("e")).select("e.a", "e.b"), "links"), []
+    while not trees or both.limit(1).count():
+        if len(trees) == max_rounds:
+            raise RuntimeError(f"components: links between trees are left after {max_rounds} rounds")
+        trees.append(_flat(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")), max_rounds))
+        top = lambda side: trees[-1].select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        both = stored(both.join(top("a"), "a").join(top("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+    labels = trees.pop()
+    while trees:
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        labels = stored(trees.pop().join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+    return labels
+
+
+def _flat(hooks: DataFrame, max_rounds: int) -> DataFrame:
+    """``hooks`` (id, component: its parent, a root's own id) with the root of
+    each node as its component; the depth halves in every step."""
+    tree = stored(hooks, "labels")
     for _ in range(max_rounds):
-        step = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"))
-                .agg(F.min(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"), F.min("component").alias("new")))
-        jump = labels.select(F.col("id").alias("new"), F.col("component").alias("far"))
-        moved = stored(step.join(jump, "new", "left").select("id", "old", F.least("new", "far").alias("component")), "labels")
-        labels = moved.select("id", "component")
+        up = tree.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        moved = stored(tree.join(up, "component").select("id", F.col("component").alias("old"), F.col("far").alias("component")), "labels")
+        tree = moved.select("id", "component")
         if moved.filter("old <> component").limit(1).count() == 0:
-            break
-    return labels
+            return tree
+    raise RuntimeError(f"components: trees are not flat after {max_rounds} steps")
 
 
 def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -119,6 +119,27 @@ def test_ngram_join_equals_brute_force(spark, edge, empty, texts):
     assert ngram_join.similar_components(empty).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(7)
+    ids = rng.permutation(400)
+    zigzag = [0, *range(99, 0, -1)]
+    chains = [ids.tolist(), [1000 + i for i in zigzag], [2000 + i for i in range(100)]]
+    links = [(int(a), int(b)) for c in chains for a, b in zip(c, c[1:])]
+    got = {r.id: r.component for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {int(i): min(c) for c in chains for i in c}
+    with pytest.raises(RuntimeError):
+        ngram_join.components(spark.createDataFrame(links, "a long, b long"), max_rounds=1)
+
+
+def test_ngram_join_of_drifting_copies(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(150 + 3 * 300)]
+    order = rng.permutation(300).tolist()
+    rows = [(order[k], " ".join(words[3 * k:3 * k + 150])) for k in range(300)]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 300 and {r.component_id for r in got} == {0}
+
+
 def test_quality(spark, edge, empty):
     out = {r.doc_id: r for r in quality.assess(edge).collect()}
     assert out[1].n_words == 0 and out[1].base_failed and not out[1].kept
