@@ -11,7 +11,8 @@ filter are verified exactly. Whole sets are made for such documents only.
   documents with a lossy count), then goes by hash; the further orders go by
   other hashes. Which shingles count as heavy changes the cost, never the
   result.
-* Copies with equal sets are one class; only its first member is compared.
+* Copies with equal sets (by 128-bit fingerprint) are one class, whatever their
+  doc_id; only classes are compared, under 64 bits of the fingerprint as their id.
 * A shingle in one document only makes no candidate and goes at once.
 * Groups of near copies are never expanded into all pairs. First every document
   is compared with two hubs of its groups; connected components of the links so
@@ -25,7 +26,10 @@ lower-casing A-Z. Shingles are compared by 64-bit hash.
 Defined cases: null, empty or blank text has an empty set, links with nothing
 and is its own component; fewer words than a shingle make one shingle of the
 whole sequence; equal texts share a component; of ties the smallest doc_id
-names the component; extra columns are ignored; an empty table gives no rows."""
+names the component; extra columns are ignored; an empty table gives no rows.
+Every row is a document: rows with a null or a repeated doc_id are compared by
+their own text and each gives a row; nulls name a component (or class) only if
+all of its doc_ids are null, and its id is null then."""
 
 from __future__ import annotations
 
@@ -71,9 +75,15 @@ def prefix_length(n, percent: int = PERCENT):
 
 
 def _sets(batches, k):
-    """(doc_id, set) of each row of the batches, batch by batch."""
+    """The set of the text (first column) of each row, batch by batch."""
     for batch in batches:
-        yield [(d, shingle_set(t.as_py(), k)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1))]
+        yield [shingle_set(t.as_py(), k) for t in batch.column(0)]
+
+
+def class_id(fp: bytes, salt: int) -> int:
+    """The 64-bit id of a class of equal sets, by its fingerprint."""
+    low, high = int.from_bytes(fp[:8], "little"), int.from_bytes(fp[8:], "little")
+    return ((low ^ high << salt & 0xFFFFFFFFFFFFFFFF if salt else low) ^ 1 << 63) - (1 << 63)
 
 
 def _table(schema: list[tuple[str, object]], *cols):
@@ -82,36 +92,39 @@ def _table(schema: list[tuple[str, object]], *cols):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, schema)], names=[n for n, _ in schema])
 
 
-def profile(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """Rows of two kinds: a document's set size and 128-bit fingerprint, or
-    (doc_id null) a shingle frequent in a batch with its count there."""
+def profile(docs: DataFrame, k: int = WORDS, salt: int = 0) -> DataFrame:
+    """Rows of two kinds: a document's id, hash of the text, set size, 128-bit
+    fingerprint and class, or (shingle not null) a shingle frequent in a batch
+    with its count there."""
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        schema = [("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("shingle", pa.int64())]
-        for sets in _sets(batches, k):
-            ids, n = [d for d, _ in sets], [len(s) for _, s in sets]
-            fp = [xxh3_128_digest(s.tobytes()) if len(s) else None for _, s in sets]
-            seen, count = np.unique(np.concatenate([s for _, s in sets] or [np.empty(0, np.uint64)]), return_counts=True)
+        schema = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("id", pa.int64()), ("shingle", pa.int64())]
+        for batch in batches:
+            sets = next(_sets([batch], k))
+            n = [len(s) for s in sets]
+            fp = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            ids = [None if f is None else class_id(f, salt) for f in fp]
+            seen, count = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
             often = count >= max(4, int(len(sets) * HEAVY_SHARE))
-            heavy = seen[often].view(np.int64)
-            yield _table(schema, ids + [None] * len(heavy), n + count[often].tolist(), fp + [None] * len(heavy), [None] * len(ids) + heavy.tolist())
+            heavy, own = seen[often].view(np.int64).tolist(), [None] * int(often.sum())
+            yield _table(schema, batch.column(1).to_pylist() + own, batch.column(2).to_pylist() + own, n + count[often].tolist(), fp + own, ids + own, [None] * len(sets) + heavy)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, fp binary, shingle long")
+    return docs.select("text", "doc_id", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n long, fp binary, id long, shingle long")
 
 
-def first_prefixes(docs: DataFrame, heavy: np.ndarray, level: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(token, doc_id, n, pos): the prefix of each document under the first order.
+def first_prefixes(docs: DataFrame, heavy: np.ndarray, level: np.ndarray, k: int, percent: int, salt: int = 0) -> DataFrame:
+    """(token, id, n, pos): the prefix of each class under the first order.
     Of copies within a task only the first is given."""
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
-        schema, seen = [("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())], set()
+        schema, seen = [("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())], set()
         for sets in _sets(batches, k):
             tokens, ids, sizes, places = [], [], [], []
-            for doc, s in sets:
+            for s in sets:
                 if not len(s) or (fp := xxh3_128_digest(s.tobytes())) in seen:
                     continue
                 seen.add(fp)
@@ -120,13 +133,13 @@ def first_prefixes(docs: DataFrame, heavy: np.ndarray, level: np.ndarray, k: int
                     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                     s = s[np.argsort(np.where(heavy[at] == s, level[at], 0), kind="stable")]
                 tokens.append(s[:p])
-                ids.append(np.full(p, doc))
+                ids.append(np.full(p, class_id(fp, salt)))
                 sizes.append(np.full(p, n))
                 places.append(np.arange(p))
             if tokens:
                 yield _table(schema, np.concatenate(tokens).view(np.int64), np.concatenate(ids), np.concatenate(sizes), np.concatenate(places))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "token long, doc_id long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, id long, n int, pos int")
 
 
 def _may_meet(percent: int) -> Column:
@@ -166,7 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         keep.append(i)
             yield _table(schema, a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64())))
 
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("elements").alias(f"s{side}"))
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("elements").alias(f"s{side}"))
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -219,15 +232,23 @@ def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(known.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
 
 
-def _element_table(docs: DataFrame, k: int) -> DataFrame:
+def _element_table(docs: DataFrame, classes: DataFrame, k: int, salt: int = 0) -> DataFrame:
+    """(id, elements): the set of each of ``classes`` (text_hash and doc_id of a
+    member)."""
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh3_128_digest
 
-        schema = [("doc_id", pa.int64()), ("elements", pa.binary())]
+        schema, seen = [("id", pa.int64()), ("elements", pa.binary())], set()
         for sets in _sets(batches, k):
-            yield _table(schema, [d for d, _ in sets], [s.tobytes() for _, s in sets])
+            new = {i: s.tobytes() for s in sets if len(s) and (i := class_id(xxh3_128_digest(s.tobytes()), salt)) not in seen}
+            seen.update(new)
+            yield _table(schema, list(new), list(new.values()))
 
-    return docs.mapInArrow(run, "doc_id long, elements binary")
+    # copies of one text, from several tasks, give the same bytes
+    here = (docs["text_hash"] == classes["text_hash"]) & docs["doc_id"].eqNullSafe(classes["doc_id"])
+    sets = docs.join(classes, here, "left_semi").select("text").mapInArrow(run, "id long, elements binary")
+    return sets.groupBy("id").agg(F.first("elements").alias("elements"))
 
 
 def candidates(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
@@ -245,26 +266,42 @@ def prefix_length_of(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100) + 1
 
 
+def _hashed(docs: DataFrame, *extra: str) -> DataFrame:
+    """doc_id, text and a hash of the text, which tells the rows of equal or
+    null doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), *extra)
+
+
 def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, class_id (first copy with an equal set) and
-    component_id of every document. ``doc_id`` must be unique."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prof = stored(profile(docs, k), "profile")
-    own = prof.filter("doc_id is not null").select("doc_id", "n", "fp")
-    first = own.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
-    classes = stored(own.join(first, "fp", "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
-
-    often = (prof.filter("doc_id is null").groupBy("shingle").agg(F.sum("n").alias("n"))
+    component_id of every row."""
+    return _similar_rows(docs, k, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+def _similar_rows(docs: DataFrame, k: int, percent: int, rounds: int = 2) -> DataFrame:
+    """doc_id, text_hash, n, component (null for an empty set), component_id and
+    class_id of every row. ``component`` is unique, the two ids are doc_ids."""
+    docs = _hashed(docs)
+    for salt in range(64):
+        prof = stored(profile(docs, k, salt), "profile")
+        own = prof.filter("shingle is null").select("doc_id", "text_hash", "n", "fp", "id")
+        classes = stored(own.filter("fp is not null").groupBy("id").agg(
+            F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min(F.struct("text_hash", "doc_id")).alias("member"), F.min("doc_id").alias("class_id")), "classes")
+        if not classes.filter("fp <> other").limit(1).count():
+            break
+    else:
+        raise RuntimeError("different sets share their 64-bit ids")
+
+    often = (prof.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
              .orderBy(F.desc("n"), "shingle").limit(HEAVY).toPandas())
     heavy = often["shingle"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(heavy)
     level = np.frexp(often["n"].to_numpy(np.float64))[1].astype(np.int64)[at]
-    raw = first_prefixes(docs, heavy[at], level, k, percent).filter("token is not null and doc_id is not null").repartition("token")
+    raw = first_prefixes(docs, heavy[at], level, k, percent, salt).filter("token is not null and id is not null").repartition("token")
     # same columns and filters in both branches, so that they share the exchange
-    shared = raw.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("most")).filter("lo <> hi and most > 0").select("token")
-    postings = (raw.join(shared, "token").join(classes.select("doc_id", "class_id"), "doc_id")
-                .select("token", F.col("class_id").alias("id"), "n", "pos").distinct())
-    postings = stored(postings, "postings")
+    shared = raw.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("most")).filter("lo <> hi and most > 0").select("token")
+    postings = stored(raw.join(shared, "token").select("token", "id", "n", "pos").distinct(), "postings")
 
     shared = stored(postings.groupBy("id").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens")), "shared")
 
@@ -285,14 +322,17 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
         near = candidates(pairs, shared, percent)
         near = stored(near if done is None else near.join(done, ["a", "b"], "left_anti"), "candidates")
         done = near if done is None else done.unionByName(near)
-        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        ids = ids if sets is None else ids.join(sets, "doc_id", "left_anti")
-        new = stored(_element_table(docs.join(ids, "doc_id", "left_semi"), k), "sets")
+        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = ids if sets is None else ids.join(sets, "id", "left_anti")
+        wanted = stored(classes.join(ids, "id", "left_semi").select("member.text_hash", "member.doc_id"), "wanted")
+        new = stored(_element_table(docs, wanted, k, salt), "sets")
         sets = new if sets is None else sets.unionByName(new)
         labels = joined_components(labels, stored(verified(near, sets, percent), "verified"))
 
-    out = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    top = classes.join(labels, "id", "left").select("id", "class_id", F.coalesce("component", "id").alias("component"))
+    names = top.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    return own.join(top.join(names, "component"), "id", "left").select(
+        "doc_id", "text_hash", "n", "component", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _hub_pairs(rows: DataFrame, labelled: bool) -> DataFrame:
@@ -321,6 +361,20 @@ def _hub_pairs(rows: DataFrame, labelled: bool) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the first document of every component only."""
-    first = checkpoint(similar_components(docs, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")))
-    return docs.join(first, docs["doc_id"] == first["_id"], "left_semi")
+    """``docs`` with one row of every component only: that of the smallest
+    doc_id (nulls last), then of the smallest hash of the text; of rows equal in
+    both, the first by their other columns. Rows with an empty set all stay."""
+    rows = _similar_rows(docs, k, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = (rows.filter("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("many"))
+            .groupBy("component").agg(F.min(F.struct(place.alias("place"), "many")).alias("best")).select("component", "best.place.*", "best.many"))
+    best = checkpoint(best.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "many")
+                      .unionByName(rows.filter("component is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(1).cast("long").alias("many")).distinct()))
+    here = (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    single = docs.join(best.filter("many = 1"), here, "left_semi")
+    repeats = best.filter("many > 1")
+    if not repeats.limit(1).count():
+        return single
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(repeats, here).groupBy("_id", "_hash").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return single.unionByName(again.select("row.*"))

@@ -140,6 +140,21 @@ def test_ngram_join_of_drifting_copies(spark):
     assert len(got) == 300 and {r.component_id for r in got} == {0}
 
 
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c, d = " ".join(words), " ".join(words[1:]), " ".join(words[::-1]), " ".join(words[::2])
+    rows = [(None, a, 1), (3, b, 1), (3, b, 1), (3, b, 0), (None, c, 1), (None, c, 1), (7, d, 1), (7, c.upper(), 1), (None, None, 1), (8, " ", 1), (8, " ", 1), (9, d + " end", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs).collect()), key=str)
+    assert got == sorted([(None, 56, 3), *[(3, 55, 3)] * 3, (None, 56, 7), (None, 56, 7), (7, 26, 7), (7, 56, 7), (None, 0, None), (8, 0, 8), (8, 0, 8), (9, 27, 7)], key=str)
+    kept = sorted(map(tuple, ngram_join.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(3, b, 0), (7, c.upper(), 1), (7, d, 1), (None, None, 1), (8, " ", 1), (8, " ", 1)], key=str)
+    alone = ngram_join.one_of_each(docs.filter("doc_id is null")).collect()
+    assert sorted((r.text or "") for r in alone) == sorted([a, c, ""])
+    fp = bytes(range(248, 256)) + bytes(range(8))
+    assert ngram_join.class_id(fp, 0) == int.from_bytes(fp[:8], "little", signed=True) != ngram_join.class_id(fp, 1)
+
+
 def test_quality(spark, edge, empty):
     out = {r.doc_id: r for r in quality.assess(edge).collect()}
     assert out[1].n_words == 0 and out[1].base_failed and not out[1].kept
