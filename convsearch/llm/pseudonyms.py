@@ -34,7 +34,7 @@ from .common import let
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # fixed values: the shapes looked for, in order of precedence
 SHAPES = {
-    "secret": r"(?:(?<![A-Za-z])(?:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}+[\"']?|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))",
+    "secret": r"(?:(?<![A-Za-z])(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}+[\"']?|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]([/.])[0-3]?[0-9]\1[12][0-9]{3})(?![0-9])",
@@ -212,7 +212,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """``docs`` with the personal values of the text replaced; ``count_col``
     names an extra column for the number of replaced values."""
     text = F.col(text_col)
-    found = F.when(F.regexp_like(text, F.lit("[0-9@=]")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    # every shape holds one of these
+    found = F.when(F.regexp_like(text, F.lit("[0-9@=:]|AKIA")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
     whole = let(found, lambda old: F.when(F.size(old) > 0, let(F.split(text, ANY, -1), lambda between: _woven(between, old, key))))
     out = docs.withColumn("_new", whole)

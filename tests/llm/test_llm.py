@@ -76,6 +76,15 @@ def test_pseudonyms(spark, edge, empty):
     assert pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
+def test_secrets_in_any_case(spark):
+    lines = ['TOKEN = "9233A8EC41"', "Password: hunter2hunter2", "API_KEY=abcdEFGH1234", "password: correcthorse", "AKIA" + "ABCDEFGHIJKLMNOP", "tokens: correcthorse"]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(x,) for x in lines], "text string").coalesce(1), "k", count_col="m").collect()
+    assert [r.m for r in rows] == [1, 1, 1, 1, 1, 0] and rows[5].text == lines[5]
+    mask = lambda x: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+    assert all(r.text != x and mask(r.text) == mask(x) for r, x in zip(rows[:5], lines))
+    assert [r.text.split(x[-8:])[0][:5] for r, x in zip(rows, lines)][:4] == [x[:5] for x in lines[:4]]
+
+
 def test_sharding_table(spark, edge):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 251)
