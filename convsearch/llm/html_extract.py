@@ -11,7 +11,8 @@ The classifier is fitted on at most ``sample`` pages (the smallest hashes of
 their id). Its labels come from the pages that say so themselves: blocks within
 ``article`` or ``main`` against those in navigation, headers, footers, asides,
 forms and containers named as such; it sees the text and its surroundings, not
-those containers. Where a page does say so, a fixed cost is added.
+those containers. Where a page does say so, a bounded cost is added, less than
+the classifier's greatest, so that clear text evidence and ties outweigh it.
 
 Never content: scripts, styles, other raw elements, comments and the head.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .toxicity import Linear, fit_linear
 
-SAMPLE, SAID, TIE = 2000, 12.0, 1.0
+SAMPLE, SAID, TIE = 2000, 6.0, 1.0
 # fixed values: element names of HTML
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,11 +64,12 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. ``said`` is 1 in an article, -1 in furniture
-    (the nearest container that says so counts, but furniture stays furniture),
-    0 elsewhere."""
+    """The page's blocks in order. ``said`` is 1 in an article, -1 in furniture,
+    0 elsewhere. Furniture elements stay furniture for all descendants; in a form
+    or a container of a furniture class, an article or main that is not named so
+    itself counts as an article again."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # name, number, said
+    stack: list[tuple[str, int, int]] = []  # name, number, said (-2: furniture for good)
     parts, linked, serial, at, size = [], 0, 0, 0, len(page)
 
     def flush():
@@ -76,7 +78,7 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 outer = [s for s in stack if s[0] not in INLINE]
-                out.append(Block(tuple(s[1] for s in outer), outer[-1][0] if outer else "", stack[-1][2] if stack else 0, text, min(linked, len(text))))
+                out.append(Block(tuple(s[1] for s in outer), outer[-1][0] if outer else "", max(stack[-1][2], -1) if stack else 0, text, min(linked, len(text))))
             parts, linked = [], 0
 
     def close(upto: int):
@@ -130,14 +132,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] not in INLINE:
                     break
         said = stack[-1][2] if stack else 0
-        if said >= 0:
-            named = {w for v in _NAMED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(v).lower())} if m[3] else ()
-            if name in FURNITURE and not (name == "header" and said > 0):
-                said = -1
-            elif name not in CONTENT and name not in ("body", "html") and not NAMES.isdisjoint(named):
-                said = -1
+        if said > -2:
+            named = bool(m[3]) and any(not NAMES.isdisjoint("".join(v).lower().split()) for v in _NAMED.findall(m[3]))
+            if name in FURNITURE and name != "form" and not (name == "header" and said > 0):
+                said = -2
             elif name in CONTENT:
-                said = 1
+                said = said if said < 0 and named else 1
+            elif name == "form" or named and name not in ("body", "html"):
+                said = -1
         serial += 1
         stack.append((name, serial, said))
     flush()

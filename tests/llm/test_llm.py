@@ -218,6 +218,18 @@ def test_main_text(spark):
     assert [html_extract.main_text(x, model) for x in (None, "", "<", "<a \"")] == ["", "", html_extract.main_text("<", model), html_extract.main_text("<a \"", model)]
 
 
+def test_container_hints_are_bounded():
+    said = lambda page: [b.said for b in html_extract.blocks(page)]
+    text = "<p>A long paragraph, with words.</p>"
+    for wrapper in ("<form id=aspnetForm>", "<div class='widget'>", "<div id=banner>"):
+        assert said(f"{wrapper}{text}<main>{text}</main>") == [-1, 1]
+    assert said(f"<div class='page no-sidebar'>{text}</div><div id='has-banner'>{text}</div>") == [0, 0]
+    assert said(f"<nav><article>{text}</article></nav><div class=comments><article class=comment>{text}</article></div>") == [-1, -1]
+    sure = lambda bias: html_extract.Linear(np.zeros(10, np.float32), bias)
+    assert html_extract.main_text(f"<div class=widget>{text}</div>", sure(20.0)) and not html_extract.main_text(f"<div class=widget>{text}</div>", sure(2.0))
+    assert not html_extract.main_text(f"<article>{text}</article>", sure(-20.0)) and html_extract.main_text(f"<article>{text}</article>", sure(-2.0))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 32)).round(3)
