@@ -35,13 +35,15 @@ def attach_chunks(hits: DataFrame, chunks: DataFrame, cols=("source", "content")
 def hybrid_fuse(vec_hits: DataFrame, lex_hits: DataFrame, chunks: DataFrame,
                 vector_weight: float = C.VECTOR_WEIGHT, bm25_weight: float = C.BM25_WEIGHT) -> DataFrame:
     """-> (query_id, domain, fp, chunk_id, fused, first_list, first_rank).
-    ``chunk_id`` is the first-seen hit of the fingerprint (vector list first)."""
+    ``chunk_id`` is the first-seen hit of the fingerprint (vector list first).
+    ``chunks`` have a fingerprint (fp) or their content."""
     v = min_max_normalize(vec_hits).select(*GROUP, "chunk_id", "rank", "norm",
                                            F.lit(0).alias("list_no"), F.lit(vector_weight).alias("w"))
     b = min_max_normalize(lex_hits).select(*GROUP, "chunk_id", "rank", "norm",
                                            F.lit(1).alias("list_no"), F.lit(bm25_weight).alias("w"))
     # only the 100-character fingerprint travels to the join, never the text
-    fps = chunks.select("domain", "chunk_id", fingerprint("content", 100).alias("fp"))
+    fp = F.col("fp") if "fp" in chunks.columns else fingerprint("content", 100)
+    fps = chunks.select("domain", "chunk_id", fp.alias("fp"))
     both = attach_chunks(v.unionByName(b), fps, ("fp",))
     first = F.min(F.struct("list_no", "rank", "chunk_id"))
     return (both.groupBy(*GROUP, "fp")

@@ -25,6 +25,21 @@ from ..functions.text import tokenize
 from ..spark import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 
 
+def impact(tf, dl, idf, avgdl, k1: float = C.BM25_K1, b: float = C.BM25_B):
+    """The weight of a term that occurs ``tf`` times among ``dl`` tokens."""
+    return idf * (tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / avgdl)))
+
+
+def idf_table(df: DataFrame, corpus: DataFrame, epsilon: float = C.BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
+    """(domain, term, df) and (domain, n, ...) -> (domain, term, df, idf) and
+    (domain, avg_idf). A negative idf becomes a share of the domain's mean."""
+    df = df.join(corpus.select("domain", "n"), "domain")
+    df = df.withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    avg_idf = df.groupBy("domain").agg(F.avg("idf0").alias("avg_idf"))
+    idf = F.when(F.col("idf0") < 0, F.lit(epsilon) * F.col("avg_idf")).otherwise(F.col("idf0"))
+    return df.join(avg_idf, "domain").select("domain", "term", "df", F.round(idf, 12).alias("idf")), avg_idf
+
+
 @dataclass
 class LexicalIndex:
     tokens: DataFrame        # (domain, chunk_id, toks)
@@ -34,8 +49,7 @@ class LexicalIndex:
     b: float = C.BM25_B
 
     def weight(self, tf, dl, idf, avgdl):
-        k1, b = self.k1, self.b
-        return idf * (tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / avgdl)))
+        return impact(tf, dl, idf, avgdl, self.k1, self.b)
 
     @property
     def impacts(self) -> DataFrame:
@@ -64,14 +78,8 @@ def build_index(chunks: DataFrame, text_col: str = "content", k1: float = C.BM25
     # size(toks) > 0 filter and push the tokeniser below the rebalance
     df = (toks.select("domain", F.explode_outer(F.array_distinct("toks")).alias("term"))
           .filter(F.col("term").isNotNull()).groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")))
-    df = df.join(F.broadcast(corpus.select("domain", "n")), "domain")
-    df = df.withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    avg_idf = df.groupBy("domain").agg(F.avg("idf0").alias("avg_idf"))
-    term_stats = (df.join(F.broadcast(avg_idf), "domain")
-                  .select("domain", "term", "df",
-                          F.round(F.when(F.col("idf0") < 0, F.lit(epsilon) * F.col("avg_idf"))
-                                  .otherwise(F.col("idf0")), 12).alias("idf")))
-    corpus_stats = corpus.join(F.broadcast(avg_idf), "domain")
+    term_stats, avg_idf = idf_table(df, corpus, epsilon)
+    corpus_stats = corpus.join(avg_idf, "domain")
     return LexicalIndex(toks, term_stats, corpus_stats, k1, b)
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..operators import lexical
+from ..operators import lexical, maxscore
+from ..sources.lexstore import LexicalStore, input_version
+from ..spark import ensure_checkpoint_dir
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +55,28 @@ def q_bm25_corpus_stats(spark, sf):
                                   r6(F.col("avg_idf")).alias("avg_idf"))
 
 
+def _store(spark, sf):
+    """The persisted index of the documents as they are now: built on first use
+    in the cluster's shared folder, for the domains that the queries ask for."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexical-{input_version(spark, f'{sf}/documents.parquet')}"
+    store = LexicalStore(spark, root)
+    asked = [r.domain for r in V.query_v(spark, sf).select("domain").distinct().collect()]
+    store.ensure(asked, lambda names: V.corpus_v(spark, sf).filter(F.col("domain").isin(names)))
+    return store
+
+
 @register
 def q_bm25_topk(spark, sf):
-    ix = _lex_index(spark, sf)
-    hits = lexical.bm25_topk(V.query_v(spark, sf), ix, k=5)
+    hits = maxscore.bm25_topk(V.query_v(spark, sf), _store(spark, sf), k=5)
     return hits.select("query_id", "domain", "rank", "chunk_id", r6(F.col("score")).alias("score"))
 
 
+@register
+def q_bm25_scores(spark, sf):
+    s = lexical.bm25_scores(V.query_v(spark, sf), _lex_index(spark, sf))
+    return s.select("query_id", "domain", "chunk_id", r6(F.col("score")).alias("score"))
+
+
 # ---------------------------------------------------------------- vector / hybrid
 from ..operators import hybrid, vector  # noqa: E402
 
@@ -69,7 +86,7 @@ def _vec_hits(spark, sf, k=5):
 
 
 def _lex_hits(spark, sf, k=5):
-    return lexical.bm25_topk(V.query_v(spark, sf), _lex_index(spark, sf), k=k)
+    return maxscore.bm25_topk(V.query_v(spark, sf), _store(spark, sf), k=k)
 
 
 @register
@@ -90,14 +107,14 @@ def q_score_normalize(spark, sf):
 
 @register
 def q_hybrid_fuse(spark, sf):
-    f = hybrid.hybrid_fuse(_vec_hits(spark, sf), _lex_hits(spark, sf), V.corpus_v(spark, sf))
+    f = hybrid.hybrid_fuse(_vec_hits(spark, sf), _lex_hits(spark, sf), _store(spark, sf).table("chunks"))
     return f.select("query_id", "domain", "chunk_id", r6(F.col("fused")).alias("fused"),
                     F.col("first_list").cast("bigint").alias("first_list"), "first_rank")
 
 
 @register
 def q_hybrid_topk(spark, sf):
-    t = hybrid.hybrid_topk(_vec_hits(spark, sf), _lex_hits(spark, sf), V.corpus_v(spark, sf))
+    t = hybrid.hybrid_topk(_vec_hits(spark, sf), _lex_hits(spark, sf), _store(spark, sf).table("chunks"))
     return t.select("query_id", "domain", "rank", "chunk_id", r6(F.col("fused")).alias("fused"),
                     r6(F.col("score")).alias("score"))
 
@@ -310,7 +327,7 @@ def q_parse_rating(spark, sf):
 
 
 def _hybrid_hits(spark, sf):
-    return hybrid.hybrid_topk(_vec_hits(spark, sf), _lex_hits(spark, sf), V.corpus_v(spark, sf))
+    return hybrid.hybrid_topk(_vec_hits(spark, sf), _lex_hits(spark, sf), _store(spark, sf).table("chunks"))
 
 
 @register

@@ -53,6 +53,9 @@ FROM cstats c JOIN avgidf a USING (domain)"""
 ORACLE["bm25_topk"] = f"""WITH {BM25_TOPK_CTES}
 SELECT query_id, domain, CAST(rank AS BIGINT) AS rank, chunk_id, round(score, 6) AS score FROM bm25_hits"""
 
+ORACLE["bm25_scores"] = f"""WITH {BM25_TOPK_CTES}
+SELECT query_id, domain, chunk_id, round(score, 6) AS score FROM bm25_scores"""
+
 VEC_CTES = f"""
 qvecs AS ({QUERY_VEC_V}),
 vectors AS ({VEC_V}),
