@@ -14,7 +14,7 @@ META_SCHEMA = T.StructType([
     T.StructField("agent", T.StringType()),
     T.StructField("sources", T.ArrayType(T.StringType())),
     T.StructField("confidence", T.DoubleType()),
-    T.StructField("latency_ms", T.LongType()),
+    T.StructField("latency_ms", T.DoubleType()),
 ])
 
 # --- fixed values: fabricated-fact check ---
@@ -38,7 +38,7 @@ def _c(c) -> Column:
 
 
 def result(name: str, passed, score, reason) -> Column:
-    return F.struct(F.lit(name).alias("assertion"), passed.alias("pass"),
+    return F.struct((name if isinstance(name, Column) else F.lit(name)).alias("assertion"), passed.alias("pass"),
                     score.cast("double").alias("score"), reason.alias("reason"))
 
 
@@ -78,11 +78,18 @@ def _limit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def number_text(x) -> Column:
+    """A number as text: whole ones without a fraction, others by their
+    shortest digits (0.6, 9000.5)."""
+    x = _c(x).cast("double")
+    return F.when(x == F.floor(x), x.cast("decimal(20,0)").cast("string")).otherwise(x.cast("string"))
+
+
 def confidence_at_least(meta, threshold=C.EVAL_MIN_CONFIDENCE) -> Column:
     """``threshold`` is a number or a column (a case's own threshold)."""
     conf, least = F.coalesce(_c(meta)["confidence"], F.lit(0.0)), _limit(threshold).cast("double")
     ok = conf >= least
-    txt, label = F.format_string("%.3f", conf), least.cast("string")
+    txt, label = F.format_string("%.3f", conf), number_text(least)
     return result("confidence", ok, conf,
                   F.when(ok, F.concat(F.lit("Confidence "), txt, F.lit(" ≥ "), label))
                   .otherwise(F.concat(F.lit("Low confidence: "), txt, F.lit(" < "), label)))
@@ -90,12 +97,12 @@ def confidence_at_least(meta, threshold=C.EVAL_MIN_CONFIDENCE) -> Column:
 
 def latency_at_most(meta, max_ms=C.EVAL_MAX_LATENCY_MS) -> Column:
     """``max_ms`` is a number or a column (a case's own limit)."""
-    lat, most = F.coalesce(_c(meta)["latency_ms"], F.lit(0).cast("bigint")), _limit(max_ms).cast("bigint")
-    ok, label = lat <= most, F.concat(most.cast("string"), F.lit("ms"))
+    lat, most = F.coalesce(_c(meta)["latency_ms"], F.lit(0.0)), _limit(max_ms).cast("double")
+    ok, label = lat <= most, F.concat(number_text(most), F.lit("ms"))
     return result("latency", ok,
-                  F.when(ok, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (lat - most) / most.cast("double"))),
-                  F.when(ok, F.concat(F.lit("Latency "), lat.cast("string"), F.lit("ms ≤ "), label))
-                  .otherwise(F.concat(F.lit("Slow: "), lat.cast("string"), F.lit("ms > "), label)))
+                  F.when(ok, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(lat - most, most))),
+                  F.when(ok, F.concat(F.lit("Latency "), number_text(lat), F.lit("ms ≤ "), label))
+                  .otherwise(F.concat(F.lit("Slow: "), number_text(lat), F.lit("ms > "), label)))
 
 
 def no_fabricated_facts(output) -> Column:

@@ -28,3 +28,8 @@ def score(df: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame
     out = df.withColumn("llm_score", llm)
     out = out.withColumn("confidence", fused_confidence("router_confidence", "retrieval_score", "llm_score"))
     return out.withColumn("low_confidence", F.col("confidence") < threshold)
+
+
+def low_confidence(audit: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """Records to review: confidence below the threshold (no confidence is 0)."""
+    return audit.filter(F.coalesce("final_confidence", F.lit(0.0)) < threshold)

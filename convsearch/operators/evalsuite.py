@@ -22,10 +22,14 @@ def exact_mean_3dp(c: str):
                   f"div (count({c}) * 1000)) / CAST(1000 AS DOUBLE) END")
 
 
-def assertion_rows(cases: DataFrame, outputs: DataFrame) -> DataFrame:
+def assertion_rows(cases: DataFrame, outputs: DataFrame, extra=()) -> DataFrame:
     """cases(case_id, description, expected_agent, match_type, match_value,
     custom_check, min_confidence, max_latency_ms) x outputs(case_id, output)
-    -> (case_id, ord, assertion, pass, score, reason)."""
+    -> (case_id, ord, assertion, pass, score, reason).
+
+    ``extra`` are a user's own assertions: functions of the columns ``output``
+    and ``meta`` that return ``assertions.result`` (null: not for this case);
+    they may refer to all columns of the cases and come after the others."""
     j = cases.join(outputs, "case_id", "left").withColumn("meta", A.parse_meta("output"))
     own = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in cases.columns else F.lit(default)
     defaults = [A.has_source("meta"), A.latency_at_most("meta", own("max_latency_ms", C.EVAL_MAX_LATENCY_MS)),
@@ -38,14 +42,16 @@ def assertion_rows(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     specific_std[1] = F.when(F.col("match_type").isNotNull(), specific_std[1])
     arr = F.when(F.col("custom_check").isNotNull(), F.array(*defaults, *specific_custom)).otherwise(
         F.array(*defaults, *specific_std))
+    if extra:
+        arr = F.concat(arr, F.array(*[own(F.col("output"), F.col("meta")) for own in extra]))
     arr = F.filter(arr, lambda x: x.isNotNull())
     e = j.select("case_id", F.posexplode(arr).alias("ord", "a"))
     return e.select("case_id", (F.col("ord") + 1).cast("bigint").alias("ord"), "a.assertion",
                     F.coalesce(F.col("a.pass"), F.lit(False)).alias("pass"), "a.score", "a.reason")
 
 
-def case_results(cases: DataFrame, outputs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    rows = rows if rows is not None else assertion_rows(cases, outputs)
+def case_results(cases: DataFrame, outputs: DataFrame, rows: DataFrame | None = None, extra=()) -> DataFrame:
+    rows = rows if rows is not None else assertion_rows(cases, outputs, extra)
     passed = rows.groupBy("case_id").agg(F.min(F.col("pass").cast("int")).alias("_p"))
     meta = outputs.select("case_id", A.parse_meta("output").alias("meta"))
     return (cases.select("case_id", "description", "expected_agent").join(passed, "case_id", "left")
@@ -54,12 +60,12 @@ def case_results(cases: DataFrame, outputs: DataFrame, rows: DataFrame | None =
                     F.col("meta.latency_ms").alias("latency_ms"), F.col("meta.confidence").alias("confidence")))
 
 
-def summary(cases: DataFrame, outputs: DataFrame, compat: bool = False) -> DataFrame:
+def summary(cases: DataFrame, outputs: DataFrame, compat: bool = False, extra=()) -> DataFrame:
     """One row: total_tests, passed, accuracy, routing_total/correct/accuracy,
     hallucination_total/count/rate, avg/p95 latency, avg confidence.
     Default classification is by assertion type; ``compat`` classifies by
     the substrings of the reasons as the original report script does."""
-    rows = assertion_rows(cases, outputs)
+    rows = assertion_rows(cases, outputs, extra)
     res = case_results(cases, outputs, rows)
     if compat:
         routing = (F.col("reason").contains("Correctly routed") | F.col("reason").contains("Wrong agent")
@@ -101,9 +107,9 @@ def _attach_counts(one_row: DataFrame, counts: DataFrame) -> DataFrame:
     return one_row
 
 
-def failures(cases: DataFrame, outputs: DataFrame) -> DataFrame:
+def failures(cases: DataFrame, outputs: DataFrame, extra=()) -> DataFrame:
     """Failed cases with their failing reasons in assertion order."""
-    rows = assertion_rows(cases, outputs).filter(~F.col("pass"))
+    rows = assertion_rows(cases, outputs, extra).filter(~F.col("pass"))
     r = (rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ord", "reason"))).alias("_r"))
          .select("case_id", F.transform("_r", lambda x: x["reason"]).alias("reasons")))
     return cases.select("case_id", "description").join(r, "case_id")

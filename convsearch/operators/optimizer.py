@@ -79,3 +79,15 @@ def variant_winner(scores: DataFrame) -> DataFrame:
                                             F.count(F.lit(1)).alias("samples"))
     w = Window.orderBy(F.col("score").desc(), F.col("ord").asc())
     return m.withColumn("best", F.row_number().over(w) == 1)
+
+
+def optimizer_report(scores: DataFrame) -> DataFrame:
+    """The report as one row: scores (variant -> mean), best_variant,
+    best_prompt and samples_tested. Without a sample there is no row."""
+    m = variant_winner(scores)
+    prompts = F.create_map(*[x for name, text in PROMPT_VARIANTS for x in (F.lit(name), F.lit(text))])
+    best = F.max_by("variant", F.col("best"))
+    return (m.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", "score")))).alias("scores"), best.alias("best_variant"),
+                  F.max("samples").alias("samples_tested"))
+            .filter("best_variant is not null")
+            .select("scores", "best_variant", F.element_at(prompts, F.col("best_variant")).alias("best_prompt"), "samples_tested"))

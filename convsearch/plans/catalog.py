@@ -285,6 +285,7 @@ def q_audit_records(spark, sf):
 # ---------------------------------------------------------------- parsers / confidence
 from ..functions import domains as DOM  # noqa: E402
 from ..functions import parse as P  # noqa: E402
+from ..functions import vectors as VF  # noqa: E402
 from ..operators import confidence as CONF  # noqa: E402
 
 
@@ -349,6 +350,20 @@ def q_confidence(spark, sf):
                       "llm_score", "confidence", "low_confidence")
 
 
+@register
+def q_low_confidence_queue(spark, sf):
+    return CONF.low_confidence(_audit(spark, sf)).select("audit_id", "timestamp", "routed_to", "final_confidence")
+
+
+@register
+def q_vector_cosine(spark, sf):
+    # each embedding against its lookup vector, both scaled to length 1
+    e = V.cache_v(spark, sf).select(F.col("entry_id").alias("vec_id"), F.col("vec").alias("a"))
+    both = e.join(V.lookup_v(spark, sf).select(F.col("lookup_id").alias("vec_id"), F.col("vec").alias("b")), "vec_id")
+    both = VF.normalize_column(both, "a")
+    return both.select("vec_id", r6(VF.dot("a", "b")).alias("cosine"), r6(VF.l2_similarity("a", "b")).alias("similarity"))
+
+
 @register
 def q_present_answers(spark, sf):
     a = _audit(spark, sf)
@@ -526,6 +541,12 @@ def q_variant_winner(spark, sf):
     return w.select(F.col("ord").cast("bigint").alias("ord"), "variant", "score", "samples", "best")
 
 
+@register
+def q_optimizer_report(spark, sf):
+    s = OPT.variant_scores(OPT.variant_prompts(_opt_inputs(spark, sf)), V.completions_v(spark, sf))
+    return OPT.optimizer_report(s)
+
+
 @register
 def q_validate_requests(spark, sf):
     v = ingest.validate_requests(V.requests_v(spark, sf))

@@ -488,24 +488,25 @@ j AS (SELECT *,
    CASE WHEN json_valid(m) THEN json_extract_string(m, '$.agent') END AS agent,
    CASE WHEN json_valid(m) THEN CAST(json_extract(m, '$.sources') AS VARCHAR[]) END AS sources,
    CASE WHEN json_valid(m) THEN TRY_CAST(json_extract_string(m, '$.confidence') AS DOUBLE) END AS conf,
-   CASE WHEN json_valid(m) THEN TRY_CAST(json_extract_string(m, '$.latency_ms') AS BIGINT) END AS lat,
+   CASE WHEN json_valid(m) THEN TRY_CAST(json_extract_string(m, '$.latency_ms') AS DOUBLE) END AS lat,
    {strip_sql("regexp_replace(coalesce(output, ''), '\\n*<!--CXMETA:.+?-->', '')")} AS clean FROM j0),
 jf AS (SELECT *, lower(clean) AS lt FROM j),
 jk AS (SELECT *, len(list_filter([{_known}], lambda k: contains(lt, k))) > 0 AS known,
    regexp_extract(lt, '{SUSPICIOUS_PATTERNS[0]}', 0) AS f1, regexp_extract(lt, '{SUSPICIOUS_PATTERNS[1]}', 0) AS f2 FROM jf),
 jx AS (SELECT *, list_filter([CASE WHEN f1 <> '' AND NOT known THEN f1 END, CASE WHEN f2 <> '' AND NOT known THEN f2 END],
-   lambda x: x IS NOT NULL) AS flags, coalesce(conf, 0.0::DOUBLE) AS c0, coalesce(lat, 0) AS l0,
+   lambda x: x IS NOT NULL) AS flags, coalesce(conf, 0.0::DOUBLE) AS c0, coalesce(lat, 0.0::DOUBLE) AS l0,
+   coalesce(max_latency_ms, 8000.0::DOUBLE) AS lm, coalesce(min_confidence, 0.60::DOUBLE) AS cm,
    coalesce(sources, []::VARCHAR[]) AS s0 FROM jk),
 arows AS (
  SELECT case_id, 1 AS ord, 'has_source' AS assertion, len(s0) > 0 AS pass, CASE WHEN len(s0) > 0 THEN 1.0 ELSE 0.0 END AS score,
    CASE WHEN len(s0) > 0 THEN 'Cited ' || CAST(len(s0) AS VARCHAR) || ' source(s): ' || array_to_string(s0, ', ')
         ELSE 'No source documents cited — potential hallucination' END AS reason FROM jx
  UNION ALL
- SELECT case_id, 2, 'latency', l0 <= 8000, CASE WHEN l0 <= 8000 THEN 1.0 ELSE greatest(0.0, 1 - (l0 - 8000) / 8000.0::DOUBLE) END,
-   CASE WHEN l0 <= 8000 THEN 'Latency ' || CAST(l0 AS VARCHAR) || 'ms ≤ 8000ms' ELSE 'Slow: ' || CAST(l0 AS VARCHAR) || 'ms > 8000ms' END FROM jx
+ SELECT case_id, 2, 'latency', l0 <= lm, CASE WHEN l0 <= lm THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - (l0 - lm) / lm) END,
+   CASE WHEN l0 <= lm THEN 'Latency ' || (CASE WHEN l0 = floor(l0) THEN CAST(CAST(l0 AS BIGINT) AS VARCHAR) ELSE CAST(l0 AS VARCHAR) END) || 'ms ≤ ' || (CASE WHEN lm = floor(lm) THEN CAST(CAST(lm AS BIGINT) AS VARCHAR) ELSE CAST(lm AS VARCHAR) END) || 'ms' ELSE 'Slow: ' || (CASE WHEN l0 = floor(l0) THEN CAST(CAST(l0 AS BIGINT) AS VARCHAR) ELSE CAST(l0 AS VARCHAR) END) || 'ms > ' || (CASE WHEN lm = floor(lm) THEN CAST(CAST(lm AS BIGINT) AS VARCHAR) ELSE CAST(lm AS VARCHAR) END) || 'ms' END FROM jx
  UNION ALL
- SELECT case_id, 3, 'confidence', c0 >= 0.60::DOUBLE, c0,
-   CASE WHEN c0 >= 0.60::DOUBLE THEN 'Confidence ' || printf('%.3f', c0) || ' ≥ 0.6' ELSE 'Low confidence: ' || printf('%.3f', c0) || ' < 0.6' END FROM jx
+ SELECT case_id, 3, 'confidence', c0 >= cm, c0,
+   CASE WHEN c0 >= cm THEN 'Confidence ' || printf('%.3f', c0) || ' ≥ ' || (CASE WHEN cm = floor(cm) THEN CAST(CAST(cm AS BIGINT) AS VARCHAR) ELSE CAST(cm AS VARCHAR) END) ELSE 'Low confidence: ' || printf('%.3f', c0) || ' < ' || (CASE WHEN cm = floor(cm) THEN CAST(CAST(cm AS BIGINT) AS VARCHAR) ELSE CAST(cm AS VARCHAR) END) END FROM jx
  UNION ALL
  SELECT case_id, 4, 'no_fabricated_facts', len(flags) = 0, CASE WHEN len(flags) = 0 THEN 1.0 ELSE 0.0 END,
    CASE WHEN len(flags) = 0 THEN 'No fabricated facts detected' ELSE 'Possible fabricated facts: "' || array_to_string(flags, '", "') || '"' END FROM jx
@@ -570,13 +571,22 @@ SELECT total_tests, passed, round(passed / total_tests * 100, 1) AS accuracy_pct
   CASE WHEN routing_total > 0 THEN round(routing_correct / routing_total * 100, 1) END AS routing_accuracy_pct,
   CAST(hallucination_total AS BIGINT) AS hallucination_total, CAST(hallucinations AS BIGINT) AS hallucinations,
   CASE WHEN hallucination_total > 0 THEN round(hallucinations / hallucination_total * 100, 1) END AS hallucination_rate_pct,
-  avg_latency_ms, CAST(p95 AS BIGINT) AS p95_latency_ms, avg_confidence
+  avg_latency_ms, p95 AS p95_latency_ms, avg_confidence
 FROM tt, rt, p"""
 
 ORACLE["eval_failures"] = f"""WITH {EVAL_CTES}
 SELECT c.case_id, c.description, list(a.reason ORDER BY a.ord) AS reasons
 FROM cases c JOIN arows a USING (case_id) WHERE NOT a.pass GROUP BY c.case_id, c.description"""
 
+from .sqlviews import CACHE_V as _CACHE_V, LOOKUP_V as _LOOKUP_V, dot as _dot, sum_list as _sum_list  # noqa: E402
+
+ORACLE["low_confidence_queue"] = f"""SELECT audit_id, "timestamp", routed_to, final_confidence FROM ({AUDIT_V}) WHERE coalesce(final_confidence, 0) < 0.65::DOUBLE"""
+
+ORACLE["vector_cosine"] = f"""WITH j AS (SELECT e.entry_id AS vec_id, list_transform(e.vec, lambda x: CAST(x AS DOUBLE)) AS a0, l.vec AS b FROM ({_CACHE_V}) e JOIN ({_LOOKUP_V}) l ON l.lookup_id = e.entry_id),
+n AS (SELECT *, sqrt({_sum_list('list_transform(a0, lambda x: x * x)')}) AS nrm FROM j),
+s AS (SELECT vec_id, b, CASE WHEN nrm = 0 THEN a0 ELSE list_transform(a0, lambda x: x / nrm) END AS a FROM n)
+SELECT vec_id, round({_dot('a', 'b')}, 6) AS cosine, round(1.0::DOUBLE / (1.0::DOUBLE + {sq_l2('a', 'b')}), 6) AS similarity FROM s"""
+
 # ---------------------------------------------------------------- optimizer / validation
 from ..operators.optimizer import PROMPT_VARIANTS  # noqa: E402
 from .sqlviews import COMPLETIONS_V, REQUESTS_V, UPLOADS_V  # noqa: E402
@@ -608,6 +618,12 @@ ORACLE["variant_winner"] = f"""WITH {OPT_CTES},
 m AS (SELECT ord, variant, round(avg(score), 4) AS score, count(*) AS samples FROM scores GROUP BY ord, variant)
 SELECT CAST(ord AS BIGINT) AS ord, variant, score, samples, row_number() OVER (ORDER BY score DESC, ord) = 1 AS best FROM m"""
 
+ORACLE["optimizer_report"] = f"""WITH {OPT_CTES},
+m AS (SELECT ord, variant, round(avg(score), 4) AS score, count(*) AS samples FROM scores GROUP BY ord, variant),
+b AS (SELECT variant FROM m ORDER BY score DESC, ord LIMIT 1)
+SELECT (SELECT map_from_entries(list((variant, score) ORDER BY variant)) FROM m) AS scores, b.variant AS best_variant,
+  v.system_prompt AS best_prompt, (SELECT max(samples) FROM m) AS samples_tested FROM b JOIN variants v USING (variant)"""
+
 ORACLE["validate_requests"] = f"""WITH r AS ({REQUESTS_V}),
 v AS (SELECT request_id, CASE WHEN session_id IS NULL THEN 'session_id_missing'
    WHEN length(session_id) < 1 THEN 'session_id_too_short' WHEN length(session_id) > 128 THEN 'session_id_too_long'

@@ -105,7 +105,9 @@ EVAL_CASES_V = """SELECT item_id AS case_id, 'case ' || CAST(item_id AS VARCHAR)
   CASE WHEN item_id % 11 <> 0 THEN ['billing', 'returns', 'escalation'][item_id % 3 + 1] END AS expected_agent,
   CASE WHEN item_id % 11 <> 0 THEN (CASE WHEN item_id % 2 = 0 THEN 'contains' ELSE 'icontains' END) END AS match_type,
   CASE WHEN item_id % 11 <> 0 THEN (CASE WHEN item_id % 2 = 0 THEN string_split(text, ' ')[3] ELSE upper(string_split(text, ' ')[3]) END) END AS match_value,
-  CASE WHEN item_id % 11 = 0 THEN ['has_sources', 'ood_handled', 'min_length_20'][(item_id // 11) % 3 + 1] END AS custom_check
+  CASE WHEN item_id % 11 = 0 THEN ['has_sources', 'ood_handled', 'min_length_20'][(item_id // 11) % 3 + 1] END AS custom_check,
+  CASE item_id % 5 WHEN 1 THEN 0.25::DOUBLE WHEN 2 THEN 0.9::DOUBLE END AS min_confidence,
+  CASE item_id % 7 WHEN 1 THEN 300.5::DOUBLE WHEN 2 THEN 100.0::DOUBLE END AS max_latency_ms
 FROM benchmark"""
 
 EVAL_OUTPUTS_V = """SELECT b.item_id AS case_id,
@@ -114,7 +116,7 @@ EVAL_OUTPUTS_V = """SELECT b.item_id AS case_id,
   || chr(10) || '<!--CXMETA:{"agent": "' || ['billing', 'returns', 'escalation'][least(b.item_id % 4, 2) + 1]
   || '", "sources": ' || (CASE WHEN b.item_id % 6 = 0 THEN '[]' ELSE '["documents/' || ['billing', 'returns', 'escalation'][least(b.item_id % 4, 2) + 1] || '/policy.txt"]' END)
   || ', "confidence": 0.' || lpad(CAST((b.item_id * 7919) % 1000 AS VARCHAR), 3, '0')
-  || ', "latency_ms": ' || CAST(CAST(floor(e.value * 10) * 3 AS BIGINT) AS VARCHAR) || '}-->' AS output
+  || ', "latency_ms": ' || CAST(CAST(floor(e.value * 10) * 3 AS BIGINT) AS VARCHAR) || (CASE WHEN b.item_id % 4 = 3 THEN '.5' ELSE '' END) || '}-->' AS output
 FROM benchmark b LEFT JOIN events e ON e.event_id = b.item_id"""
 
 COMPLETIONS_V = f"""WITH a AS (SELECT audit_id, redacted_query, CAST(audit_id AS BIGINT) AS k FROM ({AUDIT_V}))

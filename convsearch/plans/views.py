@@ -176,7 +176,8 @@ def model_out_v(spark: SparkSession, sf: str) -> DataFrame:
 def eval_cases_v(spark: SparkSession, sf: str) -> DataFrame:
     """One eval case per benchmark item: expected agent by item_id % 3; every
     11th item is an edge case with a custom check instead; substring match on
-    the item's third word (case-insensitive for odd items)."""
+    the item's third word (case-insensitive for odd items). Two of five cases
+    have a confidence floor of their own, two of seven a latency limit."""
     b = table(spark, sf, "benchmark")
     i = F.col("item_id")
     agents = F.array(F.lit("billing"), F.lit("returns"), F.lit("escalation"))
@@ -190,12 +191,13 @@ def eval_cases_v(spark: SparkSession, sf: str) -> DataFrame:
         F.when(~edge, F.when(i % 2 == 0, word).otherwise(F.upper(word))).alias("match_value"),
         F.when(edge, F.element_at(F.array(F.lit("has_sources"), F.lit("ood_handled"), F.lit("min_length_20")),
                                   (F.floor(i / 11) % 3 + 1).cast("int"))).alias("custom_check"),
-        F.lit(0.60).alias("min_confidence"), F.lit(8000).cast("bigint").alias("max_latency_ms"))
+        F.when(i % 5 == 1, F.lit(0.25)).when(i % 5 == 2, F.lit(0.9)).alias("min_confidence"),
+        F.when(i % 7 == 1, F.lit(300.5)).when(i % 7 == 2, F.lit(100.0)).alias("max_latency_ms"))
 
 
 def eval_outputs_v(spark: SparkSession, sf: str) -> DataFrame:
     """Model outputs with embedded metadata: agent by item_id % 4 (3 -> escalation),
-    confidence and latency from the matching event, no sources for every 6th
+    confidence and latency (with half milliseconds for every 4th) from the matching event, no sources for every 6th
     item, invented '90 days' for every 5th (with a known '30 days' for every 10th)."""
     b = table(spark, sf, "benchmark")
     ev = table(spark, sf, "events").select(F.col("event_id").alias("item_id"), "value")
@@ -203,7 +205,7 @@ def eval_outputs_v(spark: SparkSession, sf: str) -> DataFrame:
     agents = F.array(F.lit("billing"), F.lit("returns"), F.lit("escalation"))
     actual = F.element_at(agents, (F.least(i % 4, F.lit(2)) + 1).cast("int"))
     conf = F.concat(F.lit("0."), F.lpad(((i * 7919) % 1000).cast("string"), 3, "0"))
-    lat = (F.floor(F.col("value") * 10) * 3).cast("bigint").cast("string")
+    lat = F.concat((F.floor(F.col("value") * 10) * 3).cast("bigint").cast("string"), F.when(i % 4 == 3, F.lit(".5")).otherwise(F.lit("")))
     srcs = F.when(i % 6 == 0, F.lit("[]")).otherwise(
         F.concat(F.lit('["documents/'), actual, F.lit('/policy.txt"]')))
     meta = F.concat(F.lit('{"agent": "'), actual, F.lit('", "sources": '), srcs, F.lit(', "confidence": '), conf,

@@ -18,14 +18,14 @@ RESULTS_SCHEMA = T.StructType([T.StructField("results", T.StructType([T.StructFi
             T.StructField("pass", T.BooleanType()),
             T.StructField("componentResults", T.ArrayType(COMPONENT))])),
         T.StructField("response", T.StructType([T.StructField("metadata", T.StructType([
-            T.StructField("latency_ms", T.LongType()), T.StructField("confidence", T.DoubleType())]))])),
+            T.StructField("latency_ms", T.DoubleType()), T.StructField("confidence", T.DoubleType())]))])),
     ])))]))])
 
 CASES_SCHEMA = T.StructType([
     T.StructField("case_id", T.LongType()), T.StructField("category", T.StringType()),
     T.StructField("description", T.StringType()), T.StructField("query", T.StringType()),
     T.StructField("expected_agent", T.StringType()), T.StructField("min_confidence", T.DoubleType()),
-    T.StructField("max_latency_ms", T.LongType()), T.StructField("match_type", T.StringType()),
+    T.StructField("max_latency_ms", T.DoubleType()), T.StructField("match_type", T.StringType()),
     T.StructField("match_value", T.StringType()), T.StructField("custom_check", T.StringType()),
 ])
 
@@ -34,7 +34,7 @@ def read_eval_cases(spark: SparkSession, path: str, fmt: str = "json") -> DataFr
     """Cases with the suite's default variables filled in."""
     df = spark.read.schema(CASES_SCHEMA).format(fmt).load(path)
     return (df.withColumn("min_confidence", F.coalesce("min_confidence", F.lit(C.EVAL_MIN_CONFIDENCE)))
-            .withColumn("max_latency_ms", F.coalesce("max_latency_ms", F.lit(C.EVAL_MAX_LATENCY_MS).cast("bigint"))))
+            .withColumn("max_latency_ms", F.coalesce("max_latency_ms", F.lit(C.EVAL_MAX_LATENCY_MS).cast("double"))))
 
 
 def read_eval_results(spark: SparkSession, path: str) -> DataFrame:
