@@ -20,8 +20,9 @@ Other documents are encoded by the library at once. Both give the library's
 ids.
 
 Defined cases: null and empty texts have no ids; characters without a piece are
-spelled in bytes; equal texts have equal ids; a null doc_id is kept in small
-documents; an empty table gives no rows; extra columns are ignored."""
+spelled in bytes; equal texts have equal ids; every row is a document of its
+own, whatever its doc_id (null and repeated ones included), told apart by the
+number ``row``; an empty table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -32,14 +33,16 @@ from .common import stored
 
 GIANT, CHUNK, BLOCK = 32_768, 4096, 64
 MARK = "▁"
-ENCODED = "doc_id long, chunk long, first long, ids array<int>"
+ENCODED = "doc_id long, row long, chunk long, first long, ids array<int>"
+#: Rows that a worker turns into Python objects at once.
+ROWS = 32
 _LOADED: dict = {}
 
 
 class Pieces:
     """A model with what the scan needs: matches, neighbours, words."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 100_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -144,6 +147,7 @@ class Pieces:
             begin = self.paths(text, lo + state[0], state[1], hi)
         for (here, last), path in begin.items():
             got = self.trace(text, path)
+            n = len(got)
             while here < hi and self.starts(text, here):
                 after = here + 1
                 while after < hi and not self.starts(text, after):
@@ -151,14 +155,17 @@ class Pieces:
                 if not self.starts(text, after):
                     break
                 # lib words need their mark; a text may start without one
-                got = got + (self.word(text[here:after]) if text[here] == MARK else self._only(text, here, after))
+                more = self.word(text[here:after]) if text[here] == MARK else self._only(text, here, after)
+                n += len(more)
+                if ids:
+                    got.extend(more)
                 here, last = after, -1
             if here >= hi:
-                out[here - hi, last] = got if ids else len(got)
+                out[here - hi, last] = got if ids else n
                 continue
             for (end, piece), rest in self.paths(text, here, -1, hi).items():
-                whole = got + self.trace(text, rest)
-                out[end - hi, piece] = whole if ids else len(whole)
+                more = self.trace(text, rest)
+                out[end - hi, piece] = got + more if ids else n + len(more)
         return out
 
     def _only(self, text: str, here: int, after: int) -> list[int]:
@@ -201,48 +208,58 @@ def _flat(matrix: dict) -> list[tuple[int, int, int]]:
     return [(i, j, -int(n)) for i, row in matrix.items() for j, n in row.items()]
 
 
+def _few(batches):
+    """The rows of ``batches``, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_small(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for piece in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
-                ids = pieces_of(model).sp.encode([t or "" for t in piece.column(1).to_pylist()], num_threads=1)
-                zero = pa.array([0] * len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), zero, zero, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "chunk", "first", "ids"])
+        for part in _few(batches):
+            ids = pieces_of(model).sp.encode([t or "" for t in part.column(2).to_pylist()], num_threads=1)
+            zero = pa.array([0] * len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), zero, zero, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row", "chunk", "first", "ids"])
 
     return docs.mapInArrow(run, ENCODED)
 
 
 def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """Encode by the scan, whatever the lengths. ``doc_id`` must be unique."""
+    """Encode (doc_id, row, text) by the scan, whatever the lengths. ``row``
+    must be unique."""
     def cut(batches):
         import pyarrow as pa
 
         edge = pieces_of(model).longest + 1
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = MARK + text.as_py().replace(" ", MARK)
-                rows = [(doc, k, max(0, lo - edge), lo, min(len(text), lo + chunk), len(text), text[max(0, lo - edge):lo + chunk + edge])
-                        for k, lo in enumerate(range(0, len(text), chunk))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "chunk", "base", "lo", "hi", "size", "text"])
+                cuts = range(0, len(text), chunk)
+                for some in (cuts[a:a + ROWS] for a in range(0, len(cuts), ROWS)):
+                    rows = [(doc, row, lo // chunk, max(0, lo - edge), lo, min(len(text), lo + chunk), len(text), text[max(0, lo - edge):lo + chunk + edge]) for lo in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 7, pa.string()])],
+                                                     names=["doc_id", "row", "chunk", "base", "lo", "hi", "size", "text"])
 
     def matrices(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            out, p = [], pieces_of(model)
-            for r in batch.to_pylist():
+        p, kind = pieces_of(model), pa.list_(pa.struct([("i", pa.int64()), ("o", pa.int64()), ("n", pa.int64())]))
+        for part in _few(batches):
+            out = []
+            for r in part.to_pylist():
                 lo, hi = r["lo"] - r["base"], r["hi"] - r["base"]
-                rows = [(_code(s), _code(e), n) for s in p.entering(r["text"], lo) for e, n in p.through(r["text"], lo, hi, s, False).items()]
-                out.append((r["doc_id"], r["chunk"], [{"i": i, "o": o, "n": n} for i, o, n in rows]))
-            yield pa.RecordBatch.from_pylist([{"doc_id": d, "chunk": k, "m": m} for d, k, m in out], pa.schema(
-                [("doc_id", pa.int64()), ("chunk", pa.int64()), ("m", pa.list_(pa.struct([("i", pa.int64()), ("o", pa.int64()), ("n", pa.int64())])))]))
+                out.append([{"i": _code(s), "o": _code(e), "n": n} for s in p.entering(r["text"], lo) for e, n in p.through(r["text"], lo, hi, s, False).items()])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("chunk"), pa.array(out, kind)], names=["row", "chunk", "m"])
 
     entries = "array<struct<i:long,o:long,n:long>>"
-    chunks = stored(docs.mapInArrow(cut, "doc_id long, chunk long, base long, lo long, hi long, size long, text string")
-                    .repartition("doc_id", "chunk"), "chunks")
-    found = stored(chunks.mapInArrow(matrices, f"doc_id long, chunk long, m {entries}").withColumn("block", F.floor(F.col("chunk") / block)), "matrices")
+    # a given count: the rows are small but costly, and would be merged into few tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = stored(docs.select("doc_id", "row", "text").mapInArrow(cut, "doc_id long, row long, chunk long, base long, lo long, hi long, size long, text string")
+                    .repartition(tasks, "row", "chunk"), "chunks")
+    found = stored(chunks.mapInArrow(matrices, f"row long, chunk long, m {entries}").withColumn("block", F.floor(F.col("chunk") / block)), "matrices")
 
     def multiply(pdf):
         import pandas as pd
@@ -252,7 +269,7 @@ def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, block: int = B
         for m in pdf["m"]:
             one = _dense((e["i"], e["o"], e["n"]) for e in m)
             total = one if total is None else product(total, one)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "m": [[{"i": i, "o": o, "n": n} for i, o, n in _flat(total)]]})
+        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "block": [pdf["block"].iloc[0]], "m": [[{"i": i, "o": o, "n": n} for i, o, n in _flat(total)]]})
 
     def sweep(pdf, at: str):
         """States and pieces before each row, given those before the first."""
@@ -272,76 +289,76 @@ def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, block: int = B
             goal = goal_in
         ways.reverse()
         base = int(pdf["before"].iloc[0])
-        return pd.DataFrame({"doc_id": pdf["doc_id"], at: pdf[at], "enter": [w[0] for w in ways], "leave": [w[1] for w in ways], "before": [base + int(w[2]) for w in ways]})
+        return pd.DataFrame({"row": pdf["row"], at: pdf[at], "enter": [w[0] for w in ways], "leave": [w[1] for w in ways], "before": [base + int(w[2]) for w in ways]})
 
-    blocks = found.groupBy("doc_id", "block").applyInPandas(multiply, f"doc_id long, block long, m {entries}")
+    blocks = found.repartition(tasks, "row", "block").groupBy("row", "block").applyInPandas(multiply, f"row long, block long, m {entries}")
     whole = F.lit(_code((0, -1))).cast("long")
     # a document's blocks are few: one for every chunk * block characters
     spans = (blocks.select("*", whole.alias("enter"), whole.alias("leave"), F.lit(0).cast("long").alias("before"))
-             .groupBy("doc_id").applyInPandas(lambda pdf: sweep(pdf, "block"), "doc_id long, block long, enter long, leave long, before long"))
-    ways = (found.join(spans, ["doc_id", "block"]).groupBy("doc_id", "block")
-            .applyInPandas(lambda pdf: sweep(pdf, "chunk"), "doc_id long, chunk long, enter long, leave long, before long"))
+             .groupBy("row").applyInPandas(lambda pdf: sweep(pdf, "block"), "row long, block long, enter long, leave long, before long"))
+    ways = (found.join(spans, ["row", "block"]).repartition(tasks, "row", "block").groupBy("row", "block")
+            .applyInPandas(lambda pdf: sweep(pdf, "chunk"), "row long, chunk long, enter long, leave long, before long"))
 
     def back(batches):
         import pyarrow as pa
 
         p = pieces_of(model)
-        for batch in batches:
-            rows = batch.to_pylist()
-            ids = [p.through(r["text"], r["lo"] - r["base"], r["hi"] - r["base"], _state(r["enter"]), True)[_state(r["leave"])] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk"), batch.column("before"), pa.array(ids, pa.list_(pa.int32()))],
-                                             names=["doc_id", "chunk", "first", "ids"])
+        for part in _few(batches):
+            ids = [p.through(r["text"], r["lo"] - r["base"], r["hi"] - r["base"], _state(r["enter"]), True)[_state(r["leave"])] for r in part.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row", "chunk", "before")), pa.array(ids, pa.list_(pa.int32()))],
+                                             names=["doc_id", "row", "chunk", "first", "ids"])
 
-    return chunks.join(ways, ["doc_id", "chunk"]).mapInArrow(back, ENCODED)
+    return chunks.join(ways, ["row", "chunk"]).repartition(tasks, "row", "chunk").mapInArrow(back, ENCODED)
 
 
 def encode(docs: DataFrame, model: str, giant: int = GIANT) -> DataFrame:
-    """doc_id, chunk, first (pieces before the chunk) and ids of all documents:
-    one row for each chunk of a giant one, one for any other."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    long = F.coalesce(F.length("text") > giant, F.lit(False)) & F.col("doc_id").isNotNull()
+    """doc_id, row, chunk, first (pieces before the chunk) and ids of all rows:
+    one for each chunk of a giant document, one for any other."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    long = F.coalesce(F.length("text") > giant, F.lit(False))
     return encode_small(docs.filter(~long), model).unionByName(encode_giant(docs.filter(long), model))
 
 
+def _text(sp, chunk: int, ids: list[int]) -> str:
+    # the library drops the first mark: give other chunks one more
+    return sp.decode(ids) if chunk == 0 else sp.decode([sp.piece_to_id(MARK), *ids])
+
+
 def decode_chunks(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, chunk and text of each row of ids, row by row: ids of a chunk
-    are whole characters. The mark put before a document is taken off."""
+    """doc_id, row, chunk and text of each row of ids: ids of a chunk are whole
+    characters. The mark put before a document is taken off."""
     def run(batches):
         import pyarrow as pa
 
         sp = pieces_of(model).sp
-        for batch in batches:
-            out = []
-            for k, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                # the library drops the first mark: give other chunks one more
-                out.append(sp.decode(ids) if k == 0 else sp.decode([sp.piece_to_id(MARK), *ids]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["doc_id", "chunk", "text"])
+        for part in _few(batches):
+            out = [_text(sp, k, ids) for k, ids in zip(part.column(2).to_pylist(), part.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(out, pa.string())], names=["doc_id", "row", "chunk", "text"])
 
-    return encoded.select("doc_id", "chunk", "first", "ids").mapInArrow(run, "doc_id long, chunk long, text string")
+    return encoded.select("doc_id", "row", "chunk", "first", "ids").mapInArrow(run, "doc_id long, row long, chunk long, text string")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and text of every document."""
-    parts = decode_chunks(encoded, model).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
+    parts = decode_chunks(encoded, model).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("chunk", "text"))).alias("parts"))
     return parts.select("doc_id", F.array_join(F.col("parts")["text"], "").alias("text"))
 
 
 def digest(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sum (of (place + 1) * (id + 1), modulo 2^61 - 1)
-    and n_chars of the decoded text."""
+    and n_chars of the decoded text of every document."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         sp = pieces_of(model).sp
-        for batch in batches:
+        for part in _few(batches):
             rows = []
-            for doc, k, first, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                x = np.array(ids, np.int64) + 1
-                text = sp.decode(ids) if k == 0 else sp.decode([sp.piece_to_id(MARK), *ids])
-                rows.append((doc, len(ids), int(((np.arange(len(x)) + 1) * x).sum() + first * x.sum()), len(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 4, names=["doc_id", "n", "s", "c"])
-
-    parts = encoded.select("doc_id", "chunk", "first", "ids").mapInArrow(run, "doc_id long, n long, s long, c long")
-    return parts.groupBy("doc_id").agg(
-        F.sum("n").alias("n_tokens"), (F.sum(F.col("s").cast("decimal(38,0)")) % F.lit((1 << 61) - 1)).cast("long").alias("ids_sum"), F.sum("c").alias("n_chars"))
+            for k, first, ids in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4)):
+                x = ids.values.to_numpy().astype(np.int64)
+                rows.append((len(x), int(((np.arange(len(x)) + first + 1) * (x + 1)).sum()), len(_text(sp, k, x.tolist()))))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "row", "n", "s", "c"])
+
+    parts = encoded.select("doc_id", "row", "chunk", "first", "ids").mapInArrow(run, "doc_id long, row long, n long, s long, c long")
+    return parts.groupBy("doc_id", "row").agg(
+        F.sum("n").alias("n_tokens"), (F.sum(F.col("s").cast("decimal(38,0)")) % F.lit((1 << 61) - 1)).cast("long").alias("ids_sum"), F.sum("c").alias("n_chars")).drop("row")
