@@ -35,7 +35,8 @@ OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 # fixed values: the shapes looked for, in order of precedence
 SHAPES = {
     "secret": r"(?:(?<![A-Za-z])(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}+[\"']?|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9]))",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    # as in any address at most 64 characters and 127 labels: an unbounded group recurses once a repeat
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9]([/.])[0-3]?[0-9]\1[12][0-9]{3})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -169,21 +170,21 @@ def _date(m: Column, key: str) -> Column:
 def _characters(value: Column, key: str, kind: str) -> Column:
     """Letters and digits of ``value`` permuted within their classes; a value
     of lower-case hexadecimal digits stays one."""
-    hexadecimal = F.regexp_like(value, F.lit("^(?=.*[0-9])[0-9a-f]+$"))
-
-    def coded(c):
+    def coded(c, hexadecimal):
         return (F.when(hexadecimal, F.struct((F.instr(F.lit("0123456789abcdef"), c) - 1).alias("v"), F.lit(16).alias("m"), F.lit(0).alias("b")))
                 .when(F.regexp_like(c, F.lit("[0-9]")), F.struct((F.ascii(c) - 48).alias("v"), F.lit(10).alias("m"), F.lit(48).alias("b")))
                 .when(F.regexp_like(c, F.lit("[a-z]")), F.struct((F.ascii(c) - 97).alias("v"), F.lit(26).alias("m"), F.lit(97).alias("b")))
                 .when(F.regexp_like(c, F.lit("[A-Z]")), F.struct((F.ascii(c) - 65).alias("v"), F.lit(26).alias("m"), F.lit(65).alias("b")))
                 .otherwise(F.struct(F.lit(0).alias("v"), F.lit(1).alias("m"), F.ascii(c).alias("b"))))
 
-    def shown(codes):
+    def shown(codes, hexadecimal):
         new = permuted(codes["v"], codes["m"], key, kind)
         return F.array_join(F.transform(F.arrays_zip(new.alias("v"), codes["m"].alias("m"), codes["b"].alias("b")), lambda x: F.when(
             hexadecimal, F.substr(F.lit("0123456789abcdef"), x["v"] + 1, F.lit(1))).otherwise(F.chr(x["v"] + x["b"]))), "")
 
-    return let(F.transform(F.split(value, ""), coded), shown)
+    # asked once for the value, not once for each of its characters
+    return let(F.regexp_like(value, F.lit("^(?=[a-f]*[0-9])[0-9a-f]++$")), lambda hexadecimal: let(
+        F.transform(F.split(value, ""), lambda c: coded(c, hexadecimal)), lambda codes: shown(codes, hexadecimal)))
 
 
 def _email(m: Column, key: str) -> Column:

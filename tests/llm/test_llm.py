@@ -264,5 +264,35 @@ def test_piece_scan_equals_library(spark, texts):
     got = sentence_pieces.encode(docs, model, giant=500).toPandas().sort_values(["doc_id", "chunk"])
     for doc, text in rows:
         assert [i for ids in got[got.doc_id == doc].ids for i in ids] == p.sp.encode(text or ""), doc
-    small = sentence_pieces.encode_giant(docs.filter("doc_id in (9001, 9002, 9003)"), model, chunk=64, block=3)
+    small = sentence_pieces.encode_giant(docs.filter("doc_id in (9001, 9002, 9003)").withColumn("row", F.col("doc_id")), model, chunk=64, block=3)
     assert {r.doc_id: r.text for r in sentence_pieces.decode(small, model).collect()} == {d: t for d, t in rows if d in (9001, 9002, 9003)}
+
+
+def test_pieces_of_real_and_repeated_giants(spark, empty):
+    """Production parameters: the longest document of sf0.1, three times with
+    equal and null ids; every row is its own document."""
+    model = public_path("piece_bpe_32k.model")
+    sp = sentence_pieces.pieces_of(model).sp
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy(F.desc(F.length("text"))).first().text
+    assert len(big) > 2 * sentence_pieces.GIANT
+    rows = [(7, big), (7, big), (None, big), (7, "small"), (None, "small"), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = sp.encode(big)
+    want = lambda t: (len(x := sp.encode(t or "")), sum((i + 1) * (v + 1) for i, v in enumerate(x)) % ((1 << 61) - 1), len(t or ""))
+    encoded = sentence_pieces.encode(docs, model)
+    for _, g in encoded.filter("chunk > 0 or size(ids) > 100").toPandas().groupby("row"):
+        assert [i for part in g.sort_values("chunk").ids for i in part] == ids
+    got = [tuple(r) for r in sentence_pieces.digest(encoded, model).collect()]
+    assert sorted(got, key=str) == sorted([(d, *want(t)) for d, t in rows], key=str)
+    assert sentence_pieces.digest(sentence_pieces.encode(empty, model), model).count() == 0
+
+
+def test_pseudonyms_of_very_long_runs(spark):
+    """Long runs of dots, digits, separators and @: no pattern may recurse."""
+    n = 400_000
+    texts = ["a@b" + ".c" * n, "." * n, "1" * n, "1.2." * (n // 4), "1-2/" * (n // 4), "a@" * (n // 2), "@" * n, "+1 " * (n // 3), "(555) " * (n // 6),
+             "x." * n + "@y.z", "4111 " * (n // 5), "secret" * (n // 6), "= " * (n // 2), "password:" * (n // 9)]
+    rows = pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), "k", count_col="m").collect()
+    assert sorted(len(r.text) for r in rows) == sorted(map(len, texts))
+    short = pseudonyms.pseudonymise(spark.createDataFrame([("a@b" + ".c" * 3000,)], "text string"), "k", count_col="m").first()
+    assert short.m == 1 and short.text.endswith("@b" + ".c" * 3000)
