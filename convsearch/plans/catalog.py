@@ -562,6 +562,7 @@ def q_validate_uploads(spark, sf):
 # ---------------------------------------------------------------- answers / requests
 from ..functions import prompts as PR  # noqa: E402
 from ..operators import answers as ANS  # noqa: E402
+from ..operators import requests as REQ  # noqa: E402
 
 
 def _requests(spark, sf):
@@ -624,23 +625,36 @@ def q_rating_prompts(spark, sf):
                     F.md5(PR.rating_prompt("answer", "context")).alias("rating_prompt_md5"))
 
 
+def _processed(spark, sf):
+    """The request flow over the batch of service requests. Router outputs are
+    those of the events with the same ids; every 10th call failed (no row)."""
+    router = V.router_raw_v(spark, sf).withColumnRenamed("event_id", "query_id").filter("query_id % 10 <> 3")
+    corpus = ANS.Corpus(V.policy_v(spark, sf), V.vec_v(spark, sf))
+    comp = V.model_out_v(spark, sf).select(F.col("doc_id").alias("query_id"), "raw")
+
+    def answer(misses):
+        qvecs = V.query_vec_v(spark, sf).join(misses.select("query_id"), "query_id", "left_semi")
+        return ANS.answer_batch(misses, corpus, qvecs, comp, history=_conv_history(spark, sf), k=5, hops=1)
+
+    requests = V.service_requests_v(spark, sf)
+    return REQ.process_requests(requests, router.join(requests.select("query_id"), "query_id", "left_semi"), V.response_cache_v(spark, sf), answer)
+
+
 @register
 def q_request_audit(spark, sf):
-    # requests: validated (invalid ones go to a reject reason), redacted,
-    # routed, answered, then projected to audit records
-    req = V.query_v(spark, sf).withColumn(
-        "session_id", F.concat(F.lit("session-"), (F.col("query_id") % 7).cast("string")))
-    valid = ingest.validate_requests(req).filter(F.col("valid")).select("query_id")
-    a = _answers(spark, sf).join(valid, "query_id", "left_semi")
-    resp = a.select(F.col("query_id").cast("string").alias("audit_id"),
-                    F.lit("2024-01-30 12:00:00").cast("timestamp").alias("timestamp"),
-                    F.concat(F.lit("session-"), (F.col("query_id") % 7).cast("string")).alias("session_id"),
-                    TX.redact(F.col("query")).alias("redacted_query"), F.col("agent").alias("routed_to"),
-                    "router_confidence", "sources", "confidence", "low_confidence",
-                    F.lit(0).cast("bigint").alias("latency_ms"), F.lit(False).alias("cache_hit"))
-    return audit_src.to_audit(resp).select("audit_id", "session_id", "redacted_query", "routed_to",
-                                           "router_confidence", "retrieved_sources", "final_confidence",
-                                           "low_confidence_flag", "response_latency_ms", "cache_hit")
+    return _processed(spark, sf).audit.select(
+        "audit_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "session_id", "redacted_query", "routed_to", "router_confidence", "retrieved_sources", "final_confidence",
+        "low_confidence_flag", "response_latency_ms", "cache_hit")
+
+
+@register
+def q_request_effects(spark, sf):
+    """What the batch appends: rejects, session turns and cache rows."""
+    p = _processed(spark, sf)
+    turns = p.turns.select(F.lit("turn").alias("kind"), "query_id", F.col("session_id").alias("place"), F.concat(F.col("seq").cast("string"), F.lit(" "), F.col("role")).alias("what"), F.md5("content").alias("content_md5"))
+    rows = p.cached.select(F.lit("cache").alias("kind"), F.lit(None).cast("long").alias("query_id"), F.col("domain").alias("place"), F.col("key").alias("what"), F.md5("response.answer").alias("content_md5"))
+    bad = p.rejected.select(F.lit("reject").alias("kind"), "query_id", F.lit("").alias("place"), F.col("reject_reason").alias("what"), F.lit("").alias("content_md5"))
+    return turns.unionByName(rows).unionByName(bad)
 
 
 # ---------------------------------------------------------------- build job / scale variants

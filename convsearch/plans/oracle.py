@@ -723,9 +723,40 @@ SELECT query_id, md5({_lit(_PR.ROUTER_PROMPT_HEAD)} || query) AS router_prompt_m
   md5({_lit(_PR.RATING_PROMPT_HEAD)} || substring(context, 1, 800) || chr(10) || chr(10) || 'Answer:' || chr(10)
       || substring(answer, 1, 400) || {_lit(_PR.RATING_PROMPT_TAIL)}) AS rating_prompt_md5
 FROM answers"""
-ORACLE["request_audit"] = f"""WITH {ANSWERS_CTES}
-SELECT CAST(query_id AS VARCHAR) AS audit_id, 'session-' || CAST(query_id % 7 AS VARCHAR) AS session_id,
-  {redact_sql('query')} AS redacted_query, agent AS routed_to,
-  round(router_confidence, 4) AS router_confidence, sources AS retrieved_sources, round(confidence, 4) AS final_confidence,
-  confidence < 0.65::DOUBLE AS low_confidence_flag, CAST(0 AS BIGINT) AS response_latency_ms, false AS cache_hit
-FROM answers WHERE length('session-' || CAST(query_id % 7 AS VARCHAR)) BETWEEN 1 AND 128 AND length(query) BETWEEN 1 AND 2000"""
+SERVICE_REQUESTS_V = f"""SELECT query_id, domain, TIMESTAMP '2024-01-30 12:00:00' + to_seconds(query_id) AS ts,
+  CASE WHEN query_id % 9 = 4 THEN '' ELSE 'session-' || CAST(query_id % 7 AS VARCHAR) END AS session_id,
+  CASE WHEN query_id % 14 = 6 THEN '' ELSE query || (CASE WHEN query_id % 4 = 1 THEN ' Write to user' || CAST(query_id AS VARCHAR) || '@example.com please.' ELSE '' END) END AS query,
+  query_id * 37 % 2000 AS latency_ms FROM ({QUERY_V})"""
+# the flow up to the cache, then the answers of the misses only
+REQUEST_CTES = f"""
+sreq AS ({SERVICE_REQUESTS_V}),
+schk AS (SELECT *, CASE WHEN length(session_id) < 1 THEN 'session_id_too_short' WHEN length(session_id) > 128 THEN 'session_id_too_long'
+   WHEN length(query) < 1 THEN 'query_too_short' WHEN length(query) > 2000 THEN 'query_too_long' END AS reject_reason FROM sreq),
+{PARSE_ROUTER_CTES},
+sroute AS (SELECT s.query_id, s.domain, s.ts, s.session_id, {redact_sql('s.query')} AS query, s.latency_ms,
+   coalesce(r.category, 'escalation') AS category, coalesce(r.confidence, 0.5::DOUBLE) AS router_confidence
+   FROM schk s LEFT JOIN routed r ON r.event_id = s.query_id AND r.event_id % 10 <> 3 WHERE reject_reason IS NULL),
+centry AS (SELECT d.domain, text AS query, item_id, CASE WHEN item_id % 6 = 0 THEN TIMESTAMP '2024-01-30 11:50:00' ELSE TIMESTAMP '2024-01-30 09:00:00' END AS stored_at
+   FROM benchmark, (SELECT unnest(['billing', 'returns', 'escalation']) AS domain) d WHERE item_id % 3 = 0),
+shit AS (SELECT s.*, 'cached answer ' || CAST(c.item_id AS VARCHAR) AS answer, s.category AS agent, ['documents/' || s.category || '.txt'] AS sources,
+   CASE WHEN c.item_id % 12 <> 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM sroute s JOIN centry c
+   ON c.domain = s.category AND c.query = s.query AND c.stored_at < s.ts AND s.ts < c.stored_at + INTERVAL 3600 SECOND),
+smiss AS (SELECT * FROM sroute ANTI JOIN shit USING (query_id))"""
+_miss_v = "SELECT query_id, domain, query FROM smiss"
+MISS_CTES = REQUEST_CTES + "," + (ANSWERS_CTES.replace(QUERY_V, _miss_v).replace(f"{PARSE_ROUTER_CTES},", "")
+    .replace("""reqs AS (SELECT q.query_id, q.domain, q.query, r.category, r.confidence AS router_confidence,
+   CASE WHEN r.category IN ('billing', 'returns', 'escalation') THEN r.category ELSE 'escalation' END AS agent
+   FROM queries q JOIN routed r ON r.event_id = q.query_id)""", "reqs AS (SELECT query_id, domain, query, category, router_confidence, category AS agent FROM smiss)"))
+
+ORACLE["request_audit"] = f"""WITH {MISS_CTES}
+SELECT CAST(query_id AS VARCHAR) AS audit_id, ts AS "timestamp", session_id, query AS redacted_query, category AS routed_to, round(router_confidence, 4) AS router_confidence,
+  sources AS retrieved_sources, round(confidence, 4) AS final_confidence, false AS low_confidence_flag, latency_ms AS response_latency_ms, true AS cache_hit FROM shit
+UNION ALL
+SELECT CAST(a.query_id AS VARCHAR), m.ts, m.session_id, m.query, m.category, round(m.router_confidence, 4), a.sources, round(a.confidence, 4),
+  a.confidence < 0.65::DOUBLE, m.latency_ms, false FROM answers a JOIN smiss m USING (query_id)"""
+
+ORACLE["request_effects"] = f"""WITH {MISS_CTES}
+SELECT 'turn' AS kind, query_id, session_id AS place, '0 user' AS what, md5(query) AS content_md5 FROM smiss
+UNION ALL SELECT 'turn', a.query_id, m.session_id, '1 assistant', md5(a.answer) FROM answers a JOIN smiss m USING (query_id)
+UNION ALL SELECT 'cache', NULL, m.category, md5(m.category || ':' || m.query), md5(a.answer) FROM answers a JOIN smiss m USING (query_id)
+UNION ALL SELECT 'reject', query_id, '', reject_reason, '' FROM schk WHERE reject_reason IS NOT NULL"""

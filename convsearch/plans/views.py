@@ -259,3 +259,27 @@ def uploads_v(spark: SparkSession, sf: str) -> DataFrame:
     content = F.when(i % 9 == 0, F.lit(" \n\t ")).otherwise(F.col("html"))
     return p.select(i.alias("upload_id"), F.element_at(doms, (i % 4 + 1).cast("int")).alias("domain"),
                     name.alias("filename"), size.alias("size_bytes"), content.alias("content"))
+
+
+def service_requests_v(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of the service: the benchmark queries a second apart; every
+    4th holds an e-mail address, every 9th has no session, every 14th no text."""
+    i = F.col("query_id")
+    text = F.concat(F.col("query"), F.when(i % 4 == 1, F.concat(F.lit(" Write to user"), i.cast("string"), F.lit("@example.com please."))).otherwise(F.lit("")))
+    return query_v(spark, sf).select(
+        "query_id", "domain", (F.lit("2024-01-30 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=i)).alias("ts"),
+        F.when(i % 9 == 4, F.lit("")).otherwise(F.concat(F.lit("session-"), (i % 7).cast("string"))).alias("session_id"),
+        F.when(i % 14 == 6, F.lit("")).otherwise(text).alias("query"), (i * 37 % 2000).alias("latency_ms"))
+
+
+def response_cache_v(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache of responses: for every third benchmark item one entry in each
+    domain, half of them stored hours ago, every 12th without a confidence."""
+    i = F.col("item_id")
+    response = F.struct(F.concat(F.lit("cached answer "), i.cast("string")).alias("answer"), F.col("domain").alias("agent"),
+                        F.array(F.concat(F.lit("documents/"), F.col("domain"), F.lit(".txt"))).alias("sources"),
+                        F.when(i % 12 != 0, F.lit(0.9)).alias("confidence"), F.lit(False).alias("low_confidence"), F.lit("").alias("disclaimer"))
+    stored = F.when(i % 6 == 0, F.lit("2024-01-30 11:50:00")).otherwise(F.lit("2024-01-30 09:00:00")).cast("timestamp_ntz")
+    return (table(spark, sf, "benchmark").filter(i % 3 == 0)
+            .select("item_id", "text", F.explode(F.array(*[F.lit(d) for d in ("billing", "returns", "escalation")])).alias("domain"))
+            .select("domain", F.col("text").alias("query"), stored.alias("stored_at"), response.alias("response")))
