@@ -45,23 +45,23 @@ def _processor(threshold: float, ttl_seconds: int):
             return
         entries = json.loads(state.get[0]) if state.exists else {}
         out = []
-        for pdf in pdfs:
-            for row in pdf.sort_values(["ts", "lookup_id"]).itertuples(index=False):
-                now = int(pd.Timestamp(row.ts).value // 1_000_000)
-                entries = {k: e for k, e in entries.items() if e["stored"] <= now < e["stored"] + ttl_ms}
-                q = np.asarray(row.vec, dtype=np.float64)
-                best, best_key, best_order = 0.0, None, None
-                for k, e in entries.items():
-                    s = float(np.dot(q, np.asarray(e["vec"], dtype=np.float64)))
-                    order = (e["stored"], k)
-                    if s > best or (s == best and best_key is not None and order < best_order):
-                        best, best_key, best_order = s, k, order
-                hit = best_key is not None and best >= threshold
-                out.append((key[0], int(row.lookup_id), row.ts, hit, best_key if hit else None,
-                            best if best_key is not None else None))
-                if not hit:
-                    k = hashlib.md5(f"{key[0]}:{row.query}".encode()).hexdigest()
-                    entries[k] = {"vec": q.tolist(), "stored": now}
+        # a group comes in several Arrow batches, in no order between them
+        for row in pd.concat(list(pdfs)).sort_values(["ts", "lookup_id"]).itertuples(index=False):
+            now = int(pd.Timestamp(row.ts).value // 1_000_000)
+            entries = {k: e for k, e in entries.items() if e["stored"] <= now < e["stored"] + ttl_ms}
+            q = np.asarray(row.vec, dtype=np.float64)
+            best, best_key, best_order = 0.0, None, None
+            for k, e in entries.items():
+                s = float(np.dot(q, np.asarray(e["vec"], dtype=np.float64)))
+                order = (e["stored"], k)
+                if s > best or (s == best and best_key is not None and order < best_order):
+                    best, best_key, best_order = s, k, order
+            hit = best_key is not None and best >= threshold
+            out.append((key[0], int(row.lookup_id), row.ts, hit, best_key if hit else None,
+                        best if best_key is not None else None))
+            if not hit:
+                k = hashlib.md5(f"{key[0]}:{row.query}".encode()).hexdigest()
+                entries[k] = {"vec": q.tolist(), "stored": now}
         expiry = max((e["stored"] for e in entries.values()), default=None)
         if expiry is not None and expiry + ttl_ms > state.getCurrentWatermarkMs():
             state.update((json.dumps(entries),))

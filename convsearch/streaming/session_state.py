@@ -54,19 +54,18 @@ def _processor(ttl_seconds: int, max_turns: int):
             t, last = state.get
             hist = [tuple(x) for x in json.loads(t)]
         out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "seq"])
-            for row in pdf.itertuples(index=False):
-                ms = int(pd.Timestamp(row.ts).value // 1_000_000)
-                if last is not None and ms - last >= ttl_ms:
-                    hist = []
-                if getattr(row, "kind", "turn") == "clear":
-                    hist, last = [], None
-                    continue
-                out.append((key[0], int(row.seq), row.ts, len(hist), _fmt(hist, max_turns)))
-                hist.append((row.role, row.content))
-                hist = hist[-2 * max_turns:]
-                last = ms
+        # a group comes in several Arrow batches, in no order between them
+        for row in pd.concat(list(pdfs)).sort_values(["ts", "seq"]).itertuples(index=False):
+            ms = int(pd.Timestamp(row.ts).value // 1_000_000)
+            if last is not None and ms - last >= ttl_ms:
+                hist = []
+            if getattr(row, "kind", "turn") == "clear":
+                hist, last = [], None
+                continue
+            out.append((key[0], int(row.seq), row.ts, len(hist), _fmt(hist, max_turns)))
+            hist.append((row.role, row.content))
+            hist = hist[-2 * max_turns:]
+            last = ms
         if last is not None and last + ttl_ms > state.getCurrentWatermarkMs():
             state.update((json.dumps(hist), last))
             state.setTimeoutTimestamp(last + ttl_ms)

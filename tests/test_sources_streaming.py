@@ -83,6 +83,24 @@ def test_session_stream_matches_batch_twin(spark, tmp):
     assert len(got) == len(want) and got == want
 
 
+def test_a_long_session_in_any_order(spark, tmp):
+    """25,000 shuffled turns of one session in one micro-batch: several Arrow
+    batches, none of them in order, equal the batch twin."""
+    turns = spark.range(25_000).select(
+        F.lit("s").alias("session_id"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("id") * 60 + F.when(F.col("id") % 500 == 0, 3600).otherwise(0))).alias("ts"),
+        F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("content"))
+    turns.orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(f"{tmp}/turns")
+    stream = spark.readStream.schema(turns.schema).parquet(f"{tmp}/turns")
+    q = (session_state.session_memory(stream, ttl_seconds=1800).writeStream.format("memory").queryName("long_out").outputMode("append")
+         .option("checkpointLocation", f"{tmp}/ck").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    q.stop()
+    got = {r["seq"]: (r["n_history"], r["history_text"]) for r in spark.sql("select * from long_out").collect()}
+    batch = SES.history(SES.sessionize(turns.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 1800))
+    want = {r["seq"]: (r["n"], r["txt"]) for r in batch.select("seq", F.size("history").alias("n"), SES.format_history("history").alias("txt")).collect()}
+    assert len(want) == 25_000 and got == want
+
+
 def test_cache_replay_stream(spark, tmp):
     lk = V.lookup_v(spark, SF001).withColumn("query", F.concat(F.lit("q"), F.col("lookup_id").cast("string")))
     lk.withColumn("ts", F.col("ts").cast("timestamp")).orderBy("ts").coalesce(1).write.parquet(f"{tmp}/lk")
