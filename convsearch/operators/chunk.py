@@ -1,7 +1,7 @@
 """Chunking documents into rows.
 
-* ``chunk_documents`` -- the recursive splitter (Arrow-batched pandas UDF over
-  whole texts) + ``posexplode``; one row per chunk.
+* ``chunk_documents`` -- the recursive splitter (a fold in one expression) +
+  ``posexplode``; one row per chunk.
 * ``chunk_fixed`` -- fixed character windows (size, size - overlap step), a
   pure Catalyst expression.
 
@@ -11,32 +11,23 @@ local to the document, so re-chunking one domain never renumbers another.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config as C
-from ..functions.splitter import split_text
+from ..functions.splitter import chunks_of
 
 CHUNK_ID_STRIDE = 1_000_000
 
 
-def split_udf(size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap))
-    return _split
-
-
 def chunk_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
                     keep=("domain", "source")) -> DataFrame:
     """docs(id, text, ...) -> chunks(<keep>, doc_id, chunk_no, chunk_id, content)."""
     keep = [c for c in keep if c in docs.columns]
     parts = docs.select(*keep, F.col(id_col).alias("doc_id"),
-                        split_udf(size, overlap)(F.col(text_col)).alias("parts"))
-    # posexplode_outer: no inferred size(parts) > 0 filter, which would run the UDF twice
+                        chunks_of(text_col, size, overlap).alias("parts"))
+    # posexplode_outer: no inferred size(parts) > 0 filter, which would split twice
     parts = parts.select(*keep, "doc_id", F.posexplode_outer("parts").alias("chunk_no", "content"))
     return parts.filter(F.col("content").isNotNull()).select(
         *keep, "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"),

@@ -641,6 +641,42 @@ v AS (SELECT *, CASE WHEN NOT coalesce(domain IN ('billing', 'returns', 'escalat
 SELECT upload_id, safe_name, ext, reject_reason IS NULL AS valid, reject_reason FROM v"""
 
 
+# ---------------------------------------------------------------- splitter
+def chunks_sql(text: str, separators=("\n\n", "\n", " ", ""), size: int = 512, overlap: int = 64, level: int = 0) -> str:
+    """The list of chunks of a text: the same fold, by list functions."""
+    a, b = f"a{level}", f"b{level}"
+    sep, later = separators[0], separators[1:]
+    lit = "'" + sep + "'" if "\n" not in sep else " || ".join(["chr(10)"] * len(sep))
+    pieces = (f"list_filter(list_transform(string_split({text}, {lit}), lambda p, i: CASE WHEN i > 1 THEN {lit} || p ELSE p END), lambda p: p <> '')"
+              if sep else f"string_split({text}, '')")
+    state = "{{'chunks': {0}, 'win': {1}, 'len': {2}, 'p': {3}}}".format
+    joined = strip_sql(f"array_to_string({a}.win, '')")
+    closed = f"CASE WHEN {joined} <> '' THEN list_append({a}.chunks, {joined}) ELSE {a}.chunks END"
+    n = f"length({b}.p)"
+    first = f"(list_filter(range(1, len({a}.win) + 2), lambda i: coalesce(list_sum(list_transform({a}.win[i:], lambda w: length(w))), 0) <= least({overlap}, {size} - {n}))[1])"
+    tail = f"{a}.win[{first}:]"
+    deeper = chunks_sql(f"{b}.p", later, size, overlap, level + 1) if later else f"[{b}.p]"
+    none = "[]::VARCHAR[]"
+    step = f"""CASE WHEN {n} >= {size} THEN {state(f'list_concat({closed}, {deeper})', none, '0::BIGINT', "''")}
+        WHEN len({a}.win) = 0 OR {a}.len + {n} <= {size} THEN {state(f'{a}.chunks', f'list_append({a}.win, {b}.p)', f'({a}.len + {n})::BIGINT', "''")}
+        ELSE {state(closed, f'list_append({tail}, {b}.p)', f'(coalesce(list_sum(list_transform({tail}, lambda w: length(w))), 0) + {n})::BIGINT', "''")} END"""
+    folded = f"list_reduce(list_prepend({state(none, none, '0::BIGINT', chr(39) * 2)}, list_transform({pieces}, lambda p: {state(none, none, '0::BIGINT', 'p')})), lambda {a}, {b}: {step})"
+    end = f"list_transform([{folded}], lambda {a}: {closed})[1]"
+    return f"CASE WHEN contains({text}, {lit}) THEN {end} ELSE {chunks_sql(text, later, size, overlap, level)} END" if later else end
+
+
+CHUNKS_V = f"""SELECT domain, source, doc_id, unnest(range(0, len(c))) AS chunk_no, unnest(c) AS content FROM (
+  SELECT lang AS domain, source, doc_id, CASE WHEN t <> '' THEN {chunks_sql('t')} END AS c FROM (SELECT lang, source, doc_id, {redact_sql('text')} AS t FROM documents))"""
+
+ORACLE["chunk_documents"] = f"""SELECT domain, source, doc_id, chunk_no, doc_id * 1000000 + chunk_no AS chunk_id, CAST(length(content) AS BIGINT) AS n_chars, content FROM ({CHUNKS_V})"""
+
+ORACLE["corpus_stats"] = f"""WITH ch AS MATERIALIZED ({CHUNKS_V}),
+tk AS (SELECT domain, doc_id, chunk_no, {tok('content')} AS toks FROM ch),
+v AS (SELECT domain, count(DISTINCT term) AS vocab_terms FROM (SELECT domain, unnest(toks) AS term FROM tk) GROUP BY domain),
+a AS (SELECT domain, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS avgdl FROM tk GROUP BY domain),
+c AS (SELECT domain, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, CAST(max(length(content)) AS BIGINT) AS max_chunk_chars, round(avg(length(content)), 6) AS avg_chunk_chars FROM ch GROUP BY domain)
+SELECT c.*, vocab_terms, round(avgdl, 6) AS avgdl FROM c LEFT JOIN v USING (domain) LEFT JOIN a USING (domain)"""
+
 # ---------------------------------------------------------------- answers / requests
 from ..functions import prompts as _PR  # noqa: E402
 from ..config import LLM_FAILURE_TEXT  # noqa: E402

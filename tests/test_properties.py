@@ -3,27 +3,6 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from convsearch.functions.splitter import split_text
-
-alphabet = st.sampled_from(list("ab cd\n\nxyz.") + ["é", "  ", "\n"])
-texts = st.lists(alphabet, min_size=0, max_size=3000).map("".join)
-
-
-@settings(max_examples=200, deadline=None)
-@given(texts, st.integers(min_value=20, max_value=300), st.integers(min_value=0, max_value=19))
-def test_splitter_invariants(text, size, overlap):
-    chunks = split_text(text, size, overlap)
-    assert all(0 < len(c) <= size for c in chunks)
-    assert all(c == c.strip() for c in chunks)
-    # every word short enough to fit appears in some chunk
-    joined = "\n".join(chunks)
-    for w in text.split():
-        if len(w) <= size:
-            assert w in joined
-    if not text.strip():
-        assert chunks == []
-
-
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from(["ab", "é", " ", "\t", "\n", "X", " "]), max_size=40).map("".join))
 def test_tokenize_equals_python_split(spark, text):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from convsearch.functions import parse as P
 from convsearch.functions import text as TX
-from convsearch.functions.splitter import split_text
+from convsearch.functions.splitter import chunks_of
 
 
 def one(spark, value, expr, schema="t string"):
@@ -74,21 +74,65 @@ def test_parse_answer(spark):
     assert (r["answer"], r["rating_text"]) == ("no markers", "")
 
 
-def test_splitter_goldens():
-    assert split_text("x" * 512) == ["x" * 512]
-    word = "y" * 600
-    parts = split_text(word)
-    assert parts == ["y" * 512, "y" * 152]  # 64 characters of overlap
-    assert split_text("   ") == []
+def split_texts(spark, texts, size=512, overlap=64):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.c for r in df.select("i", chunks_of("t", size, overlap).alias("c")).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_splitter_goldens(spark):
     mixed = ("para one line one\nline two " + "w " * 400 + "\n\n" + "second para " * 60).strip()
-    chunks = split_text(mixed)
-    assert chunks and all(len(c) <= 512 for c in chunks)
+    got = split_texts(spark, ["x" * 512, "y" * 600, "   ", "", None, "😀" * 600, mixed])
+    assert got[:5] == [["x" * 512], ["y" * 512, "y" * 152], [], [], []]  # 64 characters of overlap
+    assert got[5] == ["😀" * 512, "😀" * 152]
+    assert got[6] and all(len(c) <= 512 for c in got[6])
 
 
-def test_splitter_overlap():
+def test_splitter_overlap(spark):
     text = " ".join(f"w{i:03d}" for i in range(300))  # 1199 chars, one line
-    chunks = split_text(text, 100, 20)
+    chunks = split_texts(spark, [text], 100, 20)[0]
     assert all(len(c) <= 100 for c in chunks)
     # consecutive chunks share at most the overlap
     for a, b in zip(chunks, chunks[1:]):
         assert b.split()[0] in a.split()[-5:]
+
+
+def plain_chunks(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """The rule, piece by piece over character offsets."""
+    for level, sep in enumerate(separators):
+        if sep in text:
+            break
+    later = separators[level + 1:]
+    cuts = list(range(len(text))) if not sep else [0]
+    at = text.find(sep) if sep else -1
+    while at >= 0:
+        cuts.append(at)
+        at = text.find(sep, at + len(sep))
+    cuts = sorted(set(cuts)) + [len(text)]
+    out, first, end = [], None, None  # the window is text[first:end]
+
+    def close():
+        if first is not None and text[first:end].strip():
+            out.append(text[first:end].strip())
+
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a >= size:
+            close()
+            first = None
+            out += plain_chunks(text[a:b], size, overlap, later) if later else [text[a:b]]
+            continue
+        if first is not None and b - first > size:
+            close()
+            first = min(c for c in cuts if first <= c <= a and a - c <= overlap and (b - c <= size or c == a))
+        first, end = (a if first is None else first), b
+    close()
+    return out
+
+
+def test_splitter_equals_the_rule(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n\n😀é ") for _ in range(rng.randint(1, 150))) for _ in range(120)] + ["x" * 70 + " " + "y" * 9 + "\n\n\n" + "z z" * 10, " \n\n a"]
+    for size, overlap in ((20, 5), (7, 3), (1, 0), (10, 9), (50, 0)):
+        assert split_texts(spark, texts, size, overlap) == [plain_chunks(t, size, overlap) for t in texts]
