@@ -146,16 +146,18 @@ class LexicalStore:
         own = self._read("chunks", [v]).drop("v")
         corpus = own.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.greatest("dl", F.lit(0))).cast("double") / F.count(F.lit(1))).alias("avgdl"))
 
-        tf = (chunks.select("domain", F.col("chunk_id").cast("long").alias("chunk_id"), F.explode_outer(tokenize(text_col)).alias("term"))
-              .filter("term is not null").groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-        tf.write.parquet(out("counts"))
-        tf = self.spark.read.schema(tf.schema).parquet(out("counts"))
-        stats, avg_idf = idf_table(tf.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")), corpus, C.BM25_EPSILON)
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(out(name))
+            return self.spark.read.schema(df.schema).parquet(out(name))
+
+        toks = chunks.select("domain", F.col("chunk_id").cast("long").alias("chunk_id"), tokenize(text_col).alias("toks"))
+        tf = kept(toks.select("domain", "chunk_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+                  .filter("term is not null").groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), "counts")
+        stats, avg_idf = idf_table(kept(tf.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), corpus, C.BM25_EPSILON)
         corpus.join(avg_idf, "domain", "left").write.parquet(out("corpus"))
-        corpus = self._read("corpus", [v]).select("domain", "avgdl")
+        stats, corpus = kept(stats, "idf"), self._read("corpus", [v]).select("domain", "avgdl")
 
-        weighed = (tf.join(own.select("domain", "chunk_id", "dl"), ["domain", "chunk_id"]).join(stats.select("domain", "term", "idf"), ["domain", "term"])
-                   .join(corpus, "domain")
+        weighed = (tf.join(stats.select("domain", "term", "idf"), ["domain", "term"]).join(corpus, "domain")
                    .select("domain", self.bucket(F.col("term")).alias("bucket"), "term", "chunk_id",
                            impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl")).alias("weight")))
         parts = 1 + tf.count() // (self.buckets * POSTINGS_PER_TASK)  # splits a bucket, however hot
@@ -168,8 +170,9 @@ class LexicalStore:
         best = Window.partitionBy("domain", "term").orderBy(F.desc("weight"), "chunk_id")
         (postings.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= self.champions).drop("_n")
          .write.partitionBy("domain").parquet(out("champions")))
-        fs, p = self._at(out("counts"))
-        fs.delete(p, True)
+        for name in ("counts", "frequencies", "idf"):
+            fs, p = self._at(out(name))
+            fs.delete(p, True)
         held = [r.domain for r in own.select("domain").distinct().collect()]  # one row a domain
         asked = list(domains or [])
         self.commit(v, held, [d for d in asked if d not in held and d in self.live()])
