@@ -14,7 +14,8 @@ Rows are placed by a key that is unique or near it; rows of one hot source
 therefore spread over all shards.
 
 Defined cases: a null key is hashed like the empty string; equal keys share a
-shard; an empty table gives no rows; extra columns pass through."""
+shard; an empty table gives no rows; extra columns pass through, but for those
+named ``slot`` or ``shard``, whose place the results take."""
 
 from __future__ import annotations
 
@@ -63,7 +64,9 @@ def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS, weig
     # one string for the whole table: the plan stays small
     entries = (spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, table))), ",")).alias("slot", "at"))
                .select(F.col("slot").cast("long"), F.get(F.split(F.lit("\n".join(shards)), "\n"), F.col("at").cast("int")).alias("shard")))
-    return rows.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(entries), "slot").select(*rows.columns, "slot", "shard")
+    own = [c for c in rows.columns if c not in ("slot", "shard")]
+    placed = rows.select(*[F.col(f"`{c}`") for c in own], slot_of(F.col(f"`{key}`"), slots).alias("slot"))
+    return placed.join(F.broadcast(entries), "slot").select(*[F.col(f"`{c}`") for c in own], "slot", "shard")
 
 
 def write_shards(rows: DataFrame, key: str, shards: list[str], path: str, files_per_shard: int = 1, **params) -> None:

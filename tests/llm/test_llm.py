@@ -91,7 +91,23 @@ def test_sharding_table(spark, edge):
     assert max(collections.Counter(table).values()) - min(collections.Counter(table).values()) <= 1
     fewer = sharding.lookup_table(names[:-1], 251)
     assert sum(a != b for a, b in zip(table, fewer) if a != 6) < 251 * 0.3
-    assert sharding.place(edge.drop("slot"), "doc_id", names, 251).count() == len(EDGE)
+    # independently of the code: turn by turn, the first free slot that a shard prefers
+    number = lambda s, salt: int(__import__("hashlib").md5(f"{salt}/{s}".encode()).hexdigest()[:15], 16)
+    prefer = {s: [(number(s, "offset") + i * (number(s, "skip") % 250 + 1)) % 251 for i in range(251)] for s in names}
+    taken = {}
+    while len(taken) < 251:
+        for s in names:
+            free = next((x for x in prefer[s] if x not in taken), None)
+            if free is not None:
+                taken[free] = s
+    assert [names[i] for i in table] == [taken[x] for x in range(251)]
+    clash = edge.withColumn("shard", F.lit("old")).withColumn("a.b", F.lit(1))
+    got = sharding.place(clash, "doc_id", names, 251)
+    assert got.columns == ["doc_id", "text", "list", "n", "a.b", "slot", "shard"]
+    assert sorted((r.doc_id, r.shard) for r in got.collect()) == sorted(
+        (r[0], taken[int(__import__("hashlib").md5(str(r[0]).encode()).hexdigest()[:15], 16) % 251]) for r in EDGE)
+    # by another column of the rows, the one that the result replaces
+    assert sharding.place(clash, "slot", names, 251).count() == len(EDGE)
 
 
 def brute_components(rows):
