@@ -36,9 +36,11 @@ from .toxicity import Linear, fit_linear
 
 SAMPLE, SAID, TIE = 2000, 6.0, 1.0
 # fixed values: element names of HTML
-RAW = frozenset("script style noscript template iframe textarea title svg math object select button".split())
+RAW = frozenset("script style noscript template iframe textarea title select button".split())
+# of these, those that are ordinary elements to HTML: without an end tag their text stays
+ORDINARY = frozenset("select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var svg math object".split())
 CONTENT = frozenset("article main".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 CLOSES_P = frozenset("address article aside blockquote dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
@@ -47,7 +49,12 @@ NAMES = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header "
     "masthead menu modal nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar "
     "social sponsor sponsored subscribe toolbar widget".split())
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z))", re.S)
+# an attribute is a name, and after = a quoted or unquoted value; a quote elsewhere is a character like others,
+# and a quoted value without an end stops at white space or the end of the tag
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>]++"
+_TAG = re.compile(
+    r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)"
+    rf"((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE})?+)?+|=)*+)(?:>|\Z))", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 
@@ -117,7 +124,7 @@ def blocks(page: str) -> list[Block]:
                 at = (end.end() if end[0][1] == "/" else end.start()) if end else at
             elif not m[3].endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else size
+                at = end.end() if end else at if name in ORDINARY else size
             if name not in ("script", "style", "template", "noscript"):
                 parts.append(" ")
             continue
@@ -240,8 +247,9 @@ def main_text(page: str | None, model: Linear, said: float = SAID, tie: float =
     return " ".join(b.text for b, keep in zip(found, minimum_cut(cost, [x for x in ties if x[2] > 0])) if keep)
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE) -> Linear:
-    """The block classifier, from at most ``sample`` pages."""
+def fit(pages: DataFrame, sample: int = SAMPLE, rows_per_page: int = 100) -> Linear:
+    """The block classifier, from at most ``sample`` pages, and of the features
+    of their blocks the first ``sample * rows_per_page`` in the order of a hash."""
     own = pages.filter("page_id is not null and html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
 
     def run(batches):
@@ -259,7 +267,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Linear:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([list(r[1:]) for r in rows], pa.list_(pa.float64()))], names=["content", "x"])
 
     # at most ``sample`` ids
-    data = pages.join(F.broadcast(own), "page_id", "left_semi").select("html").mapInArrow(run, "content boolean, x array<double>").limit(100 * sample).collect()
+    data = pages.join(F.broadcast(own), "page_id", "left_semi").select("html").mapInArrow(run, "content boolean, x array<double>").orderBy(F.xxhash64("content", "x"), "content", "x").limit(rows_per_page * sample).collect()
     x = np.array([r["x"] for r in data], np.float32).reshape(-1, 10)
     model = fit_linear(x, np.array([r["content"] for r in data], np.float32))
     return model if model.weights is not None else Linear(np.array([2, 2, -4, 2, 0, 1, -1, 0, 0, -1], np.float32), -2.5)

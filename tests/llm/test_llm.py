@@ -312,3 +312,29 @@ def test_pseudonyms_of_very_long_runs(spark):
     assert sorted(len(r.text) for r in rows) == sorted(map(len, texts))
     short = pseudonyms.pseudonymise(spark.createDataFrame([("a@b" + ".c" * 3000,)], "text string"), "k", count_col="m").first()
     assert short.m == 1 and short.text.endswith("@b" + ".c" * 3000)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p title=Don't>It's here.</p><p>And it isn't.</p></article>", ["It's here.", "And it isn't."]),
+    ('<article><p data-x=5">Five.</p></article>', ["Five."]),
+    ('<article><p class="x>Open quote.</p></article>', ["Open quote."]),
+    ("<p \"odd' name>Odd.</p>", ["Odd."]),
+    ("<p a=\"1>0\" b='<i>'>Quoted.</p>", ["Quoted."]),
+    ("<p a = b c= \"d\" =e / f/>Spaced.</p>", ["Spaced."]),
+    ("<article>Before <button>Go <p>after.</p></article>", ["Before Go", "after."]),
+    ("<article>Before <button>Go</button> after.</article>", ["Before after."]),
+    ("<p>The sum <math><mi>x</mi></math> and <svg><text>label</text></svg> end.</p>", ["The sum x", "and", "label", "end."]),
+    ("<article>Kept <object>fallback</object> text.</article>", ["Kept fallback text."]),
+    ("<p>Cut <script>if (a<b) '</p>'", ["Cut"])])
+def test_blocks_of_broken_pages(page, want):
+    got = [b.text for b in html_extract.blocks(page)]
+    assert " ".join(got) == " ".join(want) and "<" not in "".join(got)
+
+
+def test_tags_take_linear_time():
+    import time
+
+    for page in ("<p a='" * 60_000, '<p a="' * 60_001, "<p " + "a=b " * 200_000 + ">x</p>", "<p " + "'\"" * 200_000 + ">x", "<" * 300_000, "<p =" + "=" * 200_000):
+        began = time.time()
+        html_extract.blocks(page)
+        assert time.time() - began < 20
