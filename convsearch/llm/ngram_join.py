@@ -44,6 +44,8 @@ WORDS, PERCENT = 5, 80
 HEAVY = 200_000
 #: A shingle is heavy in a batch of documents from this share (and four).
 HEAVY_SHARE = 0.0005
+#: Bits of the bitmap that keeps texts of other documents out of the shuffle.
+MARKS = 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -246,11 +248,24 @@ def _element_table(docs: DataFrame, classes: DataFrame, k: int, salt: int = 0) -
             yield _table(schema, list(new), list(new.values()))
 
     # copies of one text, from several tasks, give the same bytes
+    docs = _marked(docs, classes)
     here = (docs["text_hash"] == classes["text_hash"]) & docs["doc_id"].eqNullSafe(classes["doc_id"])
     sets = docs.join(classes, here, "left_semi").select("text").mapInArrow(run, "id long, elements binary")
     return sets.groupBy("id").agg(F.first("elements").alias("elements"))
 
 
+def _marked(docs: DataFrame, wanted: DataFrame, bits: int = MARKS) -> DataFrame:
+    """The rows of ``docs`` whose text_hash may be in ``wanted``: all that are,
+    and few others while ``wanted`` is small against ``bits``. The bitmap goes
+    out as one row for each 64 bits that hold a mark, ``bits`` / 64 at most."""
+    slot = F.col("text_hash").bitwiseAND(F.lit(bits - 1))
+    word = F.shiftright(slot, 6)
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    marks = wanted.select(word.alias("word"), mark.alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    may = docs.withColumn("word", word).join(F.broadcast(marks), "word").filter(F.col("marks").bitwiseAND(mark) != 0)
+    return may.select(*docs.columns)
+
+
 def candidates(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those that the first order does not rule out: what
     two sets share outside their prefixes is at most the longer rest, so their

@@ -338,3 +338,15 @@ def test_tags_take_linear_time():
         began = time.time()
         html_extract.blocks(page)
         assert time.time() - began < 20
+
+
+def test_bitmap_keeps_every_wanted_text(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 2000).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    wanted = docs.filter("doc_id % 7 = 0").select("text_hash", "doc_id")
+    hashes = {r.text_hash for r in wanted.collect()}
+    for bits, most in ((1 << 27, 0), (1 << 14, 300), (64, 3000)):
+        got = ngram_join._marked(docs, wanted, bits).collect()
+        extra = [r for r in got if r.text_hash not in hashes]
+        assert sum(r.text_hash in hashes for r in got) == docs.join(wanted.select("text_hash").distinct(), "text_hash").count()
+        assert len(extra) <= most and len(set(r.doc_id for r in got)) == len(got)
+    assert ngram_join._marked(docs, wanted.limit(0)).count() == 0
