@@ -11,7 +11,7 @@ rejected when it loses too many of its words. A line fails when it
 * stammers: at least ``stammer_words`` words of which under a quarter differ,
 * is boilerplate: at most ``boiler_words`` words and one of the fixed phrases,
 * lacks punctuation: at least ``open_words`` words and none of ``.!?:;`` at
-  all, nor their full-width forms.
+  all, nor their full-width forms, nor the sentence marks of other scripts.
 
 Words are runs of characters other than space and U+0009-U+000D, lines are
 split at line feeds, lines without a word are no lines.
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import WS, let
 
 SYMBOLS = "#*$%&|<>"
+# fixed values: marks that end or part sentences, Latin and full-width, then
+# ellipsis, Devanagari, Arabic, Armenian, Ethiopic, Khmer, Myanmar, Tibetan
+SENTENCE_MARKS = "[.!?:;。！？：；｡…।॥؟؛۔։።፧។။།]"
 # fixed values: phrases of page furniture and legal lines, lower case
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "enable javascript", "privacy policy",
@@ -101,7 +104,7 @@ def line_fails(line: Column, words: Column, p: dict) -> Column:
         | capitals
         | ((n >= p["stammer_words"]) & (4 * F.size(F.array_distinct(words)) < n))
         | ((n <= p["boiler_words"]) & phrase)
-        | ((n >= p["open_words"]) & ~F.regexp_like(line, F.lit("[.!?:;。！？：；]"))))
+        | ((n >= p["open_words"]) & ~F.regexp_like(line, F.lit(SENTENCE_MARKS))))
 
 
 def good_lines(lines: Column, p: dict) -> Column:

@@ -130,7 +130,7 @@ def _quality_sql() -> str:
             OR ({count.format('[A-Z]')} >= {p['shout_letters']} AND {count.format('[A-Z]')} > 2 * {count.format('[a-z]')})
             OR (n >= {p['stammer_words']} AND 4 * len(list_distinct(lw)) < n)
             OR (n <= {p['boiler_words']} AND ({phrases}))
-            OR (n >= {p['open_words']} AND NOT regexp_matches(line, '[.!?:;。！？：；]'))) GROUP BY doc_id),
+            OR (n >= {p['open_words']} AND NOT regexp_matches(line, '{quality.SENTENCE_MARKS}'))) GROUP BY doc_id),
         s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(good.n, 0) AS BIGINT) AS n_kept_words

@@ -350,3 +350,10 @@ def test_bitmap_keeps_every_wanted_text(spark):
         assert sum(r.text_hash in hashes for r in got) == docs.join(wanted.select("text_hash").distinct(), "text_hash").count()
         assert len(extra) <= most and len(set(r.doc_id for r in got)) == len(got)
     assert ngram_join._marked(docs, wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mark,kept", [(".", True), ("।", True), ("؟", True), ("۔", True), ("…", True), ("", False), (",", False)])
+def test_quality_of_other_scripts(spark, mark, kept):
+    lines = "\n".join(" ".join(f"शब्द{i}-{j}" for j in range(14)) + mark for i in range(8))
+    row = quality.assess(spark.createDataFrame([(1, lines)], "doc_id long, text string")).first()
+    assert row.kept is kept and row.n_words == 112 and row.n_kept_words == (112 if kept else 0)
