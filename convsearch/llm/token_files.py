@@ -25,7 +25,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -129,6 +129,13 @@ class PlaneReader:
                 at, left = at + take, left - take // 4
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: without one it lies in the cluster's default
+    file system, which need not be the executor's disk."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString()
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -154,7 +161,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, uni
     """Encode and write all documents under ``path``. The result is the stored
     manifest: file, range, part, n_docs, n_ids, start (ids in files before)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = docs.agg(F.count("*")).first()[0]
+    path, n = qualified(docs.sparkSession, path), docs.agg(F.count("*")).first()[0]
     ranges = max(1, min(RANGES, -(-n // DOCS)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
     rows = docs.withColumn("range", F.coalesce(_range_of(F.col("doc_id"), sorted(set(cuts or []))), F.lit(0)).cast("long"))
@@ -198,6 +205,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, uni
 
 def read_files(manifest: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    path = qualified(manifest.sparkSession, path)
+
     def run(batches):
         import pyarrow as pa
 
@@ -214,4 +223,6 @@ def read_files(manifest: DataFrame, path: str) -> DataFrame:
                     [pa.array(ids, pa.int64(), mask=ids == _NO_ID), pa.array(first + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one task a file: the manifest is tiny, so its own exchange would end as one
+    files = manifest.select("file", "start")
+    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -357,3 +357,25 @@ def test_quality_of_other_scripts(spark, mark, kept):
     lines = "\n".join(" ".join(f"शब्द{i}-{j}" for j in range(14)) + mark for i in range(8))
     row = quality.assess(spark.createDataFrame([(1, lines)], "doc_id long, text string")).first()
     assert row.kept is kept and row.n_words == 112 and row.n_kept_words == (112 if kept else 0)
+
+
+def test_token_files_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Several files, null and repeated ids, null and long texts, no rows."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "DOCS", 8)
+    path = public_path("byte_bpe_50k.json")
+    rows = [(i % 37, f"text number {i} " * (i % 5)) for i in range(60)] + [(None, "no id"), (None, None), (5, None), (99, "x y " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash"))
+    manifest = token_files.write_files(docs, str(tmp_path / "planes"), path)
+    out = token_files.read_files(manifest, str(tmp_path / "planes"))
+    assert out.rdd.getNumPartitions() == manifest.count() > 2
+    got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in out.collect())
+    encode = Tokenizer.from_file(path).encode
+    want = [(-1 if d is None else d, (ids := encode(t or "", add_special_tokens=False).ids + [2]) and len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))) for d, t in rows]
+    assert sorted(g[1:] for g in got) == sorted(want) and [g[1] for g in got] == sorted(g[1] for g in got)
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+    none = token_files.write_files(docs.limit(0), str(tmp_path / "none"), path)
+    assert token_files.read_files(none, str(tmp_path / "none")).count() == 0
