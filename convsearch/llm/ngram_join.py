@@ -247,10 +247,11 @@ def _element_table(docs: DataFrame, classes: DataFrame, k: int, salt: int = 0) -
             seen.update(new)
             yield _table(schema, list(new), list(new.values()))
 
-    # copies of one text, from several tasks, give the same bytes
+    # copies of one text, from several tasks, give the same bytes. An inner
+    # join: Catalyst would move a semi-join below that with the bitmap
     docs = _marked(docs, classes)
     here = (docs["text_hash"] == classes["text_hash"]) & docs["doc_id"].eqNullSafe(classes["doc_id"])
-    sets = docs.join(classes, here, "left_semi").select("text").mapInArrow(run, "id long, elements binary")
+    sets = docs.join(classes.distinct(), here).select("text").mapInArrow(run, "id long, elements binary")
     return sets.groupBy("id").agg(F.first("elements").alias("elements"))
 
 
