@@ -1,8 +1,8 @@
 """KPI metrics over audit records, targets, routing distribution.
 
-Percentiles are exact rank statistics computed from a value histogram
-(distinct latency -> count, running sum) -- the histogram is bounded by the
-number of distinct values, never a global sort of raw rows."""
+Percentiles are exact rank statistics, selected from a value histogram by
+descending into the one range of values that holds the rank -- never a global
+sort, nor a window over all distinct values in one task."""
 
 from __future__ import annotations
 
@@ -27,17 +27,73 @@ def rank_index(n, form: str = "kpi"):
     return F.floor(n * F.lit(0.95))
 
 
+#: Value ranges that one descent counts.
+RANGES = 4096
+
+
+def _beside(df: DataFrame, one: DataFrame, grouped: bool) -> DataFrame:
+    """``df`` with the columns of ``one``, which holds one row a group (a
+    single row, read by a scalar subquery, if there are no groups)."""
+    if grouped:
+        return df.join(one, "_g")
+    names = one.columns
+    return (df.withColumn("_one", one.select(F.struct(*names)).scalar())
+            .select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in names]))
+
+
+def _descend(hist: DataFrame, grouped: bool, ranges: int) -> DataFrame:
+    """Keep, of each group's (value, count) rows, those of the one range of
+    values that holds the row of rank ``_k``, and lower ``_k`` by the rows
+    below that range.
+
+    The span from smallest to largest value is cut into ``ranges`` equal
+    ranges; the range number never falls as the value grows, so the result is
+    exact whatever the distribution. Counting is a combined aggregate; what is
+    folded in one place is at most ``ranges`` counts a group."""
+    g = ["_g"] if grouped else []
+    span = hist.groupBy(*g).agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
+    at = (F.col("_v").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges
+    # not a number: the span is infinite or holds NaN (the last range), or is one value (the first)
+    number = (F.when(F.col("_lo") == F.col("_hi"), 0).when(F.isnan(at), ranges - 1)
+              .otherwise(F.least(F.lit(ranges - 1), F.floor(at))).cast("int"))
+    cut = _beside(hist, span, grouped).withColumn("_range", number)
+    counts = cut.groupBy(*g, "_range").agg(F.sum("_c").alias("_n"), F.max("_k").alias("_k"))
+    held = counts.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_range", "_n"))).alias("_all"), F.max("_k").alias("_k"))
+    found = F.aggregate(
+        "_all", F.struct(F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("int").alias("hit")),
+        lambda s, x: F.when(s["hit"].isNotNull(), s)
+        .when(s["below"] + x["_n"] >= F.col("_k"), F.struct(s["below"].alias("below"), x["_range"].alias("hit")))
+        .otherwise(F.struct((s["below"] + x["_n"]).alias("below"), s["hit"].alias("hit"))))
+    pick = held.select(*g, found.alias("_f")).select(*g, F.col("_f.hit").alias("_hit"), F.col("_f.below").alias("_below"))
+    return (_beside(cut, pick, grouped).filter(F.col("_range") == F.col("_hit"))
+            .select(*g, "_v", "_c", (F.col("_k") - F.col("_below")).alias("_k")))
+
+
 def percentile_by_rank(df: DataFrame, value_col: str, group_cols=(), form: str = "kpi",
-                       out_col: str = "p95") -> DataFrame:
-    """Exact value at the rank given by ``rank_index`` within each group."""
+                       out_col: str = "p95", ranges: int = RANGES, descents: int = 2) -> DataFrame:
+    """Exact value at the rank given by ``rank_index`` within each group, by
+    radix selection: the histogram (value -> count) is counted by value range,
+    and only the range that holds the rank is looked into, ``descents`` times.
+    What is then left, one range out of ``ranges ** descents``, is put in
+    order. Null values rank first, as in an ascending sort. One row with null
+    if there are no rows and no groups."""
     g = list(group_cols)
-    hist = df.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_c"))
-    w_cum = Window.partitionBy(*g).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*g)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(w_cum))
-            .withColumn("_n", F.sum("_c").over(w_all)))
-    hit = hist.filter(F.col("_cum") >= rank_index(F.col("_n"), form) + 1)
-    return hit.groupBy(*g).agg(F.min(value_col).alias(out_col))
+    grouped = bool(g)
+    key = [F.struct(*g).alias("_g")] if grouped else []
+    gk = ["_g"] if grouped else []
+    hist = df.select(*key, F.col(value_col).alias("_v")).groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    rank = hist.groupBy(*gk).agg((rank_index(F.sum("_c"), form) + 1).cast("bigint").alias("_k"), F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("_nulls"))
+    # nulls come first: past them, the rank is that among the values
+    left = (_beside(hist.filter(F.col("_v").isNotNull()), rank, grouped)
+            .filter(F.col("_k") > F.col("_nulls")).select(*gk, "_v", "_c", (F.col("_k") - F.col("_nulls")).alias("_k")))
+    for _ in range(descents):
+        left = _descend(left, grouped, ranges)
+    w = Window.partitionBy(*gk, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = left.withColumn("_cum", F.sum("_c").over(w)).filter(F.col("_cum") >= F.col("_k"))
+    if not grouped:
+        return hit.agg(F.min("_v").alias(out_col))
+    hit = hit.groupBy("_g").agg(F.min("_v").alias(out_col))
+    return rank.select("_g").join(hit, "_g", "left").select("_g.*", out_col)
 
 
 def kpi_metrics(audit: DataFrame, group_cols=()) -> DataFrame:

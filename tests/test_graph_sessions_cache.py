@@ -1,6 +1,9 @@
 """Reference graph, sessions and cache on hand-made rows."""
 
 import datetime as dt
+import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -93,3 +96,37 @@ def test_p95_forms(spark):
         df = spark.createDataFrame([(i,) for i in range(1, n + 1)], "v long")
         assert kpi.percentile_by_rank(df, "v", (), "kpi").first()["p95"] == kpi_pos
         assert kpi.percentile_by_rank(df, "v", (), "suite").first()["p95"] == suite_pos
+
+
+def test_percentile_by_rank_equals_sorting(spark):
+    rng = random.Random(4)
+    values = ([rng.gauss(0, 1) for _ in range(300)] + [0.5] * 200 + [1e300, -1e300, float("inf"), -2.0]
+              + [10.0 ** rng.randint(-8, 8) for _ in range(200)])
+    rows = ([("a", v) for v in values] + [("b", float(i)) for i in range(1, 21)] + [(None, 7.0), (None, 8.0)]
+            + [("nulls", None)] * 3 + [("half", None), ("half", 1.0), ("half", 2.0)])
+    df = spark.createDataFrame(rows, "g string, v double")
+
+    def brute(vs, form):
+        vs = sorted(vs, key=lambda v: (v is not None, v if v is not None else 0.0))
+        at = max(0, int(0.95 * len(vs)) - 1) if form == "kpi" else math.floor(0.95 * len(vs))
+        return vs[at]
+
+    for form in ("kpi", "suite"):
+        for ranges, descents in ((4096, 2), (4, 3), (2, 1)):
+            got = {r["g"]: r["p95"] for r in kpi.percentile_by_rank(df, "v", ["g"], form, ranges=ranges, descents=descents).collect()}
+            assert got == {g: brute([v for k, v in rows if k == g], form) for g in ("a", "b", None, "nulls", "half")}
+            one = kpi.percentile_by_rank(df.filter("g = 'a'"), "v", (), form, ranges=ranges, descents=descents).collect()
+            assert [r["p95"] for r in one] == [brute(values, form)]
+    big = [2 ** 60 + i for i in range(100)]
+    whole = spark.createDataFrame([(v,) for v in big], "v long")
+    assert kpi.percentile_by_rank(whole, "v", ()).first()["p95"] == big[94]
+    empty = whole.limit(0)
+    assert [r["p95"] for r in kpi.percentile_by_rank(empty, "v", ()).collect()] == [None]
+    assert kpi.percentile_by_rank(empty, "v", ["v"]).count() == 0
+
+
+def test_percentile_has_no_window_over_one_partition(spark):
+    df = spark.range(1000).selectExpr("id * 7 % 997 as v")
+    plan = kpi.percentile_by_rank(df, "v", ())._jdf.queryExecution().executedPlan().toString()
+    below = [plan[m.start():].split("\n")[:4] for m in re.finditer(r"\bWindow \[", plan)]
+    assert below and not any("SinglePartition" in line for lines in below for line in lines)

@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from convsearch.operators import kpi
 from convsearch.operators import sessions as SES
 from convsearch.plans import views as V
 from convsearch.sources import audit as AUD
@@ -122,7 +123,15 @@ def test_kpi_stream_and_audit_stream_sink(spark, tmp):
          .trigger(availableNow=True).start())
     q.awaitTermination(300)
     q.stop()
-    assert spark.sql("select * from kpi_out").count() >= 1
+    got = {r["date"]: r.asDict() for r in spark.sql("select * from kpi_out").collect()}
+    a = spark.read.parquet(f"{tmp}/a").withColumn("date", F.to_date("timestamp"))
+    want = {r["date"]: r.asDict() for r in kpi.kpi_metrics(a, ["date"]).collect()}
+    # all days but those that the watermark, one day behind, has not passed
+    newest = max(want)
+    assert set(want) - set(got) <= {newest, newest - dt.timedelta(days=1)} and len(got) > 3
+    for day, row in got.items():
+        assert row["p95_latency_ms"] == want[day]["p95_latency_ms"] and row["total_queries"] == want[day]["total_queries"]
+        assert all(abs(row[c] - want[day][c]) <= 1e-4 + (c == "avg_latency_ms") * 0.1 for c in row if c != "date")
     s = jobs.audit_sink(spark.readStream.schema(schema).parquet(f"{tmp}/a"), f"{tmp}/audit_out", f"{tmp}/ck4")
     s.awaitTermination(300)
     s.stop()
