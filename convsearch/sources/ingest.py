@@ -3,7 +3,7 @@ quarantine with a reason), and landing of uploaded documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -46,17 +46,31 @@ def validate_uploads(up: DataFrame, domains=C.DOMAINS, allowed=C.ALLOWED_DOC_EXT
             .withColumn("reject_reason", reason).withColumn("valid", F.col("reject_reason").isNull()))
 
 
-def landing_names(valid: DataFrame, existing: DataFrame) -> DataFrame:
-    """Final file names: a name already present in the domain folder (or
-    uploaded earlier in the batch) gets ``{stem}_{8 hex}{ext}``; the hex is
-    derived from a uuid so names are unique."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("domain", "safe_name").orderBy(F.monotonically_increasing_id())
-    v = valid.withColumn("_dup", F.row_number().over(w) > 1)
-    ex = existing.select("domain", F.col("name").alias("safe_name")).withColumn("_exists", F.lit(True))
-    v = v.join(ex, ["domain", "safe_name"], "left")
+def landing_names(valid: DataFrame, existing: DataFrame, salt: str = "") -> DataFrame:
+    """``valid`` uploads with ``final_name``: the safe name, or
+    ``{stem}_{8 hex}{ext}`` if the domain has a file of that name
+    (``existing(domain, name)``) or another upload of the batch takes it.
+
+    The hex digits hash ``salt`` (a batch's own name), the upload's domain,
+    name and content, and its place among uploads equal in name, so a batch
+    that is repeated gets the same names; 32 digits where 8 would meet a name
+    that is taken. Of uploads equal in name, the one whose content hash is
+    smallest comes first."""
+    rows = valid.withColumn("_sha", F.sha2(F.coalesce("content", F.lit("")), 256))
+    w = Window.partitionBy("domain", "safe_name").orderBy("_sha")
+    rows = rows.withColumn("_at", F.row_number().over(w))
+    taken = existing.select("domain", F.col("name").alias("_name")).distinct().withColumn("_taken", F.lit(True))
+
+    def clash(df: DataFrame, name: str) -> DataFrame:
+        t = taken.withColumnRenamed("_name", name)
+        return df.join(t, ["domain", name], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+
+    rows = clash(rows, "safe_name").withColumn("_new", F.col("_taken") | (F.col("_at") > 1)).drop("_taken")
     stem = F.expr("substring(safe_name, 1, char_length(safe_name) - char_length(ext))")
-    clash = F.coalesce("_exists", F.lit(False)) | F.col("_dup")
-    final = F.when(clash, F.concat(stem, F.lit("_"), F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, 8),
-                                   F.col("ext"))).otherwise(F.col("safe_name"))
-    return v.withColumn("final_name", final).drop("_dup", "_exists")
+    suffix = F.expr("right(safe_name, char_length(ext))")
+    digest = F.sha2(F.concat_ws("/", F.lit(salt), "domain", "safe_name", "_sha", F.col("_at").cast("string")), 256)
+    rows = rows.withColumn("_short", F.when(F.col("_new"), F.concat(stem, F.lit("_"), F.substring(digest, 1, 8), suffix)).otherwise(F.col("safe_name")))
+    rows = clash(rows, "_short").withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy("domain", "_short")))
+    final = F.when(F.col("_new") & (F.col("_taken") | (F.col("_many") > 1)),
+                   F.concat(stem, F.lit("_"), F.substring(digest, 1, 32), suffix)).otherwise(F.col("_short"))
+    return rows.withColumn("final_name", final).drop("_sha", "_at", "_new", "_short", "_taken", "_many")

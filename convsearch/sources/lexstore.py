@@ -48,6 +48,8 @@ class LexicalStore:
     """The index below ``root``, a folder that the whole cluster shares. Each
     term's ``champions`` heaviest postings are kept apart, for thresholds."""
 
+    schemas = SCHEMAS
+
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16, champions: int = 32):
         self.spark, self.root, self.buckets, self.champions = spark, root.rstrip("/"), buckets, champions
 
@@ -65,6 +67,11 @@ class LexicalStore:
 
     def live(self) -> dict[str, str]:
         """domain -> version of the last commit."""
+        return {d: v for d, v in self._state().items() if not d.startswith("/")}
+
+    def _state(self) -> dict:
+        """All that the last commit holds: versions of domains, and marks,
+        whose names begin with a slash."""
         if not (n := self._last()):
             return {}
         fs, p = self._at(f"{self.root}/manifest/{n:012d}.json")
@@ -74,14 +81,14 @@ class LexicalStore:
         finally:
             stream.close()
 
-    def commit(self, version: str, domains: Iterable[str], gone: Iterable[str] = ()) -> None:
+    def commit(self, version: str, domains: Iterable[str], gone: Iterable[str] = (), marks: dict | None = None) -> None:
         """From now on ``version`` is read for ``domains``, and none for those
-        that are ``gone``."""
+        that are ``gone``; ``marks`` are kept beside them, in the same commit."""
         domains, gone = list(domains), set(gone)
         jvm = self.spark._jvm
         while True:
             n = self._last() + 1
-            text = json.dumps({d: v for d, v in {**self.live(), **dict.fromkeys(domains, version)}.items() if d not in gone})
+            text = json.dumps({d: v for d, v in {**self._state(), **dict.fromkeys(domains, version), **(marks or {})}.items() if d not in gone})
             fs, draft = self._at(f"{self.root}/manifest/.{uuid.uuid4().hex}")
             out = fs.create(draft)
             out.write(bytearray(text.encode()))
@@ -101,7 +108,7 @@ class LexicalStore:
         """Delete the versions that the last manifest does not name; not to be
         run beside a build or a search that began before the last commit."""
         live, old = set(self.live().values()), set()
-        for table in SCHEMAS:
+        for table in self.schemas:
             for name in self._names(table):
                 if name.startswith("v=") and name[2:] not in live:
                     fs, p = self._at(f"{self.root}/{table}/{name}")
@@ -112,7 +119,7 @@ class LexicalStore:
     # ---------------------------------------------------------------- tables
     def _read(self, table: str, versions: Iterable[str]) -> DataFrame:
         base = f"{self.root}/{table}"
-        return self.spark.read.schema(SCHEMAS[table]).option("basePath", base).parquet(*[f"{base}/v={v}" for v in sorted(set(versions))])
+        return self.spark.read.schema(self.schemas[table]).option("basePath", base).parquet(*[f"{base}/v={v}" for v in sorted(set(versions))])
 
     def table(self, name: str, domains: Iterable[str] | None = None) -> DataFrame:
         """The live rows of a table; only folders of live versions (and, if
@@ -120,7 +127,7 @@ class LexicalStore:
         live = self.live()
         wanted = {d: v for d, v in live.items() if domains is None or d in set(domains)}
         if not wanted:
-            return self.spark.createDataFrame([], SCHEMAS[name]).drop("v")
+            return self.spark.createDataFrame([], self.schemas[name]).drop("v")
         by: dict[str, list[str]] = {}
         for d, v in wanted.items():
             by.setdefault(v, []).append(d)
@@ -136,8 +143,16 @@ class LexicalStore:
     def build(self, chunks: DataFrame, text_col: str = "content", domains: Iterable[str] | None = None) -> str:
         """Index ``chunks`` (domain, chunk_id, source, text) anew and commit:
         all domains that they hold, and of ``domains`` those without a chunk as
-        empty. The texts are read twice, for the lengths and for the postings."""
+        empty."""
         v = uuid.uuid4().hex
+        held = self.write(chunks, v, text_col)
+        self.commit(v, held, [d for d in list(domains or []) if d not in held and d in self.live()])
+        return v
+
+    def write(self, chunks: DataFrame, v: str, text_col: str = "content") -> list[str]:
+        """Write the index of ``chunks`` as version ``v``, which nobody reads
+        before a commit; the domains that they hold. The texts are read twice,
+        for the lengths and for the postings."""
         out = lambda t: f"{self.root}/{t}/v={v}"
         chunks = chunks.filter("domain is not null")
         (chunks.select("domain", F.col("chunk_id").cast("long").alias("chunk_id"), "source", fingerprint(text_col, 100).alias("fp"),
@@ -173,10 +188,7 @@ class LexicalStore:
         for name in ("counts", "frequencies", "idf"):
             fs, p = self._at(out(name))
             fs.delete(p, True)
-        held = [r.domain for r in own.select("domain").distinct().collect()]  # one row a domain
-        asked = list(domains or [])
-        self.commit(v, held, [d for d in asked if d not in held and d in self.live()])
-        return v
+        return [r.domain for r in own.select("domain").distinct().collect()]  # one row a domain
 
     def ensure(self, domains: Iterable[str], load: Callable[[list[str]], DataFrame], text_col: str = "content") -> list[str]:
         """Build those of ``domains`` that are missing, from the chunks that

@@ -1,15 +1,19 @@
-"""Streaming jobs: audit log sink, daily KPIs, incremental re-indexing.
+"""Streaming jobs: audit log sink, daily KPIs, incremental re-indexing,
+ingest of uploads into the corpus store.
 
 All take the checkpoint location from the caller (a shared folder on a
 cluster); triggers are the caller's choice (``availableNow`` in tests)."""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunk import chunk_documents
 from ..operators.kpi import rank_index
+from ..sources.corpstore import CorpusStore
 from ..sources.corpus import file_domain, read_corpus, redact_documents, with_doc_id, write_partitioned
 
 
@@ -80,3 +84,23 @@ def reindex_stream(landing_root: str, chunks_path: str, checkpoint: str, trigger
            .select(file_domain().alias("domain")))
     return (src.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def ingest_stream(uploads: DataFrame, store: CorpusStore, checkpoint: str, trigger: dict | None = None, **options):
+    """Stream of uploads(domain, filename, size_bytes, content) into a corpus
+    store: every micro-batch is validated, landed and committed with all
+    derived tables of the domains it touches (``CorpusStore.ingest``, which
+    takes ``options``). The store's ledger goes by the query's id, which stays
+    with the checkpoint, so a micro-batch run again after a failure is added
+    once, and a query with a new checkpoint starts a ledger of its own."""
+    started, running = threading.Event(), []
+
+    def land(batch: DataFrame, epoch_id: int) -> None:
+        started.wait()
+        store.ingest(batch, epoch_id, str(running[0].id), **options)
+
+    q = (uploads.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+         .trigger(**(trigger or {"availableNow": True})).start())
+    running.append(q)
+    started.set()
+    return q
