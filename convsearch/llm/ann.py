@@ -9,9 +9,13 @@ of the remaining columns are normal with deviation |q||x| / sqrt(columns), so a
 vector goes when even ``z`` deviations more would not do. Survivors are scored
 exactly, on the original vectors, in double precision.
 
-The threshold is the score of the k-th best vector of a bounded sample, which
-also fits the centroids (``sample`` vectors, those with the smallest hash of
-their id); the sample's best ones are always among the results.
+The threshold is the score of the k-th best vector of a bounded sample
+(``sample`` vectors, those with the smallest hash of their id); the sample's
+best ones are always among the results. One half of the sample fits the
+centroids. The other half, which they have not seen, says how many lists a
+query probes, at any size of the table: so many that the lists hold the share
+``recall`` of its vectors' nearest ones among themselves. In the whole table
+the nearest are nearer, so there the share is as a rule higher.
 
 Lists and their queries are split into blocks of bounded size, so a list with a
 third of all vectors is the work of many tasks. Every vector is indexed.
@@ -30,7 +34,7 @@ from pyspark.sql import Window
 
 from .common import stored
 
-K, SAMPLE, PROBED, COLUMNS, Z = 20, 4096, 0.65, 16, 3.5
+K, SAMPLE, RECALL, COLUMNS, Z = 20, 4096, 0.95, 16, 3.5
 #: Vectors and queries that one task compares at a time.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
 FOUND = "query_id long, vec_id long, score double"
@@ -55,13 +59,32 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     """k-means on the sample; an empty list keeps its centre."""
     c = x[np.random.default_rng(7).choice(len(x), lists, replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        near = nearest_list(x, c)
         total, n = np.zeros_like(c), np.bincount(near, minlength=lists)
         np.add.at(total, near, x)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
     return c
 
 
+def nearest_list(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+
+
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
+    """How many lists hold the share ``recall`` of the ``k`` nearest vectors
+    of ``x``, averaged over the first ``queries`` of them as queries."""
+    q = x[:queries]
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(c)
+    score = q @ x.T
+    np.fill_diagonal(score, -np.inf)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, nearest_list(x, c)[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
 def scan(q: np.ndarray, x: np.ndarray, least: np.ndarray, turn: np.ndarray, z: float = Z, step: int = COLUMNS):
     """Pairs (query, vector) that no test abandons, of the rows of ``q`` and
     ``x``; ``least`` is each query's threshold."""
@@ -91,7 +114,7 @@ def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarr
     return order[np.arange(len(i)) - first < k]
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int = SAMPLE, probed: float = PROBED) -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors of every vector
     whose id is divisible by ``query_every``, itself excluded."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(
@@ -104,16 +127,16 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int =
     known = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     known_ids = np.array([r["vec_id"] for r in known])
     known_x = np.array([r["v"] for r in known], np.float64)
-    lists = int(min(1024, max(1, np.sqrt(n) / 2), len(known)))
-    centre, turn = centroids(known_x, lists), rotation(dim)
-    probes = lists if n <= sample else max(1, int(np.ceil(probed * lists)))
+    fitted, unseen = known_x[::2], known_x[1::2]
+    centre, turn = centroids(fitted, int(min(1024, max(1, np.sqrt(n) / 2), len(fitted)))), rotation(dim)
+    probes = probes_for(unseen, centre, k, recall)
 
     def assign(batches):
         import pyarrow as pa
 
         for batch in batches:
             x = _matrix(batch.column(1))
-            near = (x @ centre.T - 0.5 * (centre * centre).sum(1)).argmax(1) if len(x) else np.empty(0, np.int64)
+            near = nearest_list(x, centre) if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], names=["vec_id", "v", "list"])
 
     indexed = stored(rows.mapInArrow(assign, "vec_id long, v array<double>, list long"), "index")

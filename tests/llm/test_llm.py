@@ -261,6 +261,26 @@ def test_nearest_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("folder, sample", [("sf0.01", 48), ("sf0.1", 256), ("sf0.1", 1024)])
+def test_nearest_neighbours_recall(spark, folder, sample):
+    """Lists and scan find the neighbours that the sample does not hold."""
+    t = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in t.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    assert sample < len(ids)
+    got = ann.search(t, sample=sample).toPandas()
+    found, total = 0, 0
+    for q, g in got.groupby("query_id"):
+        own = x[ids == q][0]
+        score = x @ own
+        score[ids == q] = -np.inf
+        want = ids[np.lexsort((ids, -score))[:20]]
+        found, total = found + len(set(want) & set(g.vec_id)), total + len(want)
+        assert np.allclose(g.score, [x[ids == v][0] @ own for v in g.vec_id])
+    assert sorted(set(got.query_id)) == sorted(i for i in ids if i % 20 == 0)
+    assert found >= 0.9 * total, found / total
+
+
 def test_toxicity_held_out(spark, edge, empty):
     sf = SF001.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
