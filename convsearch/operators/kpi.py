@@ -41,22 +41,26 @@ def _beside(df: DataFrame, one: DataFrame, grouped: bool) -> DataFrame:
             .select(*df.columns, *[F.col(f"_one.{c}").alias(c) for c in names]))
 
 
-def _descend(hist: DataFrame, grouped: bool, ranges: int) -> DataFrame:
+def _about(rows: DataFrame, rank, grouped: bool) -> DataFrame:
+    """Smallest and largest value and the rank looked for, of each group."""
+    return rows.groupBy(*["_g"] * grouped).agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"), rank.alias("_k"))
+
+
+def _descend(hist: DataFrame, about: DataFrame, grouped: bool, ranges: int) -> DataFrame:
     """Keep, of each group's (value, count) rows, those of the one range of
-    values that holds the row of rank ``_k``, and lower ``_k`` by the rows
-    below that range.
+    values that holds the row of the rank looked for, with that rank ``_k``
+    less the rows below that range.
 
     The span from smallest to largest value is cut into ``ranges`` equal
     ranges; the range number never falls as the value grows, so the result is
     exact whatever the distribution. Counting is a combined aggregate; what is
     folded in one place is at most ``ranges`` counts a group."""
     g = ["_g"] if grouped else []
-    span = hist.groupBy(*g).agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"))
     at = (F.col("_v").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges
     # not a number: the span is infinite or holds NaN (the last range), or is one value (the first)
     number = (F.when(F.col("_lo") == F.col("_hi"), 0).when(F.isnan(at), ranges - 1)
               .otherwise(F.least(F.lit(ranges - 1), F.floor(at))).cast("int"))
-    cut = _beside(hist, span, grouped).withColumn("_range", number)
+    cut = _beside(hist, about, grouped).filter(F.col("_k") > 0).withColumn("_range", number)
     counts = cut.groupBy(*g, "_range").agg(F.sum("_c").alias("_n"), F.max("_k").alias("_k"))
     held = counts.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("_range", "_n"))).alias("_all"), F.max("_k").alias("_k"))
     found = F.aggregate(
@@ -70,30 +74,35 @@ def _descend(hist: DataFrame, grouped: bool, ranges: int) -> DataFrame:
 
 
 def percentile_by_rank(df: DataFrame, value_col: str, group_cols=(), form: str = "kpi",
-                       out_col: str = "p95", ranges: int = RANGES, descents: int = 2) -> DataFrame:
+                       out_col: str = "p95", ranges: int = RANGES, descents: int = 1) -> DataFrame:
     """Exact value at the rank given by ``rank_index`` within each group, by
     radix selection: the histogram (value -> count) is counted by value range,
     and only the range that holds the rank is looked into, ``descents`` times.
     What is then left, one range out of ``ranges ** descents``, is put in
-    order. Null values rank first, as in an ascending sort. One row with null
+    order. Each descent reads the histogram four times as often, so take more
+    than one only where a few far values stretch the span over many others. Null values rank first, as in an ascending sort. One row with null
     if there are no rows and no groups."""
     g = list(group_cols)
     grouped = bool(g)
     key = [F.struct(*g).alias("_g")] if grouped else []
     gk = ["_g"] if grouped else []
     hist = df.select(*key, F.col(value_col).alias("_v")).groupBy(*gk, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    rank = hist.groupBy(*gk).agg((rank_index(F.sum("_c"), form) + 1).cast("bigint").alias("_k"), F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("_nulls"))
     # nulls come first: past them, the rank is that among the values
-    left = (_beside(hist.filter(F.col("_v").isNotNull()), rank, grouped)
-            .filter(F.col("_k") > F.col("_nulls")).select(*gk, "_v", "_c", (F.col("_k") - F.col("_nulls")).alias("_k")))
-    for _ in range(descents):
-        left = _descend(left, grouped, ranges)
+    nulls = F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0))
+    first = about = _about(hist, (rank_index(F.sum("_c"), form) + 1 - nulls).cast("bigint"), grouped)
+    left = hist.filter(F.col("_v").isNotNull())
+    for i in range(descents):
+        if i:
+            about, left = _about(left, F.max("_k"), grouped), left.drop("_k")
+        left = _descend(left, about, grouped, ranges)
+    if not descents:
+        left = _beside(left, about, grouped).filter(F.col("_k") > 0)
     w = Window.partitionBy(*gk, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hit = left.withColumn("_cum", F.sum("_c").over(w)).filter(F.col("_cum") >= F.col("_k"))
     if not grouped:
         return hit.agg(F.min("_v").alias(out_col))
     hit = hit.groupBy("_g").agg(F.min("_v").alias(out_col))
-    return rank.select("_g").join(hit, "_g", "left").select("_g.*", out_col)
+    return first.select("_g").join(hit, "_g", "left").select("_g.*", out_col)
 
 
 def kpi_metrics(audit: DataFrame, group_cols=()) -> DataFrame:
