@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by inner product: adaptive dimension scan.
 
 Method: vectors are dealt to the lists of nearest centroids. A query probes the
-lists whose centroids are nearest to it. Within a list, vectors and queries are
-rotated by a random orthogonal matrix and scanned in blocks of columns: after
-each block a hypothesis test abandons the vectors whose partial inner product
-is too small to reach the query's threshold. In a random direction the products
-of the remaining columns are normal with deviation |q||x| / sqrt(columns), so a
-vector goes when even ``z`` deviations more would not do. Survivors are scored
-exactly, on the original vectors, in double precision.
+lists whose centroids are nearest to it. Within a list, the centroid is taken
+from the vectors, and what is left of them and the queries are rotated by a
+random orthogonal matrix and scanned in blocks of columns: after each block a
+hypothesis test abandons the vectors whose partial inner product is too small
+for the query's threshold. Of a product s of vectors with lengths a and b, d of D
+randomly rotated columns hold s d / D, with a deviation of at most
+a b sqrt(2 d (D - d) / D^3); a vector goes when its part is more than ``z``
+deviations below that share of the threshold, or when the rest of it could not
+reach the threshold in any direction. Survivors are scored exactly, on the
+original vectors, in double precision.
 
 The threshold is the score of the k-th best vector of a bounded sample
 (``sample`` vectors, those with the smallest hash of their id); the sample's
 best ones are always among the results. One half of the sample fits the
-centroids. The other half, which they have not seen, says how many lists a
-query probes, at any size of the table: so many that the lists hold the share
-``recall`` of its vectors' nearest ones among themselves. In the whole table
-the nearest are nearer, so there the share is as a rule higher.
+centroids. How many lists a query probes is measured on the whole table: a
+bounded sample of the queries is compared with every vector, and a query probes
+so many lists that these hold the share ``recall`` of the true nearest.
 
 Lists and their queries are split into blocks of bounded size, so a list with a
 third of all vectors is the work of many tasks. Every vector is indexed.
@@ -37,6 +39,10 @@ from .common import stored
 K, SAMPLE, RECALL, COLUMNS, Z = 20, 4096, 0.95, 16, 3.5
 #: Vectors and queries that one task compares at a time.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Pairs of them whose columns are gathered at a time.
+PAIRS = 262_144
+#: Queries that say how many lists are probed.
+TRIED = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -70,19 +76,43 @@ def nearest_list(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
 
 
-def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
-    """How many lists hold the share ``recall`` of the ``k`` nearest vectors
-    of ``x``, averaged over the first ``queries`` of them as queries."""
-    q = x[:queries]
-    k = min(k, len(x) - 1)
-    if k < 1:
+def nearest_of_all(indexed: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """asked, list: the lists of the ``k`` true nearest of each row of ``q``
+    among all vectors; ``ids`` are their own ids, ``asked`` their places."""
+
+    def compare(batches):
+        import pyarrow as pa
+
+        i, score, near, lists = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        least = np.full(len(q), -np.inf)
+        for batch in batches:
+            for piece in (batch.slice(a, VECTOR_BLOCK) for a in range(0, batch.num_rows, VECTOR_BLOCK)):
+                own, x, to = piece.column(0).to_numpy(), _matrix(piece.column(1)), piece.column(2).to_numpy()
+                all_scores = q @ x.T
+                all_scores[ids[:, None] == own[None, :]] = -np.inf
+                a, b = np.nonzero((all_scores >= least[:, None]) & (all_scores > -np.inf))
+                i, score, near, lists = np.append(i, a), np.append(score, all_scores[a, b]), np.append(near, own[b]), np.append(lists, to[b])
+                best = _best(i, near, score, k)
+                i, score, near, lists = i[best], score[best], near[best], lists[best]
+                many = np.bincount(i, minlength=len(q))
+                lowest = np.full(len(q), np.inf)
+                np.minimum.at(lowest, i, score)
+                least = np.where(many >= k, lowest, -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(score), pa.array(near), pa.array(lists)], names=["asked", "score", "vec_id", "list"])
+
+    found = indexed.select("vec_id", "v", "list").mapInArrow(compare, "asked long, score double, vec_id long, list long")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("_r", rank).filter(F.col("_r") <= k).select("asked", "list")
+
+
+def probes_for(q: np.ndarray, c: np.ndarray, asked: np.ndarray, lists: np.ndarray, recall: float) -> int:
+    """How many lists hold the share ``recall`` of the nearest vectors: those
+    of row ``asked[i]`` of ``q`` lie in ``lists[i]``."""
+    if not len(asked):
         return len(c)
-    score = q @ x.T
-    np.fill_diagonal(score, -np.inf)
-    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
     place = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
-    needed = np.sort(np.take_along_axis(place, nearest_list(x, c)[near], 1).ravel())
-    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    needed = np.sort(place[asked, lists])
+    return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1
 
 
 def scan(q: np.ndarray, x: np.ndarray, least: np.ndarray, turn: np.ndarray, z: float = Z, step: int = COLUMNS):
@@ -91,19 +121,31 @@ def scan(q: np.ndarray, x: np.ndarray, least: np.ndarray, turn: np.ndarray, z: f
     rq, rx = q @ turn, x @ turn
     tail = lambda m: np.sqrt(np.maximum(0, np.cumsum((m * m)[:, ::-1], 1)[:, ::-1]))
     tq, tx, dim = tail(rq), tail(rx), q.shape[1]
-    part = rq[:, :step] @ rx[:, :step].T
-    if step < dim:
-        i, j = np.nonzero(part + z / np.sqrt(dim - step) * np.outer(tq[:, step], tx[:, step]) >= least[:, None])
-    else:
-        i, j = np.nonzero(part >= least[:, None] - 1e-9)
-    part = part[i, j]
-    for at in range(step, dim, step):
-        end = min(dim, at + step)
-        part = part + np.einsum("ij,ij->i", rq[i, at:end], rx[j, at:end])
-        slack = z / np.sqrt(dim - end) * tq[i, end] * tx[j, end] if end < dim else 1e-9
-        keep = part + slack >= least[i]
-        i, j, part = i[keep], j[keep], part[keep]
-    return i, j
+
+    def lacks(part, least, end, a, b, left):
+        """What the part of the first ``end`` columns has to reach."""
+        slack = 1e-9 * (1 + a * b)
+        if end >= dim:
+            return part < least - slack
+        sure = part + left < least - slack
+        return sure | (part < least * end / dim - z * a * b * np.sqrt(2 * end * (dim - end) / dim**3) - slack)
+
+    first, found = min(step, dim), []
+    # equal vectors may leave all pairs: so many queries at a time as bound them
+    many = max(1, PAIRS // max(1, len(x)))
+    for own in (np.arange(a, min(len(q), a + many)) for a in range(0, len(q), many)):
+        part = rq[own, :first] @ rx[:, :first].T
+        left = np.outer(tq[own, first], tx[:, first]) if first < dim else 0.0
+        i, j = np.nonzero(~lacks(part, least[own, None], first, tq[own, :1], tx[:, 0], left))
+        part, i = part[i, j], own[i]
+        for at in range(step, dim, step):
+            end = min(dim, at + step)
+            part = part + np.einsum("ij,ij->i", rq[i, at:end], rx[j, at:end])
+            left = tq[i, end] * tx[j, end] if end < dim else 0.0
+            keep = ~lacks(part, least[i], end, tq[i, 0], tx[j, 0], left)
+            i, j, part = i[keep], j[keep], part[keep]
+        found.append((i, j))
+    return tuple(np.concatenate(both) for both in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -127,9 +169,8 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int =
     known = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     known_ids = np.array([r["vec_id"] for r in known])
     known_x = np.array([r["v"] for r in known], np.float64)
-    fitted, unseen = known_x[::2], known_x[1::2]
+    fitted = known_x[::2]
     centre, turn = centroids(fitted, int(min(1024, max(1, np.sqrt(n) / 2), len(fitted)))), rotation(dim)
-    probes = probes_for(unseen, centre, k, recall)
 
     def assign(batches):
         import pyarrow as pa
@@ -140,6 +181,11 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], names=["vec_id", "v", "list"])
 
     indexed = stored(rows.mapInArrow(assign, "vec_id long, v array<double>, list long"), "index")
+    asking = indexed.filter(F.pmod("vec_id", F.lit(query_every)) == 0)
+    tried = asking.orderBy(F.xxhash64("vec_id", F.lit("tried")), "vec_id").limit(TRIED).collect()
+    tried_x = np.array([r["v"] for r in tried], np.float64).reshape(len(tried), -1)
+    truth = nearest_of_all(indexed, np.array([r["vec_id"] for r in tried], np.int64), tried_x, k).collect() if tried else []
+    probes = probes_for(tried_x, centre, np.array([r["asked"] for r in truth], np.int64), np.array([r["list"] for r in truth], np.int64), recall)
 
     def start(batches):
         """Each query's threshold, its best of the sample and its lists."""
@@ -152,13 +198,13 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int =
                 score[ids[:, None] == known_ids[None, :]] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 value = np.take_along_axis(score, top, 1)
-                least = value[:, -1] - 1e-9 if top.shape[1] == k else np.full(len(q), -np.inf)
+                least = value[:, -1] - 1e-9 * (1 + np.abs(value[:, -1])) if top.shape[1] == k else np.full(len(q), -np.inf)
                 to = np.argsort(-(q @ centre.T), axis=1, kind="stable")[:, :probes]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(least), pa.array(to.tolist(), pa.list_(pa.int64())), pa.array(known_ids[top].tolist(), pa.list_(pa.int64()))],
                     names=["query_id", "q", "least", "lists", "sampled"])
 
-    queries = stored(indexed.filter(F.pmod("vec_id", F.lit(query_every)) == 0).select("vec_id", "v").mapInArrow(
+    queries = stored(asking.select("vec_id", "v").mapInArrow(
         start, "query_id long, q array<double>, least double, lists array<long>, sampled array<long>"), "queries")
     asked = queries.select("query_id", "q", "least", F.explode("lists").alias("list"))
 
@@ -179,10 +225,11 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = K, sample: int =
             return empty
         x, q = _matrix(found.column("v")), _matrix(wanted.column("q"))
         ids, asking = found.column("vec_id").to_numpy(), wanted.column("query_id").to_numpy()
-        i, j = scan(q, x, wanted.column("least").to_numpy(), turn)
+        middle = centre[found.column("list")[0].as_py()]
+        i, j = scan(q, x - middle, wanted.column("least").to_numpy() - q @ middle, turn)
         other = ids[j] != asking[i]
         i, j = i[other], j[other]
-        score = np.einsum("ij,ij->i", q[i], x[j])
+        score = np.concatenate([np.einsum("ij,ij->i", q[i[a:a + PAIRS]], x[j[a:a + PAIRS]]) for a in range(0, len(i), PAIRS)] or [np.empty(0)])
         best = _best(i, ids[j], score, k)
         return pa.table({"query_id": asking[i[best]], "vec_id": ids[j[best]], "score": score[best]})
 

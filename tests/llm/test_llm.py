@@ -281,6 +281,34 @@ def test_nearest_neighbours_recall(spark, folder, sample):
     assert found >= 0.9 * total, found / total
 
 
+@pytest.mark.parametrize("kind", ["clusters", "lengths", "outliers", "one direction", "copies"])
+def test_nearest_neighbours_recall_of_other_rows(spark, kind):
+    """Neither clustered vectors nor some much longer ones are missed."""
+    rng = np.random.default_rng(5)
+    n, dim = 3000, 48
+    x = rng.normal(size=(n, dim))
+    if kind in ("clusters", "outliers"):
+        centre = rng.normal(size=(20, dim))
+        x = centre[rng.integers(0, 20, n)] + 0.1 * x
+    if kind == "lengths":
+        x *= np.exp(1.5 * rng.normal(size=(n, 1)))
+    if kind == "outliers":
+        x[::300] = 10 * rng.normal(size=(10, dim))
+    if kind == "one direction":
+        x += 4 * np.sqrt(dim) * rng.normal(size=dim) / np.sqrt(dim)
+    if kind == "copies":
+        x[rng.random(n) < 0.3] = x[0]
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), sample=256).toPandas()
+    found = 0
+    for q, g in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        found += min(20, int((g.score >= np.sort(score)[-20] - 1e-9).sum()))
+        assert len(g) == 20 and np.allclose(g.score, score[g.vec_id])
+    assert sorted(set(got.query_id)) == list(range(0, n, 20))
+    assert found >= 0.9 * 20 * n / 20, found
+
+
 def test_toxicity_held_out(spark, edge, empty):
     sf = SF001.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
