@@ -130,3 +130,19 @@ def test_percentile_has_no_window_over_one_partition(spark):
     plan = kpi.percentile_by_rank(df, "v", ())._jdf.queryExecution().executedPlan().toString()
     below = [plan[m.start():].split("\n")[:4] for m in re.finditer(r"\bWindow \[", plan)]
     assert below and not any("SinglePartition" in line for lines in below for line in lines)
+
+
+def test_edges_are_made_once_and_counted_without_them(spark):
+    """Equal to all pairs that share a word; no pair of chunks is aggregated."""
+    texts = ["see section 3", "Section 3 rules", "see section 3", "nothing here", "see policy x.", "policy x. see", "refer to the late fee policy"]
+    rows = [(d, 10 * i + k, "s", t) for i, d in enumerate(("a", "b")) for k, t in enumerate(texts)] + [("a", 0, "s", "see clause 9"), (None, 99, "s", "see section 3")]
+    g = refgraph.build_graph(spark.createDataFrame(rows, "domain string, chunk_id long, source string, content string"))
+    refs, words = [(r.domain, r.chunk_id, r.word) for r in g.node_refs.collect()], [(r.domain, r.chunk_id, r.word) for r in g.node_words.collect()]
+    want = {(d, i, j) for d, i, w in refs for e, j, v in words if d is not None and d == e and w == v and i != j}
+    edges = refgraph.reference_edges(g)
+    got = [(r.domain, r.src, r.dst) for r in edges.collect()]
+    assert want and len(got) == len(want) and set(got) == want
+    assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {d: sum(r[0] == d for r in rows) for d in ("a", "b", None)}
+    stats = {r.domain: (r.nodes, r.edges) for r in refgraph.graph_stats(g).collect()}
+    assert stats == {d: (n, sum(e[0] == d for e in want)) for d, n in nodes.items()}
