@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..spark import cut_lineage, maybe_broadcast
 
 # --- fixed values: seed texts added to the vocabulary fit ---
 TFIDF_SEED = (
@@ -40,26 +41,48 @@ def word_tokens(text) -> F.Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_RUN2), 0)
 
 
-def _grams(docs: DataFrame, text_col: str) -> DataFrame:
-    """(doc_key, term) rows: unigrams, then bigrams of consecutive tokens.
-    Bigrams come from exploding ``arrays_zip`` of the shifted token arrays,
-    so the pair concatenation is an ordinary codegen'd expression."""
-    toks = docs.select("doc_key", word_tokens(text_col).alias("toks"))
-    # explode_outer + null filters: no inferred filter on the token array is
-    # pushed below the rebalance (which would run the regex twice)
-    uni = toks.select("doc_key", F.explode_outer("toks").alias("term")).filter(F.col("term").isNotNull())
+def _gram_arrays(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc_key, grams): all unigrams and bigrams of consecutive tokens of each
+    row. explode_outer of a one-element array makes a column that is computed
+    once and not inlined where it is used."""
+    toks = docs.select("doc_key", F.explode_outer(F.array(word_tokens(text_col))).alias("toks"))
     n = F.greatest(F.size("toks") - 1, F.lit(0))
-    pairs = toks.select(
-        "doc_key", F.explode_outer(F.arrays_zip(F.slice("toks", 1, n).alias("a"), F.slice("toks", 2, n).alias("b"))).alias("p"))
-    bi = (pairs.filter(F.col("p").isNotNull())
-          .select("doc_key", F.concat_ws(" ", F.col("p.a"), F.col("p.b")).alias("term")))
-    return uni.unionByName(bi)
+    pairs = F.zip_with(F.slice("toks", 1, n), F.slice("toks", 2, n), lambda a, b: F.concat_ws(" ", a, b))
+    return toks.select("doc_key", F.explode_outer(F.array(F.concat("toks", pairs))).alias("grams"))
+
+
+def _grams(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc_key, term) rows: unigrams and bigrams."""
+    # explode_outer + null filter: no inferred filter on the array is pushed
+    # below the rebalance (which would run the regex twice)
+    return (_gram_arrays(docs, text_col).select("doc_key", F.explode_outer("grams").alias("term"))
+            .filter(F.col("term").isNotNull()))
+
+
+def _term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, total, df): occurrences, and documents (``doc_key``) that hold
+    the term. A document of one row counts a term once by the row's distinct
+    terms, so only terms are shuffled, combined map-side; pairs of document and
+    term are grouped for keys that come more than once."""
+    again = docs.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_key").alias("again"))
+    again = cut_lineage(again)
+    repeated = again.limit(1).count() > 0
+    single = docs.join(maybe_broadcast(again), F.col("doc_key").eqNullSafe(F.col("again")), "left_anti") if repeated else docs
+    both = F.array(F.struct(F.col("grams").alias("g"), F.lit(1).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("df")),
+                   F.struct(F.array_distinct("grams").alias("g"), F.lit(0).cast("bigint").alias("total"), F.lit(1).cast("bigint").alias("df")))
+    rows = (_gram_arrays(single, text_col).select(F.explode_outer(both).alias("b"))
+            .select(F.explode_outer("b.g").alias("term"), F.col("b.total").alias("total"), F.col("b.df").alias("df")).filter(F.col("term").isNotNull()))
+    if repeated:
+        more = docs.join(maybe_broadcast(again), F.col("doc_key").eqNullSafe(F.col("again")), "left_semi")
+        rows = rows.unionByName(_grams(more, text_col).groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("total"))
+                                .select("term", "total", F.lit(1).cast("bigint").alias("df")))
+    return rows.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def fit_vocab(corpus: DataFrame, text_col: str = "content", key_col: str = "chunk_id",
               max_features: int = C.TFIDF_MAX_FEATURES, seed_texts=TFIDF_SEED) -> DataFrame:
     """-> vocab(idx, term, total, df, idf). Totals and document frequencies
-    are two aggregations with strong map-side combining (vocabulary-sized
+    are one aggregation with strong map-side combining (vocabulary-sized
     per task); the top ``max_features`` is a bounded TakeOrderedAndProject."""
     spark = corpus.sparkSession
     docs = corpus.select(F.col(key_col).cast("string").alias("doc_key"), F.col(text_col).alias("text"))
@@ -67,9 +90,7 @@ def fit_vocab(corpus: DataFrame, text_col: str = "content", key_col: str = "chun
         seeds = spark.createDataFrame([(f"seed-{i}", t) for i, t in enumerate(seed_texts)], "doc_key string, text string")
         docs = docs.unionByName(seeds)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    tf = _grams(docs, "text").groupBy("doc_key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features)
+    top = _term_counts(docs, "text").orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features)
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     return top.select((F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"),
                       "term", "total", "df", idf.alias("idf"))
