@@ -14,6 +14,7 @@ from .. import config as C
 from ..operators import lexical, refgraph, tfidf
 from ..operators.chunk import chunk_documents
 from ..sources import corpus as COR
+from ..spark import stored
 
 
 @dataclass
@@ -27,13 +28,15 @@ class BuiltCorpus:
 
 def build_corpus(docs: DataFrame, domains=None, size: int = C.CHUNK_SIZE,
                  overlap: int = C.CHUNK_OVERLAP) -> BuiltCorpus:
-    """docs(domain, source, text[, doc_id]) -> BuiltCorpus (lazy). Given
-    document ids are kept; the vocabulary is fitted on the whole documents as
+    """docs(domain, source, text[, doc_id]) -> BuiltCorpus: the chunks are
+    written once, what is derived from them is lazy. Given document ids are kept; the vocabulary is fitted on the whole documents as
     given, not on their overlapping chunks."""
     d = COR.redact_documents(docs)
     if domains is not None:
         d = COR.with_placeholder(d, COR.domain_list(docs.sparkSession, list(domains)))
-    chunks = chunk_documents(COR.with_doc_id(d), size=size, overlap=overlap)
+    # redacting and splitting are the bulk of the work and all derived tables
+    # read the chunks, some twice
+    chunks = stored(chunk_documents(COR.with_doc_id(d), size=size, overlap=overlap), "chunks")
     vocab = tfidf.fit_vocab(COR.with_doc_id(docs), "text", "doc_id")
     return BuiltCorpus(chunks, lexical.build_index(chunks), vocab, tfidf.transform(chunks, vocab),
                        refgraph.build_graph(chunks))

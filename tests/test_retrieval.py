@@ -94,3 +94,34 @@ def test_vector_block_join_equals_broadcast(spark):
     b = vector.vector_topk(qv, vecs, k=5, broadcast_rows=7)
     assert "BroadcastNestedLoopJoin" not in b._jdf.queryExecution().executedPlan().toString()
     assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in b.collect()} == a
+
+
+def test_vocabulary_fit_shuffles_terms_only(spark):
+    """Equal to counting pairs of document and term, also for repeated keys."""
+    from collections import Counter
+
+    from convsearch.operators import tfidf
+
+    once = [("1", "red fox red fox red"), ("2", "Blue fox"), ("3", None), (None, "red")]
+    for rows in (once, [*once, ("1", "red fox owl"), (None, "fox")]):
+        docs = spark.createDataFrame(rows, "doc_key string, text string")
+        total, held = Counter(), set()
+        for key, text in rows:
+            words = (text or "").lower().split()
+            for g in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+                total[g] += 1
+                held.add((key, g))
+        df = Counter(g for _, g in held)
+        counted = tfidf._term_counts(docs, "text")
+        assert {r.term: (r.total, r.df) for r in counted.collect()} == {g: (n, df[g]) for g, n in total.items()}
+    plan = tfidf._term_counts(spark.createDataFrame(once, "doc_key string, text string"), "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Aggregate [term" in plan
+
+
+def test_corpus_is_split_once(spark):
+    from convsearch.plans import build
+
+    docs = spark.createDataFrame([("a", "s", "see section 3. " * 60, 1), ("b", "t", "short", 2)], "domain string, source string, text string, doc_id long")
+    b = build.build_corpus(docs)
+    assert "regexp_replace" not in b.chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.domain: (r.n_docs, r.n_chunks) for r in build.corpus_stats(b).collect()} == {"a": (1, 2), "b": (1, 1)}
