@@ -21,13 +21,13 @@ aggregates; the postings read are those of the buckets of the batch's terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..sources.lexstore import LexicalStore
 from ..spark import cut_lineage, maybe_broadcast
-from .lexical import query_terms, top_k
+from .lexical import impact, query_terms, top_k
 
 #: Sums of floats in different orders differ by far less.
 MARGIN = 1e-6
@@ -39,21 +39,23 @@ SEEDS = 4
 #: would cost more than they save; the result is the same.
 BOUND_FROM = 200_000
 BY = ["query_id", "domain"]
+TERM = ["term", "qtf", "idf", "avgdl"]
 
 
 def bounded_terms(queries: DataFrame, store: LexicalStore, k: int = C.TOP_K, text_col: str = "query", bound_from: int = BOUND_FROM) -> DataFrame:
     """query_id, domain, bucket, term, qtf, df, essential, floor and rest (the
     most that the left-out terms of the query can add)."""
     per_query = Window.partitionBy(*BY)
-    asked = query_terms(queries, text_col).join(store.table("terms").select("domain", "bucket", "term", "df", "most"), ["domain", "term"])
+    asked = maybe_broadcast(query_terms(queries, text_col)).join(store.table("terms").select("domain", "bucket", "term", "df", "idf", "most"), ["domain", "term"])
+    asked = asked.join(F.broadcast(store.table("corpus").select("domain", "avgdl")), "domain")
     asked = asked.withColumn("adds", F.col("qtf") * F.greatest("most", F.lit(0.0))).withColumn("large", F.sum("df").over(per_query) >= bound_from)
     asked = cut_lineage(asked)
-    cols = [*BY, "bucket", "term", "qtf", "df", "essential", "floor", "rest"]
+    cols = [*BY, "bucket", "term", "qtf", "idf", "avgdl", "df", "essential", "floor", "rest"]
     large = asked.filter("large")
     if not large.limit(1).count():
         return asked.select("*", F.lit(True).alias("essential"), F.lit(-MARGIN).alias("floor"), F.lit(0.0).alias("rest")).select(*cols)
-    partial = (large.select(*BY, "term", "qtf").join(store.table("champions").select("domain", "term", "chunk_id", "weight"), ["domain", "term"])
-               .groupBy(*BY, "chunk_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
+    partial = (maybe_broadcast(large.select(*BY, *TERM)).join(store.table("champions").select("domain", "term", "chunk_id", "tf", "dl"), ["domain", "term"])
+               .groupBy(*BY, "chunk_id").agg(F.sum(_adds()).alias("score")))
     best = [F.col("score").desc(), F.col("chunk_id").asc()]
     seeds = cut_lineage(top_k(partial, SEEDS * k, best).select(*BY, "chunk_id"))
     full = _completed(seeds, large, _postings(store, large)).groupBy(*BY, "chunk_id").agg(F.sum("score").alias("score"))
@@ -71,9 +73,16 @@ def bounded_terms(queries: DataFrame, store: LexicalStore, k: int = C.TOP_K, tex
 
 
 def _completed(chunks: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """What each of the query's ``terms`` adds to each of its ``chunks``."""
-    return (chunks.select(*BY, "chunk_id").join(terms.select(*BY, "term", "qtf"), BY).join(postings, ["domain", "term", "chunk_id"])
-            .select(*BY, "chunk_id", (F.col("qtf") * F.col("weight")).alias("score")))
+    """What each of the query's ``terms`` adds to each of its ``chunks``. Up to
+    a bounded number, the pairs are looked for where the postings are read."""
+    pairs = cut_lineage(chunks.select(*BY, "chunk_id").join(terms.select(*BY, *TERM), BY))
+    return (maybe_broadcast(pairs).join(postings, ["domain", "term", "chunk_id"])
+            .select(*BY, "chunk_id", _adds().alias("score")))
+
+
+def _adds() -> Column:
+    """What a posting adds to a query's score."""
+    return F.col("qtf") * impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"))
 
 
 def _postings(store: LexicalStore, terms: DataFrame) -> DataFrame:
@@ -85,9 +94,9 @@ def _postings(store: LexicalStore, terms: DataFrame) -> DataFrame:
 
 
 def _candidates(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    some = maybe_broadcast(terms.filter("essential").select(*BY, "term", "qtf", "floor", "rest"))
+    some = maybe_broadcast(terms.filter("essential").select(*BY, *TERM, "floor", "rest"))
     scored = some.join(postings, ["domain", "term"]).groupBy(*BY, "chunk_id").agg(
-        F.sum(F.col("qtf") * F.col("weight")).alias("score"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+        F.sum(_adds()).alias("score"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
     return scored.filter(F.col("score") + F.col("rest") >= F.col("floor")).select(*BY, "chunk_id", "score")
 
 

@@ -6,12 +6,13 @@ Layout below ``root`` (``v`` is the version a build made, one folder each):
 * ``chunks/v=/domain=``           chunk_id, source, fp (first 100 characters), dl
 * ``corpus/v=``                   domain, n, avgdl, avg_idf
 * ``terms/v=/domain=``            bucket, term, df, idf, most, least
-* ``postings/v=/domain=/bucket=`` term, chunk_id, weight; files sorted by term
-* ``champions/v=/domain=``        bucket, term, chunk_id, weight: each term's heaviest
+* ``postings/v=/domain=/bucket=`` term, chunk_id, tf, dl; files sorted by term
+* ``champions/v=/domain=``        bucket, term, chunk_id, tf, dl: each term's heaviest
 * ``manifest/<number>.json``      domain -> version, complete after each commit
 
-``weight`` is the BM25 weight of one occurrence of the term in a query;
-``most`` and ``least`` bound it for all chunks of the domain. A term's bucket is
+A posting's weight, the BM25 weight of one occurrence of the term in a query, is
+made by the search from the term's idf; so a build shuffles the postings once.
+``most`` and ``least`` bound the weight for all chunks of the domain. A term's bucket is
 its hash, so a search reads the buckets of its terms only.
 
 A build writes all tables of its domains into a new version and commits them
@@ -32,16 +33,19 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import fingerprint, tokenize
 from ..operators.lexical import idf_table, impact
+from ..spark import cut_lineage, maybe_broadcast
 
 SCHEMAS = {
     "chunks": "chunk_id long, source string, fp string, dl int, v string, domain string",
     "corpus": "domain string, n long, avgdl double, avg_idf double, v string",
     "terms": "bucket int, term string, df long, idf double, most double, least double, v string, domain string",
-    "postings": "term string, chunk_id long, weight double, v string, domain string, bucket int",
-    "champions": "bucket int, term string, chunk_id long, weight double, v string, domain string",
+    "postings": "term string, chunk_id long, tf long, dl int, v string, domain string, bucket int",
+    "champions": "bucket int, term string, chunk_id long, tf long, dl int, v string, domain string",
 }
 #: About so many postings of a bucket go to one task.
 POSTINGS_PER_TASK = 2_000_000
+#: So many tokens of a task's rows are counted at a time (one row at least).
+TOKENS = 1_000_000
 
 
 class LexicalStore:
@@ -165,27 +169,31 @@ class LexicalStore:
             df.write.parquet(out(name))
             return self.spark.read.schema(df.schema).parquet(out(name))
 
-        toks = chunks.select("domain", F.col("chunk_id").cast("long").alias("chunk_id"), tokenize(text_col).alias("toks"))
-        tf = kept(toks.select("domain", "chunk_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-                  .filter("term is not null").groupBy("domain", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")), "counts")
-        stats, avg_idf = idf_table(kept(tf.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), corpus, C.BM25_EPSILON)
+        tf = term_counts(chunks.select("domain", F.col("chunk_id").cast("long").alias("chunk_id"), tokenize(text_col).alias("toks")), own)
+        words = own.agg(F.sum(F.col("dl").cast("long"))).first()[0] or 0
+        parts = 1 + words // (self.buckets * POSTINGS_PER_TASK)  # splits a bucket, however hot
+        (tf.withColumn("bucket", self.bucket(F.col("term"))).repartition("domain", "bucket", F.pmod(F.col("chunk_id"), F.lit(parts)))
+         .sortWithinPartitions("domain", "bucket", "term", "chunk_id").write.partitionBy("domain", "bucket").parquet(out("postings")))
+        # the weight for an idf of 1; what it is for the term's idf is bounded by both ends
+        unit = impact(F.col("tf"), F.col("dl"), F.lit(1.0), F.col("avgdl"))
+        postings = (self._read("postings", [v]).drop("v").join(F.broadcast(corpus.select("domain", "avgdl")), "domain")
+                    .withColumn("unit", unit).drop("avgdl"))
+        seen = kept(postings.groupBy("domain", "term").agg(F.count(F.lit(1)).alias("df"), F.max("unit").alias("high"), F.min("unit").alias("low")), "frequencies")
+        stats, avg_idf = idf_table(seen.select("domain", "term", "df"), corpus, C.BM25_EPSILON)
         corpus.join(avg_idf, "domain", "left").write.parquet(out("corpus"))
-        stats, corpus = kept(stats, "idf"), self._read("corpus", [v]).select("domain", "avgdl")
-
-        weighed = (tf.join(stats.select("domain", "term", "idf"), ["domain", "term"]).join(corpus, "domain")
-                   .select("domain", self.bucket(F.col("term")).alias("bucket"), "term", "chunk_id",
-                           impact(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl")).alias("weight")))
-        parts = 1 + tf.count() // (self.buckets * POSTINGS_PER_TASK)  # splits a bucket, however hot
-        (weighed.repartition("domain", "bucket", F.pmod(F.col("chunk_id"), F.lit(parts))).sortWithinPartitions("domain", "bucket", "term", "chunk_id")
-         .write.partitionBy("domain", "bucket").parquet(out("postings")))
-        postings = self._read("postings", [v]).drop("v")
-        bounds = postings.groupBy("domain", "term").agg(F.max("weight").alias("most"), F.min("weight").alias("least"))
-        (stats.join(bounds, ["domain", "term"]).select("domain", self.bucket(F.col("term")).alias("bucket"), "term", "df", "idf", "most", "least")
+        stats = kept(stats, "idf")
+        high, low = F.col("idf") * F.col("high"), F.col("idf") * F.col("low")
+        (stats.join(seen.select("domain", "term", "high", "low"), ["domain", "term"])
+         .select("domain", self.bucket(F.col("term")).alias("bucket"), "term", "df", "idf", F.greatest(high, low).alias("most"), F.least(high, low).alias("least"))
          .write.partitionBy("domain").parquet(out("terms")))
-        best = Window.partitionBy("domain", "term").orderBy(F.desc("weight"), "chunk_id")
-        (postings.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= self.champions).drop("_n")
-         .write.partitionBy("domain").parquet(out("champions")))
-        for name in ("counts", "frequencies", "idf"):
+        # few terms have no positive idf; their heaviest are those of the least unit, or any
+        turned = maybe_broadcast(stats.filter("idf <= 0").select("domain", "term", F.signum("idf").alias("sign")))
+        heavy = F.coalesce("sign", F.lit(1.0)) * F.col("unit")
+        best = Window.partitionBy("domain", "term").orderBy(F.desc("heavy"), "chunk_id")
+        (postings.join(turned, ["domain", "term"], "left").withColumn("heavy", heavy)
+         .withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= self.champions)
+         .select("domain", "bucket", "term", "chunk_id", "tf", "dl").write.partitionBy("domain").parquet(out("champions")))
+        for name in ("frequencies", "idf"):
             fs, p = self._at(out(name))
             fs.delete(p, True)
         return [r.domain for r in own.select("domain").distinct().collect()]  # one row a domain
@@ -200,6 +208,48 @@ class LexicalStore:
         return missing
 
 
+def _counted(batches):
+    """(domain, chunk_id, toks) -> (domain, chunk_id, term, tf, dl): the counts
+    of each row's distinct terms, so many rows at a time as hold ``TOKENS``."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        length = np.nan_to_num(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        piece = np.maximum(np.cumsum(length) - 1, 0) // TOKENS
+        for at in np.unique(piece):
+            first, end = np.searchsorted(piece, at), np.searchsorted(piece, at, "right")
+            rows = batch.slice(first, end - first)
+            toks = rows.column(2)
+            coded = pc.list_flatten(toks).dictionary_encode()
+            if not len(coded):
+                continue
+            many = len(coded.dictionary)
+            keys, tf = np.unique(pc.list_parent_indices(toks).to_numpy().astype(np.int64) * many + coded.indices.to_numpy(), return_counts=True)
+            row, term = pa.array(keys // many), pa.array(keys % many)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(row), rows.column(1).take(row), coded.dictionary.take(term), pa.array(tf.astype(np.int64)),
+                 pa.array(length[first:end][keys // many].astype(np.int32))], names=["domain", "chunk_id", "term", "tf", "dl"])
+
+
+def term_counts(toks: DataFrame, own: DataFrame) -> DataFrame:
+    """(domain, chunk_id, toks) -> (domain, chunk_id, term, tf, dl). Each row is
+    counted where it is; only rows of chunk ids that come more than once (by
+    ``own``, the written chunks) are added up by a shuffle, ``dl`` is then the
+    longest row's."""
+    counted = toks.mapInArrow(_counted, "domain string, chunk_id long, term string, tf long, dl int")
+    again = cut_lineage(own.groupBy("domain", "chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                        .select(F.col("domain").alias("_d"), F.col("chunk_id").alias("_c")))
+    if not again.limit(1).count():
+        return counted
+    again = maybe_broadcast(again)
+    same = (F.col("domain") == F.col("_d")) & F.col("chunk_id").eqNullSafe(F.col("_c"))
+    added = (counted.join(again, same, "left_semi").groupBy("domain", "chunk_id", "term")
+             .agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl")))
+    return counted.join(again, same, "left_anti").unionByName(added)
+
+
 def input_version(spark: SparkSession, path: str) -> str:
     """A name for the present state of a dataset: of its files, their sizes
     and times."""

@@ -123,3 +123,21 @@ def test_registered_search_scans_no_text(spark):
         assert "regexp_extract_all" not in plan
         scans = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "documents.parquet" in line]
         assert all("text" not in line.split("ReadSchema:")[1] for line in scans)
+
+
+def test_term_counts_need_no_shuffle_unless_chunk_ids_repeat(spark):
+    from convsearch.sources import lexstore
+
+    schema = "domain string, chunk_id long, toks array<string>"
+    once = [("a", 1, ["x", "y", "x"]), ("a", 2, []), ("b", 1, ["y"]), ("b", 3, None), ("a", None, ["z"])]
+    twice = [*once, ("a", 1, ["x"]), ("a", None, ["z", "u"])]
+    for rows in (once, twice):
+        toks = spark.createDataFrame(rows, schema)
+        got = lexstore.term_counts(toks, toks.select("domain", "chunk_id"))
+        want, longest = {}, {}
+        for d, c, ts in rows:
+            for t in ts or ():
+                want[d, c, t] = want.get((d, c, t), 0) + 1
+                longest[d, c, t] = max(longest.get((d, c, t), 0), len(ts))
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str((*k, n, longest[k])) for k, n in want.items())
+        assert ("Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()) == (rows is twice)
