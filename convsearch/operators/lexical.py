@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import tokenize
-from ..spark import DEFAULT_BROADCAST_ROWS, maybe_broadcast
+from ..spark import DEFAULT_BROADCAST_ROWS, maybe_broadcast, stored
 
 
 def impact(tf, dl, idf, avgdl, k1: float = C.BM25_K1, b: float = C.BM25_B):
@@ -70,7 +70,8 @@ def build_index(chunks: DataFrame, text_col: str = "content", k1: float = C.BM25
     Document frequencies come from each chunk's distinct terms, so the
     vocabulary aggregate combines map-side; the per-domain tables (corpus
     stats) have one row per domain and are broadcast by construction."""
-    toks = chunks.select("domain", "chunk_id", tokenize(text_col).alias("toks"))
+    # lengths, frequencies and postings are made of the tokens: written once
+    toks = stored(chunks.select("domain", "chunk_id", tokenize(text_col).alias("toks")), "tokens")
     corpus = (toks.groupBy("domain")
               .agg(F.count(F.lit(1)).alias("n"),
                    (F.sum(F.size("toks")).cast("double") / F.count(F.lit(1))).alias("avgdl")))
