@@ -53,7 +53,7 @@ class Pieces:
         self.longest = max(map(len, self.id))
         # whether words can be told apart: no piece has a mark after a letter
         self.words = not any(MARK in p.lstrip(MARK) for p in self.id)
-        self.pairs, self.cache, self.known = {}, cache, {}
+        self.pairs, self.cache = {}, cache
 
     def merged(self, text: str) -> list[str]:
         """The merges of ``text``: always the best, of equals the first."""
@@ -92,14 +92,9 @@ class Pieces:
                 break
 
     def word(self, text: str) -> list[int]:
-        """Ids of a whole word with its marks, by the library."""
-        if text == MARK:  # the library gives an empty text no mark
-            return [self.id[MARK]]
-        if (got := self.known.get(text)) is None:
-            got = self.known[text] = self.sp.encode(text[1:].replace(MARK, " "))
-            if len(self.known) > self.cache:
-                self.known.clear()
-        return got
+        """Ids of whole words with their marks, by the library."""
+        # the library gives an empty text no mark
+        return [self.id[MARK]] if text == MARK else self.sp.encode(text[1:].replace(MARK, " "))
 
     def spelled(self, text: str, start: int, end: int, i: int) -> list[int]:
         return [i] if i >= 0 else [self.sp.piece_to_id(f"<0x{b:02X}>") for b in text[start:end].encode()]
@@ -139,33 +134,44 @@ class Pieces:
             start -= 1
         return sorted(found)
 
-    def through(self, text: str, lo: int, hi: int, state: tuple[int, int], ids: bool):
-        """From a state at ``lo``: {state at ``hi``: pieces or their number}."""
+    def through(self, text: str, lo: int, hi: int, states, ids: bool) -> list[dict]:
+        """For each state at ``lo``: {state at ``hi``: pieces or their number}.
+        The ways of all states meet at the next word and go on as one."""
+        rests, out = {}, []
+        for reach, last in states:
+            here = lo + reach
+            begin = self.paths(text, here, last, hi) if here < hi and not self.starts(text, here) else {(here, last): ()}
+            out.append(new := {})
+            for (here, last), path in begin.items():
+                got = self.trace(text, path)
+                if here >= hi:
+                    new[here - hi, last] = got if ids else len(got)
+                    continue
+                if here not in rests:
+                    rests[here] = self.rest(text, here, hi, ids)
+                for end, more in rests[here].items():
+                    new[end] = got + more if ids else len(got) + more
+        return out
+
+    def rest(self, text: str, here: int, hi: int, ids: bool) -> dict:
+        """From the start of a word: {state at ``hi``: pieces or their number}.
+        The words that end by ``hi`` are encoded by the library in one call."""
+        if self.starts(text, hi):
+            last = hi
+        else:
+            last = hi - 1
+            while last > here and not self.starts(text, last):
+                last -= 1
+        got = []
+        if last > here:
+            # lib words need their mark; a text may start without one
+            got = self.word(text[here:last]) if text[here] == MARK else self._only(text, here, last)
+        if last >= hi:
+            return {(last - hi, -1): got if ids else len(got)}
         out = {}
-        begin = {(lo + state[0], state[1]): ()}
-        if lo + state[0] < hi and not (self.starts(text, lo + state[0])):
-            begin = self.paths(text, lo + state[0], state[1], hi)
-        for (here, last), path in begin.items():
-            got = self.trace(text, path)
-            n = len(got)
-            while here < hi and self.starts(text, here):
-                after = here + 1
-                while after < hi and not self.starts(text, after):
-                    after += 1
-                if not self.starts(text, after):
-                    break
-                # lib words need their mark; a text may start without one
-                more = self.word(text[here:after]) if text[here] == MARK else self._only(text, here, after)
-                n += len(more)
-                if ids:
-                    got.extend(more)
-                here, last = after, -1
-            if here >= hi:
-                out[here - hi, last] = got if ids else n
-                continue
-            for (end, piece), rest in self.paths(text, here, -1, hi).items():
-                more = self.trace(text, rest)
-                out[end - hi, piece] = got + more if ids else n + len(more)
+        for (end, piece), path in self.paths(text, last, -1, hi).items():
+            more = self.trace(text, path)
+            out[end - hi, piece] = got + more if ids else len(got) + len(more)
         return out
 
     def _only(self, text: str, here: int, after: int) -> list[int]:
@@ -251,7 +257,9 @@ def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, block: int = B
             out = []
             for r in part.to_pylist():
                 lo, hi = r["lo"] - r["base"], r["hi"] - r["base"]
-                out.append([{"i": _code(s), "o": _code(e), "n": n} for s in p.entering(r["text"], lo) for e, n in p.through(r["text"], lo, hi, s, False).items()])
+                states = p.entering(r["text"], lo)
+                ways = p.through(r["text"], lo, hi, states, False)
+                out.append([{"i": _code(s), "o": _code(e), "n": n} for s, way in zip(states, ways) for e, n in way.items()])
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("chunk"), pa.array(out, kind)], names=["row", "chunk", "m"])
 
     entries = "array<struct<i:long,o:long,n:long>>"
@@ -304,7 +312,7 @@ def encode_giant(docs: DataFrame, model: str, chunk: int = CHUNK, block: int = B
 
         p = pieces_of(model)
         for part in _few(batches):
-            ids = [p.through(r["text"], r["lo"] - r["base"], r["hi"] - r["base"], _state(r["enter"]), True)[_state(r["leave"])] for r in part.to_pylist()]
+            ids = [p.through(r["text"], r["lo"] - r["base"], r["hi"] - r["base"], [_state(r["enter"])], True)[0][_state(r["leave"])] for r in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row", "chunk", "before")), pa.array(ids, pa.list_(pa.int32()))],
                                              names=["doc_id", "row", "chunk", "first", "ids"])
 

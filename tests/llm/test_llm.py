@@ -427,3 +427,21 @@ def test_token_files_read_by_many_tasks(spark, tmp_path, monkeypatch):
     assert [g[0] for g in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
     none = token_files.write_files(docs.limit(0), str(tmp_path / "none"), path)
     assert token_files.read_files(none, str(tmp_path / "none")).count() == 0
+
+
+def test_ways_of_a_chunk_share_their_words(texts):
+    """A chunk's words are encoded once, however many states enter it."""
+    p = sentence_pieces.Pieces(public_path("piece_bpe_32k.model"))
+    text = sentence_pieces.MARK + " ".join(list(texts.values())[:20])[:9000].replace(" ", sentence_pieces.MARK)
+    seen, library = [], p.sp
+    p.sp = type("Counted", (), {"encode": lambda self, t: seen.append(len(t)) or library.encode(t), "__getattr__": lambda self, name: getattr(library, name)})()
+    lo = next(k for k in range(3000, 4000) if len(p.entering(text, k)) > 2)
+    states = p.entering(text, lo)
+    ways = p.through(text, lo, lo + 4000, states, False)
+    assert sum(seen) <= 4000 and len(seen) <= 2
+    for state, way in zip(states, ways, strict=True):
+        alone = p.through(text, lo, lo + 4000, [state], True)[0]
+        assert way == {end: len(ids) for end, ids in alone.items()}
+    assert any(ways)  # a state that no path goes on from has none
+    whole = p.through(text, 0, len(text), [(0, -1)], True)[0]
+    assert whole == {(0, -1): library.encode(text[1:].replace(sentence_pieces.MARK, " "))}
