@@ -69,15 +69,15 @@ class PackedTokenizer:
 
     def _merged(self, part: str) -> bytes:
         """Ids of one piece, given in the byte-level alphabet's plain form."""
-        ids = [t.id for t in self.model.tokenize("".join(map(self.map.__getitem__, part.encode())))]
+        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.map))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _cached(self, key: str, make) -> bytes:
+    def _cached(self, key: str, make) -> bytes | None:
         got = self.young.get(key)
         if got is None:
             got = self.old.get(key)
-            if got is None:
-                got = make(key)
+            if got is None and (got := make(key)) is None:
+                return None
             if len(self.young) >= self.half:
                 self.old, self.young = self.young, {}
             self.young[key] = got
@@ -106,12 +106,38 @@ class PackedTokenizer:
         parts = text.replace("\n", " ").split(" ")
         return self._lookup([p for p in parts if p] if "" in parts else parts)
 
+    def _spaced(self, key: str) -> bytes | None:
+        """Ids of a key's part. Keys: a word (its part has a space before it),
+        ``\\0`` and a word (without that space), a line feed; ``\\n`` and any part
+        of a text that is not split in words so. None for a word that is empty
+        or has white space in it."""
+        first = key[:1]
+        part = " " + key if first not in ("\0", "\n", "") else key[1:] or key
+        m = _PLAIN.fullmatch(part, 1 if part[:1] == " " else 0)
+        if not m:
+            return self._library(part) if first == "\n" or (key != "\0" and key.split() == [key]) else None
+        if not m[2]:
+            return self._merged(part)
+        return self._cached(key[:-len(m[2])], self._spaced) + self._cached("\0" + m[2], self._spaced_marks)
+
+    def _spaced_marks(self, key: str) -> bytes:
+        return self._merged(key[1:])
+
     def _encode_spaced(self, text: str) -> bytes:
-        if text.replace("\n", " ").split(" ") == text.split():
-            parts = text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n\0").split("\0") if "\0" not in text else _CUT.split(text)
-        else:
-            parts = _CUT.split(text)
-        return self._lookup([p for p in parts if p] if "" in parts else parts)
+        if "\0" not in text:
+            keys = ("\0" + text.replace("\n", " \n \0")).split(" ")
+            found = list(map(self.young.get, keys))
+            if None not in found:
+                return b"".join(found)
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = x = self._cached(keys[i], self._spaced)
+                    if x is None:
+                        break
+            else:
+                return b"".join(found)
+        # other white space than single spaces and line feeds within the text
+        return b"".join([self._cached("\n" + p, self._spaced) for p in _CUT.split(text) if p])
 
 
 def packed_tokenizer(path: str) -> PackedTokenizer:

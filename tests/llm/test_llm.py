@@ -445,3 +445,23 @@ def test_ways_of_a_chunk_share_their_words(texts):
     assert any(ways)  # a state that no path goes on from has none
     whole = p.through(text, 0, len(text), [(0, -1)], True)[0]
     assert whole == {(0, -1): library.encode(text[1:].replace(sentence_pieces.MARK, " "))}
+
+
+def test_spaced_keys_of_any_text():
+    """Texts with any white space, in any order, over one cache; a text of
+    known words is not split a second time to look at its white space."""
+    p = PackedTokenizer(public_path("byte_bpe_50k.json"))
+    texts = ["a\t", "a\t b", " a", "a", "a \nb", "a\n b", "a\nb", "\n", "\n\n", "", " ", "a,b c,", "\0a b", " \0a", "b\0", "a\tb c", "a\x1cb", "end.\nThe end.",
+             " a  b", "The end,\tthe end", "it's\r\nit", "日本 語\n日本", "<|endoftext|> a"]
+    for _ in range(2):
+        for text in [*texts, *reversed(texts), *(x + y for x in texts for y in texts)]:
+            assert p.encode(text) == p._library(text), text
+
+    splits = []
+
+    class Text(str):
+        def split(self, *args):
+            splits.append(args)
+            return str.split(self, *args)
+
+    assert p.encode(Text("The end.\nThe end.")) == p._library("The end.\nThe end.") and not splits
