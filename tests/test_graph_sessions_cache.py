@@ -146,3 +146,40 @@ def test_edges_are_made_once_and_counted_without_them(spark):
     nodes = {d: sum(r[0] == d for r in rows) for d in ("a", "b", None)}
     stats = {r.domain: (r.nodes, r.edges) for r in refgraph.graph_stats(g).collect()}
     assert stats == {d: (n, sum(e[0] == d for e in want)) for d, n in nodes.items()}
+
+
+def test_edges_take_few_bytes_of_a_file(spark, tmp_path):
+    """The rows of many chunks that refer to each other are whole, and written
+    list by list; a task's rows are never held at once."""
+    ids = [i * 7919 % 100003 for i in range(1501)]
+    rows = [("a", i, "s", "see section 3" if k % 3 else "Section 3, see section 3") for k, i in enumerate(ids)] + [("a", 200000 + i, "s", "Section 3 rules") for i in range(700)]
+    g = refgraph.build_graph(spark.createDataFrame(rows, "domain string, chunk_id long, source string, content string"))
+    edges = refgraph.reference_edges(g)
+    edges.write.parquet(path := str(tmp_path / "edges"))
+    back, n = spark.read.parquet(path), len(ids) * (len(rows) - 1)
+    first = back.agg(F.count(F.lit(1)), F.countDistinct("src", "dst"), F.countDistinct("src"), F.countDistinct("dst"), F.sum((F.col("src") == F.col("dst")).cast("int"))).first()
+    assert tuple(first) == (n, n, len(ids), len(rows), 0)
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 0.5 * n
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = refgraph.reference_edges(g)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert re.search(r"\*\(\d+\) Generate explode\(srcs", plan) and re.search(r"[-] Generate explode\(transform\(dsts", plan)
+
+
+def test_edges_of_large_kinds_and_many_tasks(spark, monkeypatch):
+    """Kinds of several buckets and lists, kinds of one chunk, small tasks and
+    sources that are not broadcast give every pair once."""
+    rng = random.Random(8)
+    text = lambda: rng.choice(["see section 3", "Section 3", "see policy x.", "refer to the late fee policy", f"see clause {rng.randint(1, 9)}", "nothing"])
+    rows = [(d, 1000 * i + k, "s", text()) for i, d in enumerate(("a", "b")) for k in range(150)]
+    g = refgraph.build_graph(spark.createDataFrame(rows, "domain string, chunk_id long, source string, content string"))
+    refs, words = [tuple(r) for r in g.node_refs.collect()], [tuple(r) for r in g.node_words.select("domain", "chunk_id", "word").collect()]
+    want = {(d, i, j) for d, i, w in refs for e, j, v in words if d == e and w == v and i != j}
+    monkeypatch.setattr(refgraph, "TILE", 1)
+    monkeypatch.setattr(refgraph, "TASK_EDGES", 100)
+    for most in (2_000_000, 10):
+        monkeypatch.setattr(refgraph, "DEFAULT_BROADCAST_ROWS", most)
+        got = [tuple(r) for r in refgraph.reference_edges(g).collect()]
+        assert len(got) == len(want) and set(got) == want
